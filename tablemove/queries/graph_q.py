@@ -1 +1,324 @@
-"""Registered queries."""
+"""Schema-relationship and graph queries (inventory sections H, C10)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph as G
+from ..operators import relate as H
+from ..operators.relational import project
+from ..sources.catalog import catalog_columns
+from ._registry import query, tbl
+from .sources_q import STAR_COLUMNS
+
+ALL_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
+              "pages benchmark labels conversations").split()
+
+# Declared foreign keys of the test schema (table, column, "table.column").
+DECLARED_FKS = [
+    ("nation", "n_regionkey", "region.r_regionkey"),
+    ("customer", "c_nationkey", "nation.n_nationkey"),
+    ("supplier", "s_nationkey", "nation.n_nationkey"),
+    ("orders", "o_custkey", "customer.c_custkey"),
+    ("lineitem", "l_orderkey", "orders.o_orderkey"),
+    ("lineitem", "l_partkey", "part.p_partkey"),
+    ("lineitem", "l_suppkey", "supplier.s_suppkey"),
+    ("labels", "doc_id", "documents.doc_id"),
+]
+
+
+def _catalog(spark, sf, names=ALL_TABLES):
+    return catalog_columns(spark, {t: tbl(spark, sf, t) for t in names})
+
+
+# ------------------------------------------------------------ profile (H1)
+
+def _profile_sql():
+    types = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+             "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+    parts = []
+    for i, c in enumerate(STAR_COLUMNS["orders"]):
+        parts.append(f"""SELECT count(*) AS row_count, '{c}' AS column_name, {i + 1} AS ordinal, '{types[c]}' AS dtype,
+  1.0 - count({c}) / count(*) AS null_pct, count(DISTINCT {c}) AS distinct_count,
+  CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM orders""")
+    return "\nUNION ALL ".join(parts)
+
+
+@query("profile_columns", _profile_sql())
+def profile_columns(spark, sf):
+    return H.profile_columns(tbl(spark, sf, "orders"))
+
+
+@query("schema_fingerprint")
+def schema_fingerprint(spark, sf):
+    return H.schema_fingerprint(_catalog(spark, sf))
+
+
+# ---------------------------------------------------------------- drift
+
+def _evolved(spark, sf):
+    """The star tables after a schema change, derived from the data."""
+    o = tbl(spark, sf, "orders").withColumn("o_comment", F.concat_ws(" ", "o_orderpriority", "o_orderstatus"))
+    c = tbl(spark, sf, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(12,2)"))
+    li = tbl(spark, sf, "lineitem").drop("l_tax")
+    return {"orders": o, "customer": c, "lineitem": li, "part": tbl(spark, sf, "part")}
+
+
+DRIFT_SQL = """
+WITH old AS (SELECT table_name, column_name, data_type FROM information_schema.columns
+             WHERE table_name IN ('orders', 'customer', 'lineitem', 'part')),
+new AS (SELECT table_name, column_name,
+               CASE WHEN table_name = 'customer' AND column_name = 'c_acctbal' THEN 'DECIMAL(12,2)' ELSE data_type END
+                 AS data_type
+        FROM old WHERE NOT (table_name = 'lineitem' AND column_name = 'l_tax')
+        UNION ALL SELECT 'orders', 'o_comment', 'VARCHAR'),
+j AS (SELECT coalesce(o.table_name, n.table_name) AS t, coalesce(o.column_name, n.column_name) AS c,
+             o.data_type AS ot, n.data_type AS nt
+      FROM old o FULL JOIN new n ON o.table_name = n.table_name AND o.column_name = n.column_name)
+SELECT t AS table_name,
+       coalesce(list_sort(list(c) FILTER (WHERE ot IS NULL)), []::VARCHAR[]) AS added_columns,
+       coalesce(list_sort(list(c) FILTER (WHERE nt IS NULL)), []::VARCHAR[]) AS removed_columns,
+       coalesce(list_sort(list(c) FILTER (WHERE ot IS NOT NULL AND nt IS NOT NULL AND ot <> nt)), []::VARCHAR[])
+         AS type_changed_columns
+FROM j GROUP BY t HAVING count(*) FILTER (WHERE ot IS NULL OR nt IS NULL OR ot <> nt) > 0"""
+
+
+@query("schema_drift", DRIFT_SQL)
+def schema_drift(spark, sf):
+    old = _catalog(spark, sf, ("orders", "customer", "lineitem", "part"))
+    new = catalog_columns(spark, _evolved(spark, sf))
+    return H.schema_drift(old, new).drop("old_fingerprint", "new_fingerprint")
+
+
+@query("schema_diff", """
+SELECT * FROM (VALUES ('o_comment', 'added', 'string', NULL), ('o_totalprice', 'type_changed', 'decimal(18,2)', 'double'),
+                      ('o_orderpriority', 'removed', NULL, 'string'))
+  AS t("column", change, staged_type, dest_type)""")
+def schema_diff(spark, sf):
+    dest = tbl(spark, sf, "orders")
+    staged = (dest.withColumn("o_comment", F.concat_ws(" ", "o_orderpriority", "o_orderstatus"))
+                  .withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
+                  .drop("o_orderpriority"))
+    return H.schema_diff(staged, dest)
+
+
+# ---------------------------------------------------------------- edges
+
+def fk_catalog(spark):
+    return spark.createDataFrame(DECLARED_FKS, "table_name string, column_name string, foreign_key string")
+
+
+def verified_fk_edges(spark, sf):
+    """Explicit edges with their orphan count, checked against the data."""
+    tables_df = spark.createDataFrame([(t,) for t in ALL_TABLES], "table_name string")
+    edges = H.explicit_edges(fk_catalog(spark), tables_df)
+    checks = None
+    for src, col, ref in DECLARED_FKS:
+        rt, rc = ref.rsplit(".", 1)
+        n = (tbl(spark, sf, src).select(F.col(col).alias("_k")).filter(F.col("_k").isNotNull())
+             .join(tbl(spark, sf, rt).select(F.col(rc).alias("_k")), "_k", "left_anti")
+             .agg(F.count(F.lit(1)).alias("orphan_rows"))
+             .select(F.lit(src).alias("source_table"), F.lit(col).alias("source_column"), "orphan_rows"))
+        checks = n if checks is None else checks.unionByName(n)
+    return edges.join(checks, ["source_table", "source_column"])
+
+
+def _fk_sql():
+    parts = []
+    for src, col, ref in DECLARED_FKS:
+        rt, rc = ref.rsplit(".", 1)
+        parts.append(f"""SELECT '{src}' AS source_table, '{col}' AS source_column, '{rt}' AS target_table,
+  '{rc}' AS target_column, 'explicit' AS kind, 1.0::DOUBLE AS confidence,
+  (SELECT count(*) FROM {src} s WHERE s.{col} IS NOT NULL AND NOT EXISTS
+     (SELECT 1 FROM {rt} r WHERE r.{rc} = s.{col})) AS orphan_rows""")
+    return "\nUNION ALL ".join(parts)
+
+
+@query("explicit_edges", _fk_sql())
+def explicit_edges(spark, sf):
+    return verified_fk_edges(spark, sf).select("source_table", "source_column", "target_table", "target_column",
+                                               "kind", "confidence", "orphan_rows")
+
+
+@query("name_edges")
+def name_edges(spark, sf):
+    cols = _catalog(spark, sf).withColumn("connector", F.col("table_name"))
+    return H.name_edges(cols)
+
+
+OVERLAP_PAIRS = [
+    ("orders", "o_custkey", "customer", "c_custkey"),
+    ("events", "user_id", "customer", "c_custkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("customer", "c_nationkey", "supplier", "s_nationkey"),
+    ("orders", "o_orderstatus", "lineitem", "l_linestatus"),
+]
+
+
+def _overlap_sql():
+    parts = []
+    for ta, ca, tb, cb in OVERLAP_PAIRS:
+        parts.append(f"""SELECT '{ta}' AS table_a, '{ca}' AS column_a, '{tb}' AS table_b, '{cb}' AS column_b,
+  (SELECT count(DISTINCT {ca}) FROM {ta}) AS n_a, (SELECT count(DISTINCT {cb}) FROM {tb}) AS n_b,
+  (SELECT count(*) FROM (SELECT DISTINCT CAST({ca} AS VARCHAR) v FROM {ta} INTERSECT
+                         SELECT DISTINCT CAST({cb} AS VARCHAR) FROM {tb})) AS n_both""")
+    body = "\nUNION ALL ".join(parts)
+    return f"""SELECT *, CASE WHEN n_a + n_b - n_both > 0 THEN n_both / (n_a + n_b - n_both) ELSE 0.0 END AS jaccard,
+  CASE WHEN least(n_a, n_b) > 0 THEN n_both / least(n_a, n_b) ELSE 0.0 END AS containment FROM ({body})"""
+
+
+def _overlap(spark, sf):
+    tables = {t: tbl(spark, sf, t) for t in {p[0] for p in OVERLAP_PAIRS} | {p[2] for p in OVERLAP_PAIRS}}
+    return H.value_overlap(tables, OVERLAP_PAIRS)
+
+
+@query("value_overlap", _overlap_sql())
+def value_overlap(spark, sf):
+    return _overlap(spark, sf)
+
+
+def _edge_table(spark, sf):
+    ex = verified_fk_edges(spark, sf).drop("orphan_rows")
+    return ex.unionByName(H.value_edges(_overlap(spark, sf)))
+
+
+@query("low_confidence_edges", f"""
+SELECT table_a AS source_table, column_a AS source_column, table_b AS target_table, column_b AS target_column,
+       round(0.6 * jaccard, 3) AS confidence, TRUE AS needs_confirmation
+FROM ({_overlap_sql()}) WHERE jaccard >= 0.5""")
+def low_confidence_edges(spark, sf):
+    return H.low_confidence(_edge_table(spark, sf)).select(
+        "source_table", "source_column", "target_table", "target_column", "confidence", "needs_confirmation")
+
+
+JOIN_REQUESTS = [("lineitem", "orders", "l_orderkey", "o_orderkey"),
+                 ("customer", "orders", "c_custkey", "o_custkey"),
+                 ("orders", "customer", "o_orderkey", "c_custkey"),
+                 ("events", "customer", "user_id", "c_custkey")]
+
+
+@query("join_support", """
+SELECT * FROM (VALUES ('lineitem', 'orders', 'l_orderkey', 'o_orderkey', 1.0::DOUBLE, FALSE),
+                      ('customer', 'orders', 'c_custkey', 'o_custkey', 1.0::DOUBLE, FALSE),
+                      ('orders', 'customer', 'o_orderkey', 'c_custkey', 0.7::DOUBLE, TRUE),
+                      ('events', 'customer', 'user_id', 'c_custkey', 0.7::DOUBLE, TRUE))
+  AS t(left_table, right_table, left_key, right_key, confidence, needs_confirmation)""")
+def join_support(spark, sf):
+    joins = spark.createDataFrame(JOIN_REQUESTS, "left_table string, right_table string, left_key string, right_key string")
+    return H.check_joins(joins, _edge_table(spark, sf)).drop("reasoning")
+
+
+@query("mapping_report", """
+SELECT * FROM (VALUES ('c_custkey', 'customer_id', 0.9::DOUBLE, 'bigint', 'bigint', FALSE),
+                      ('c_name', 'full_name', 0.8::DOUBLE, 'string', 'string', FALSE),
+                      ('c_acctbal', 'lifetime_value', 0.75::DOUBLE, 'double', 'double', FALSE),
+                      ('c_nationkey', 'country_code', 0.6::DOUBLE, 'int', 'string', TRUE))
+  AS t(source_column, target_column, score, source_type, target_type, type_mismatch),
+  (SELECT 0.763::DOUBLE AS overall_confidence)""")
+def mapping_report(spark, sf):
+    src = catalog_columns(spark, {"customer": tbl(spark, sf, "customer")})
+    # Destination schema of the warehouse customer dimension (fixture).
+    dst = spark.createDataFrame(
+        [("dim_customer", "customer_id", 1, "bigint", False), ("dim_customer", "full_name", 2, "string", True),
+         ("dim_customer", "lifetime_value", 3, "double", True), ("dim_customer", "country_code", 4, "string", True)],
+        "table_name string, column_name string, ordinal int, dtype string, nullable boolean")
+    maps = spark.createDataFrame([("c_custkey", "customer_id", 0.9), ("c_name", "full_name", 0.8),
+                                  ("c_acctbal", "lifetime_value", 0.75), ("c_nationkey", "country_code", 0.6)],
+                                 "source_column string, target_column string, score double")
+    return H.mapping_report(maps, src, dst)
+
+
+# ---------------------------------------------------------------- graphs
+
+def _fk_edges_sql():
+    rows = ", ".join(f"('{s}', '{r.split('.')[0]}')" for s, _, r in DECLARED_FKS)
+    return f"(SELECT a AS src, b AS dst FROM (VALUES {rows}) t(a, b) UNION SELECT b, a FROM (VALUES {rows}) t(a, b))"
+
+
+def _path_sql(source, target):
+    return f"""
+WITH RECURSIVE e AS {_fk_edges_sql()},
+p(node, path) AS (SELECT '{source}', ['{source}'] UNION ALL
+  SELECT e.dst, list_append(p.path, e.dst) FROM p JOIN e ON p.node = e.src WHERE NOT list_contains(p.path, e.dst)),
+hit AS (SELECT path FROM p WHERE node = '{target}')
+SELECT CAST(len(min(path)) - 1 AS INTEGER) AS hops, min(path) AS path FROM hit
+WHERE len(path) = (SELECT min(len(path)) FROM hit)"""
+
+
+@query("join_path", _path_sql("lineitem", "nation"))
+def join_path(spark, sf):
+    return G.join_path(verified_fk_edges(spark, sf).filter(F.col("orphan_rows") == 0), "lineitem", "nation")
+
+
+@query("auto_join", """
+SELECT l.*, o.*, c.* FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+JOIN customer c ON o.o_custkey = c.c_custkey""")
+def auto_join(spark, sf):
+    tables = {t: tbl(spark, sf, t) for t in ALL_TABLES}
+    edges = verified_fk_edges(spark, sf).filter(F.col("orphan_rows") == 0)
+    return G.auto_join(tables, edges, ["lineitem", "customer"])
+
+
+# Data graph: customers and parts linked by big, fully discounted line items.
+BUY_EDGES_SQL = """(SELECT DISTINCT 'c' || CAST(o.o_custkey AS VARCHAR) AS src, 'p' || CAST(l.l_partkey AS VARCHAR) AS dst
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_quantity >= 49 AND l.l_discount >= 0.09)"""
+
+
+def buy_edges(spark, sf):
+    li = tbl(spark, sf, "lineitem").filter((F.col("l_quantity") >= 49) & (F.col("l_discount") >= 0.09))
+    o = tbl(spark, sf, "orders")
+    return (li.join(o, li["l_orderkey"] == o["o_orderkey"])
+              .select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"),
+                      F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct())
+
+
+@query("connected_components", f"""
+WITH RECURSIVE e AS (SELECT src, dst FROM {BUY_EDGES_SQL} UNION SELECT dst, src FROM {BUY_EDGES_SQL}),
+r(node, comp) AS (SELECT src, src FROM e UNION SELECT e.dst, r.comp FROM r JOIN e ON r.node = e.src)
+SELECT node, min(comp) AS comp FROM r GROUP BY node""")
+def connected_components(spark, sf):
+    return G.connected_components(buy_edges(spark, sf))
+
+
+@query("graph_bfs")
+def graph_bfs(spark, sf):
+    e = buy_edges(spark, sf)
+    seeds = e.agg(F.min("src").alias("node"))
+    return G.shortest_paths(e, seeds)
+
+
+@query("graph_neighbors", f"""
+WITH e AS {BUY_EDGES_SQL}, s AS (SELECT min(src) AS node FROM e)
+SELECT dst AS neighbor, 'out' AS direction FROM e WHERE src = (SELECT node FROM s)
+UNION SELECT src, 'in' FROM e WHERE dst = (SELECT node FROM s)""")
+def graph_neighbors(spark, sf):
+    e = buy_edges(spark, sf)
+    seed = e.agg(F.min("src")).first()[0]  # one scalar
+    return H.neighbors(e, seed)
+
+
+# Directed trade graph between nations: customer nation -> supplier nation.
+TRADE_EDGES_SQL = """(SELECT DISTINCT CAST(c.c_nationkey AS VARCHAR) AS src, CAST(s.s_nationkey AS VARCHAR) AS dst
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  WHERE l.l_quantity >= 49 AND l.l_discount >= 0.09 AND l.l_tax >= 0.07)"""
+
+
+def trade_edges(spark, sf):
+    li = tbl(spark, sf, "lineitem").filter((F.col("l_quantity") >= 49) & (F.col("l_discount") >= 0.09)
+                                           & (F.col("l_tax") >= 0.07))
+    o, c, s = tbl(spark, sf, "orders"), tbl(spark, sf, "customer"), tbl(spark, sf, "supplier")
+    j = (li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"])
+           .join(s, li["l_suppkey"] == s["s_suppkey"]))
+    return j.select(F.col("c_nationkey").cast("string").alias("src"),
+                    F.col("s_nationkey").cast("string").alias("dst")).distinct()
+
+
+@query("has_cycle", f"""
+WITH RECURSIVE e AS {TRADE_EDGES_SQL},
+reach(s, d) AS (SELECT src, dst FROM e UNION SELECT reach.s, e.dst FROM reach JOIN e ON reach.d = e.src),
+cyc AS (SELECT DISTINCT s AS node FROM reach WHERE s = d)
+SELECT node FROM cyc UNION SELECT d FROM reach WHERE s IN (SELECT node FROM cyc)""")
+def has_cycle_q(spark, sf):
+    return G.cycle_nodes(trade_edges(spark, sf))
