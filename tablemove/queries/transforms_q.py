@@ -259,3 +259,11 @@ def qc_referential(spark, sf):
     b = Q.quality(o, [{"type": "referential", "column": "o_custkey", "ref": c.filter("c_acctbal > 0"),
                        "ref_column": "c_custkey"}])
     return a.unionByName(b)
+
+
+# ------------------------------------------------------------ fuzzy
+
+@query("fuzzy_dedupe")
+def fuzzy_dedupe(spark, sf):
+    from ..operators.fuzzy import fuzzy_dedupe as fd
+    return fd(tbl(spark, sf, "documents"), "doc_id", "text", threshold=0.8)
