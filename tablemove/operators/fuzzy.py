@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from .graph import _cut, connected_components
 
 # Feature space of the shingle hashing (collisions only merge shingles).
 NUM_FEATURES = 1 << 20
@@ -51,11 +51,12 @@ def fuzzy_dedupe(df: DataFrame, id_col: str, text_col: str, threshold: float = 0
     k = bands * rows_per_band
     d = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     # 1. exact copies: one representative per content hash
-    exact = d.groupBy(F.sha2(F.col("_t"), 256).alias("_h")).agg(F.min("_id").alias("_rep"))
-    reps = exact.join(d.withColumn("_h", F.sha2(F.col("_t"), 256)), "_h") \
-                .filter(F.col("_id") == F.col("_rep")).select("_id", "_t")
-    # 2. signatures and LSH bands of the representatives
-    sig = signatures(reps, "_id", "_t", k, shingle, seed)
+    # (all texts of a hash group are equal, so any one of them is the group's text)
+    reps = d.groupBy(F.sha2(F.col("_t"), 256).alias("_h")).agg(F.min("_id").alias("_id"),
+                                                                F.any_value("_t").alias("_t")).drop("_h")
+    # 2. signatures (small: k numbers per document) are written once, then
+    #    reused by banding and verification without recomputing the text work
+    sig = _cut(signatures(reps, "_id", "_t", k, shingle, seed))
     band_keys = F.array(*[F.struct(F.lit(b).alias("band"),
                                    F.xxhash64(F.slice(F.col("_sig"), b * rows_per_band + 1, rows_per_band)).alias("key"))
                           for b in range(bands)])

@@ -117,6 +117,7 @@ def auto_join(tables: dict[str, DataFrame], edges: DataFrame, names: list[str],
     path and one edge per hop) reaches the driver; the joins run on the data.
     """
     from .relational import join
+    edges = _cut(edges)  # small metadata table; evaluated once for path search and hop lookups
     hops = [names[0]]
     for left, right in zip(names, names[1:]):
         p = join_path(edges, left, right).collect()

@@ -33,6 +33,7 @@ def build_session(master: str = "local[8]", app: str = "tablemove",
                   shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "16g"))
     for k, v in {**SCALE_CONF, **(extra or {})}.items():
