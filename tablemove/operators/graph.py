@@ -8,7 +8,7 @@ start.  The only driver traffic per round is one count (convergence test).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -27,6 +27,18 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _cut_count(df: DataFrame, counted=None) -> tuple[DataFrame, int]:
+    """Checkpoint and count in one job: the count rides along as an Observation.
+
+    ``counted`` is an optional boolean column; then only rows where it holds
+    are counted.
+    """
+    obs = Observation()
+    c = F.count(F.lit(1)) if counted is None else F.count(F.when(counted, 1))
+    out = _cut(df.observe(obs, c.alias("n")))
+    return out, int(obs.get["n"])
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for an undirected graph; component = smallest node id.
 
@@ -38,10 +50,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     labels = _cut(e.select(F.col("src").alias("node")).distinct().withColumn("comp", F.col("node")))
     for _ in range(MAX_ROUNDS):
         prop = e.join(labels, e["src"] == labels["node"]).select(F.col("dst").alias("node"), F.col("comp"))
-        new = (prop.unionByName(labels).groupBy("node").agg(F.min("comp").alias("comp")))
-        new = _cut(new)
-        changed = new.join(labels.withColumnRenamed("comp", "old"), "node").filter(F.col("comp") != F.col("old")).count()
-        labels = new
+        new = prop.unionByName(labels).groupBy("node").agg(F.min("comp").alias("comp"))
+        new = new.join(labels.withColumnRenamed("comp", "_old"), "node")
+        new, changed = _cut_count(new.select("node", "comp", "_old"), F.col("comp") != F.col("_old"))
+        labels = new.drop("_old")
         if changed == 0:
             break
     return labels
@@ -64,8 +76,8 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: st
                        .select(F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops"),
                                F.concat(F.col("path"), F.array(F.col("dst"))).alias("path")))
         nxt = nxt.join(visited.select("node"), "node", "left_anti")
-        nxt = _cut(nxt.groupBy("node").agg(F.min("hops").alias("hops"), F.min("path").alias("path")))
-        if nxt.count() == 0:
+        nxt, n = _cut_count(nxt.groupBy("node").agg(F.min("hops").alias("hops"), F.min("path").alias("path")))
+        if n == 0:
             break
         visited = _cut(visited.unionByName(nxt))
         frontier = nxt
@@ -86,14 +98,12 @@ def cycle_nodes(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFra
     """Nodes left after repeatedly removing nodes without incoming edges
     (Kahn).  Non-empty result <=> the directed graph has a cycle; the
     remainder is every node on a cycle or downstream of one."""
-    e = _cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
-                  .filter(F.col("src").isNotNull() & F.col("dst").isNotNull()))
-    n = e.count()
+    e, n = _cut_count(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+                           .filter(F.col("src").isNotNull() & F.col("dst").isNotNull()))
     for _ in range(MAX_ROUNDS):
         # Keep edges whose source still has an incoming edge.
         has_in = e.select(F.col("dst").alias("src")).distinct()
-        e2 = _cut(e.join(has_in, "src", "left_semi"))
-        n2 = e2.count()
+        e2, n2 = _cut_count(e.join(has_in, "src", "left_semi"))
         e = e2
         if n2 == n:
             break

@@ -150,10 +150,12 @@ def name_edges(cols: DataFrame, threshold: float = NAME_SIMILARITY_THRESHOLD,
     keep = ["table_name", "column_name", "ordinal", "_k"] + ([connector_col] if connector_col and connector_col in cols.columns else [])
     a = c.select(*[F.col(x).alias(f"a_{x}") for x in keep])
     b = c.select(*[F.col(x).alias(f"b_{x}") for x in keep])
-    j = (pairs.join(a, F.col("a") == F.col("a__k")).join(b, F.col("b") == F.col("b__k"))
-              .filter(F.col("a_table_name") < F.col("b_table_name")))
+    j = pairs.join(a, F.col("a") == F.col("a__k")).join(b, F.col("b") == F.col("b__k"))
     if connector_col and connector_col in cols.columns:
-        j = j.filter(F.col(f"a_{connector_col}") != F.col(f"b_{connector_col}"))
+        # Source side = the table on the connector that sorts first.
+        j = j.filter(F.col(f"a_{connector_col}") < F.col(f"b_{connector_col}"))
+    else:
+        j = j.filter(F.col("a_table_name") < F.col("b_table_name"))
     j = j.withColumn("confidence", round_half_even(F.col("ratio") * F.lit(NAME_CONFIDENCE_WEIGHT), 3))
     w = Window.partitionBy("a_table_name", "b_table_name").orderBy(
         F.col("confidence").desc(), F.col("a_ordinal"), F.col("b_ordinal"))

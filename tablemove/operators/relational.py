@@ -35,13 +35,13 @@ def clause_column(clause: dict) -> Column:
     """
     col, op = clause["column"], clause.get("op", "eq")
     value = clause.get("value")
-    c = F.col(col)
     if op not in _OPS:
         raise ValueError(f"unknown filter op {op!r}; expected one of {_OPS}")
+    if value is None and op not in ("is_null", "is_not_null"):
+        raise ValueError(f"op {op!r} on {col!r} needs a value; use is_null / is_not_null for NULL")
+    c = F.col(col)
     if op in ("is_null", "is_not_null"):
         return c.isNull() if op == "is_null" else c.isNotNull()
-    if value is None:
-        raise ValueError(f"op {op!r} on {col!r} needs a value; use is_null / is_not_null for NULL")
     if op in ("in", "not_in"):
         vals = list(value) if isinstance(value, (list, tuple, set)) else [value]
         cond = c.isin(vals)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import relate as H
-from ..operators.relational import project
+from ..operators.quality import orphan_rows
 from ..sources.catalog import catalog_columns
 from ._registry import query, tbl
 from .sources_q import STAR_COLUMNS
@@ -115,9 +115,7 @@ def verified_fk_edges(spark, sf):
     checks = None
     for src, col, ref in DECLARED_FKS:
         rt, rc = ref.rsplit(".", 1)
-        n = (tbl(spark, sf, src).select(F.col(col).alias("_k")).filter(F.col("_k").isNotNull())
-             .join(tbl(spark, sf, rt).select(F.col(rc).alias("_k")), "_k", "left_anti")
-             .agg(F.count(F.lit(1)).alias("orphan_rows"))
+        n = (orphan_rows(tbl(spark, sf, src), col, tbl(spark, sf, rt), rc)
              .select(F.lit(src).alias("source_table"), F.lit(col).alias("source_column"), "orphan_rows"))
         checks = n if checks is None else checks.unionByName(n)
     return edges.join(checks, ["source_table", "source_column"])
