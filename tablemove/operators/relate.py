@@ -172,40 +172,54 @@ def name_edges(cols: DataFrame, threshold: float = NAME_SIMILARITY_THRESHOLD,
         (F.col("confidence") < CONFIRMATION_THRESHOLD).alias("needs_confirmation"))
 
 
-def _values(tables: dict[str, DataFrame], table: str, column: str) -> DataFrame:
-    df = tables[table]
-    fam = type_family(dict(df.dtypes)[column])
-    v = F.col(column).cast("string") if fam in ("integer", "string") else F.col(column).cast("string")
-    # Distinct first: a value holding a third of the rows collapses map-side.
-    return df.select(F.lit(table).alias("t"), F.lit(column).alias("c"), v.alias("v")) \
-             .filter(F.col("v").isNotNull()).distinct()
+def distinct_values(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]]) -> DataFrame:
+    """Distinct non-NULL ``(t, c, v)`` (value as string) for the given columns,
+    one scan per table; a value holding a third of the rows collapses in the
+    map-side part of the distinct."""
+    out = None
+    for t, cols in columns.items():
+        df = tables[t]
+        x = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
+        one = df.select(x.alias("x")).select(F.lit(t).alias("t"), "x.c", "x.v").filter(F.col("v").isNotNull())
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
 
 
 def value_overlap(tables: dict[str, DataFrame], pairs: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     """Exact Jaccard and containment of distinct values for the given column pairs.
 
-    ``pairs`` = (table_a, column_a, table_b, column_b); columns of different
-    type families are skipped.  Values are compared as strings of integers or
-    text, never of doubles.  For each pair only the two columns' distinct
-    values are joined on the value -- no value-level fan-out across all
-    columns.
+    ``pairs`` = (table_a, column_a, table_b, column_b); pairs of different
+    type families (or of floating columns) are skipped.  Values compare as
+    strings of integers or text.  All pairs are evaluated in one job: the
+    distinct values are tagged with the pair ids they take part in (the pair
+    list is caller-supplied metadata, broadcast) and one full outer join on
+    (pair, value) counts both sides and the intersection -- each value occurs
+    once per side, so the join has no hot key.
     """
-    out = None
+    keep = []
     for ta, ca, tb, cb in pairs:
         fa, fb = type_family(dict(tables[ta].dtypes)[ca]), type_family(dict(tables[tb].dtypes)[cb])
-        if fa != fb or fa not in ("integer", "string"):
-            continue
-        va, vb = _values(tables, ta, ca), _values(tables, tb, cb)
-        # Values are distinct per side, so the full join on the value has no hot key.
-        j = va.select("v", F.lit(1).alias("_a")).join(vb.select("v", F.lit(1).alias("_b")), "v", "full")
-        one = j.agg(F.count("_a").cast("long").alias("n_a"), F.count("_b").cast("long").alias("n_b"),
-                    F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1)).cast("long")
-                     .alias("n_both"))
-        one = one.select(F.lit(ta).alias("table_a"), F.lit(ca).alias("column_a"), F.lit(tb).alias("table_b"),
-                         F.lit(cb).alias("column_b"), "n_a", "n_b", "n_both")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+        if fa == fb and fa in ("integer", "string"):
+            keep.append((len(keep), ta, ca, tb, cb))
+    if not keep:
         raise ValueError("no comparable column pairs")
+    spark = tables[keep[0][1]].sparkSession
+    cols: dict[str, set] = {}
+    for _, ta, ca, tb, cb in keep:
+        cols.setdefault(ta, set()).add(ca)
+        cols.setdefault(tb, set()).add(cb)
+    vals = distinct_values(tables, {t: sorted(c) for t, c in cols.items()})
+    p = spark.createDataFrame(keep, "pair long, table_a string, column_a string, table_b string, column_b string")
+    side_a = vals.join(F.broadcast(p), (vals["t"] == p["table_a"]) & (vals["c"] == p["column_a"])) \
+                 .select("pair", "v", F.lit(1).alias("_a"))
+    side_b = vals.join(F.broadcast(p), (vals["t"] == p["table_b"]) & (vals["c"] == p["column_b"])) \
+                 .select("pair", "v", F.lit(1).alias("_b"))
+    counts = side_a.join(side_b, ["pair", "v"], "full").groupBy("pair").agg(
+        F.count("_a").cast("long").alias("n_a"), F.count("_b").cast("long").alias("n_b"),
+        F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1)).cast("long").alias("n_both"))
+    out = p.join(counts, "pair", "left").select(
+        "table_a", "column_a", "table_b", "column_b",
+        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_a", "n_b", "n_both")])
     union = F.col("n_a") + F.col("n_b") - F.col("n_both")
     return out.withColumns({
         "jaccard": F.when(union > 0, F.col("n_both") / union).otherwise(F.lit(0.0)),
@@ -268,25 +282,24 @@ def resolve_names(names: DataFrame, candidates: DataFrame, name_col: str = "enti
     e = names.select(F.col(name_col).alias("entity")).distinct()
     cq = F.col(cand_qualified) if cand_qualified in candidates.columns else F.col(cand_name)
     c = candidates.select(F.col(cand_name).alias("cname"), cq.alias("cqual"))
-    c = c.withColumn("_ord", F.dense_rank().over(Window.orderBy("cname", "cqual")))
     exact = (e.join(c, (F.col("entity") == F.col("cname")) | (F.col("entity") == F.col("cqual")))
-              .select("entity", "cname", "cqual", "_ord", F.lit(EXACT_CONFIDENCE).alias("score"), F.lit(1).alias("tier")))
+              .select("entity", "cname", "cqual", F.lit(EXACT_CONFIDENCE).alias("score"), F.lit(1).alias("tier")))
     ci = (e.join(c, (F.lower("entity") == F.lower("cname")) | (F.lower("entity") == F.lower("cqual")))
-           .select("entity", "cname", "cqual", "_ord", F.lit(CASE_INSENSITIVE_CONFIDENCE).alias("score"),
+           .select("entity", "cname", "cqual", F.lit(CASE_INSENSITIVE_CONFIDENCE).alias("score"),
                    F.lit(2).alias("tier")))
     el = e.select("entity", F.lower("entity").alias("el"))
-    cl = c.select("cname", "cqual", "_ord", F.lower("cname").alias("k1"),
+    cl = c.select("cname", "cqual", F.lower("cname").alias("k1"),
                   F.element_at(F.split(F.lower("cqual"), r"\."), -1).alias("k2"))
     keys = cl.select(F.col("k1").alias("name")).unionByName(cl.select(F.col("k2").alias("name")))
     sim = similar_pairs(el.select(F.col("el").alias("name")), keys, RESOLUTION_THRESHOLD)
     s1 = sim.join(el, F.col("a") == F.col("el")).join(cl, F.col("b") == F.col("k1")).select(
-        "entity", "cname", "cqual", "_ord", F.col("ratio").alias("score"))
+        "entity", "cname", "cqual", F.col("ratio").alias("score"))
     s2 = sim.join(el, F.col("a") == F.col("el")).join(cl, F.col("b") == F.col("k2")).select(
-        "entity", "cname", "cqual", "_ord", F.col("ratio").alias("score"))
-    fuzzy = s1.unionByName(s2).groupBy("entity", "cname", "cqual", "_ord").agg(F.max("score").alias("score")) \
+        "entity", "cname", "cqual", F.col("ratio").alias("score"))
+    fuzzy = s1.unionByName(s2).groupBy("entity", "cname", "cqual").agg(F.max("score").alias("score")) \
               .withColumn("tier", F.lit(3))
     allc = exact.unionByName(ci).unionByName(fuzzy)
-    w = Window.partitionBy("entity").orderBy("tier", F.col("score").desc(), "_ord")
+    w = Window.partitionBy("entity").orderBy("tier", F.col("score").desc(), "cname", "cqual")
     best = allc.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
     res = e.join(best, "entity", "left")
     score = F.coalesce(F.col("score"), F.lit(0.0))

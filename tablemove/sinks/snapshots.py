@@ -92,8 +92,14 @@ def current_version(spark: SparkSession, table: str) -> int | None:
     return v[-1]["version"] if v else None
 
 
+def _part_path(table: str, part: str) -> str:
+    """Parts are data directories relative to ``<table>/data`` or absolute file URIs
+    (files kept by a merge that did not touch them)."""
+    return part if (":" in part or part.startswith("/")) else f"{table.rstrip('/')}/data/{part}"
+
+
 def _parts_df(spark: SparkSession, table: str, row) -> DataFrame:
-    paths = [f"{table.rstrip('/')}/data/{p}" for p in row["parts"]]
+    paths = [_part_path(table, p) for p in row["parts"]]
     schema = T.StructType.fromJson(json.loads(row["schema_json"]))
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
@@ -151,8 +157,9 @@ def publish(spark: SparkSession, df: DataFrame, table: str, mode: str = "overwri
         if mode == "append" and old != _schema_of(df):
             raise ValueError("append needs the same schema as the current version")
 
+    kept_files: list[str] = []
     if mode == "merge" and prev is not None:
-        out = merge_frames(_parts_df(spark, table, prev), df, list(merge_keys), overwrite_schema)
+        out, kept_files = _merge_touched_files(spark, table, prev, df, list(merge_keys), overwrite_schema)
     else:
         out = df
     version = (prev["version"] + 1) if prev else 1
@@ -165,7 +172,7 @@ def publish(spark: SparkSession, df: DataFrame, table: str, mode: str = "overwri
         w = w.partitionBy(*partition_by)
     w.parquet(f"{table}/data/{part}")
     n = int(obs.get["rows"])
-    parts = ([*prev["parts"], part] if (mode == "append" and prev) else [part])
+    parts = ([*prev["parts"], part] if (mode == "append" and prev) else [*kept_files, part])
     result = {"version": version, "run_id": run_id, "mode": mode, "rows_written": n,
               "spec_version": spec_version(spec) if spec is not None else None,
               "committed_at": _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None),
@@ -175,6 +182,36 @@ def publish(spark: SparkSession, df: DataFrame, table: str, mode: str = "overwri
             "mode": mode, "version": version}
 
 
+def _merge_touched_files(spark: SparkSession, table: str, prev, source: DataFrame, keys: list[str],
+                         overwrite_schema: bool) -> tuple[DataFrame, list[str]]:
+    """Copy-on-write merge at file granularity.
+
+    One pass over the *key columns* of the current version finds the files
+    holding a key of the source (the source keys are usually small and Spark
+    broadcasts them under its size check; otherwise AQE splits hot keys of the
+    left join).  Only those files are read in full and rewritten together with
+    the source; untouched files are carried into the new version by
+    reference.  Any source key present in the table lives in a touched file,
+    so merging against the touched files alone gives the same result as
+    merging against the whole table.  The driver receives one row per data
+    file (file metadata), never table rows.
+    """
+    cur = _parts_df(spark, table, prev)
+    for k in keys:
+        if k not in cur.columns:
+            raise ValueError(f"merge key {k!r} not in target")
+    src_keys = source.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    per_file = (cur.select(*keys, F.col("_metadata.file_path").alias("_file"))
+                   .join(src_keys, keys, "left")
+                   .groupBy("_file").agg(F.max(F.col("_hit").isNotNull()).alias("_touched")))
+    files = per_file.collect()
+    touched = [r["_file"] for r in files if r["_touched"]]
+    kept = [r["_file"] for r in files if not r["_touched"]]
+    schema = T.StructType.fromJson(json.loads(prev["schema_json"]))
+    target = spark.read.schema(schema).parquet(*touched) if touched else spark.createDataFrame([], schema)
+    return merge_frames(target, source, keys, overwrite_schema), kept
+
+
 def rollback(spark: SparkSession, table: str, version: int, run_id: str | None = None) -> dict:
     """Make ``version`` current again, recorded as a new version (metadata only)."""
     rows = _versions(spark, table)

@@ -256,3 +256,16 @@ def test_write_mode_error_when_exists(spark, tmp_table):
         write_files(spark.range(2), tmp_table, "parquet", "error")
     with pytest.raises(ValueError):
         write_files(spark.range(2), tmp_table, "parquet", "replace")
+
+
+def test_merge_rewrites_only_touched_files(spark, tmp_table):
+    base = spark.range(0, 400).select(F.col("id").cast("int").alias("k"), F.lit("v0").alias("v"))
+    P.publish(spark, base.repartitionByRange(4, "k"), tmp_table)
+    src = spark.createDataFrame([(5, "new"), (1000, "ins")], "k int, v string")
+    P.publish(spark, src, tmp_table, "merge", merge_keys=["k"])
+    row = [r for r in P.history(spark, tmp_table).collect() if r["version"] == 2][0]
+    kept_files = [p for p in row["parts"] if ":" in p or p.startswith("/")]
+    assert len(kept_files) == 3 and len(row["parts"]) == 4  # three untouched files + one rewritten part
+    out = {r["k"]: r["v"] for r in P.read_table(spark, tmp_table).collect()}
+    assert len(out) == 401 and out[5] == "new" and out[1000] == "ins" and out[6] == "v0"
+    assert P.read_as_of(spark, tmp_table, 1).count() == 400
