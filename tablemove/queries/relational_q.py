@@ -323,7 +323,7 @@ def preview_topk(spark, sf):
 
 
 @query("window_rank", """
-SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS rnk FROM orders""")
+SELECT *, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS INTEGER) AS rnk FROM orders""")
 def window_rank(spark, sf):
     return R.with_expr(tbl(spark, sf, "orders"),
                        "rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC)", "rnk")
@@ -351,7 +351,7 @@ def window_running_sum(spark, sf):
 @query("expr_string", """
 SELECT c_custkey, upper(c_name) AS up, lower(c_mktsegment) AS low, trim('  ' || c_name || '  ') AS trimmed,
        substring(c_name, 1, 8) AS prefix8, concat_ws('-', c_name, c_mktsegment) AS joined,
-       regexp_replace(c_name, '[0-9]', '#', 'g') AS masked, length(c_name) AS len
+       regexp_replace(c_name, '[0-9]', '#', 'g') AS masked, CAST(length(c_name) AS INTEGER) AS len
 FROM customer""")
 def expr_string(spark, sf):
     return R.project(tbl(spark, sf, "customer"), [
@@ -423,7 +423,7 @@ def expr_array(spark, sf):
         {"expr": "element_at(embedding, 1)", "alias": "first"},
         {"expr": "aggregate(embedding, CAST(0 AS DOUBLE), (acc, x) -> acc + x)", "alias": "total"},
         {"expr": "size(filter(embedding, x -> x > 0))", "alias": "n_pos"},
-        {"expr": "transform(embedding, x -> x * 2)", "alias": "doubled"}])
+        {"expr": "transform(embedding, x -> CAST(x * 2 AS FLOAT))", "alias": "doubled"}])
 
 
 @query("expr_map_struct")
