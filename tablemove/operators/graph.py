@@ -42,15 +42,22 @@ def _cut_count(df: DataFrame, counted=None) -> tuple[DataFrame, int]:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for an undirected graph; component = smallest node id.
 
-    Min-label propagation: every round each node takes the smallest label
-    among itself and its neighbours.  The per-node minimum is a partial
-    aggregate, so a hub node with a third of all edges is combined map-side.
+    Min-label propagation with pointer jumping: every round each node takes
+    the smallest label among itself and its neighbours, then the label of its
+    label (labels are node ids of the same component, so this stays correct
+    and cuts the number of rounds from the diameter to about its logarithm).
+    The per-node minimum is a partial aggregate, so a hub node with a third of
+    all edges is combined map-side; both joins have one row per node on one
+    side, so AQE can split a hot key on the other.
     """
     e = _cut(_undirected(edges, src, dst))
     labels = _cut(e.select(F.col("src").alias("node")).distinct().withColumn("comp", F.col("node")))
     for _ in range(MAX_ROUNDS):
         prop = e.join(labels, e["src"] == labels["node"]).select(F.col("dst").alias("node"), F.col("comp"))
         new = prop.unionByName(labels).groupBy("node").agg(F.min("comp").alias("comp"))
+        hop = new.select(F.col("node").alias("_via"), F.col("comp").alias("_c2"))
+        new = (new.join(hop, new["comp"] == hop["_via"], "left")
+                  .select("node", F.least("comp", F.coalesce("_c2", "comp")).alias("comp")))
         new = new.join(labels.withColumnRenamed("comp", "_old"), "node")
         new, changed = _cut_count(new.select("node", "comp", "_old"), F.col("comp") != F.col("_old"))
         labels = new.drop("_old")

@@ -95,6 +95,37 @@ def orphan_rows(df: DataFrame, column: str, ref: DataFrame, ref_column: str) ->
     return missing.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("orphan_rows"))
 
 
+def orphan_counts(tables: dict[str, DataFrame], fks: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """Orphan rows for many foreign keys ``(table, column, ref_table, ref_column)`` in one job.
+
+    Each table is scanned once for all of its key columns (exploded to
+    ``(fk, key)``); child keys are counted map-side, parent keys made
+    distinct, and a single anti join on ``(fk, key)`` finds the orphans.
+    Keys compare as strings, so integer and text keys mix freely.
+    """
+    def tagged(side: int) -> DataFrame:
+        by_table: dict[str, list] = {}
+        for i, fk in enumerate(fks):
+            by_table.setdefault(fk[2 * side], []).append((i, fk[2 * side + 1]))
+        out = None
+        for t, cols in by_table.items():
+            x = F.explode(F.array(*[F.struct(F.lit(i).alias("fk"), F.col(c).cast("string").alias("k"))
+                                    for i, c in cols]))
+            one = tables[t].select(x.alias("x")).select("x.fk", "x.k").filter(F.col("k").isNotNull())
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    child = tagged(0).groupBy("fk", "k").agg(F.count(F.lit(1)).alias("_n"))
+    parent = tagged(1).distinct()
+    missing = child.join(parent, ["fk", "k"], "left_anti").groupBy("fk").agg(F.sum("_n").alias("_o"))
+    spark = next(iter(tables.values())).sparkSession
+    meta = spark.createDataFrame([(i, *fk) for i, fk in enumerate(fks)],
+                                 "fk int, table_name string, column_name string, ref_table string, ref_column string")
+    return meta.join(missing, "fk", "left").select(
+        "table_name", "column_name", "ref_table", "ref_column",
+        F.coalesce(F.col("_o"), F.lit(0)).cast("long").alias("orphan_rows"))
+
+
 def gate(df: DataFrame, checks: Sequence[dict], fail: bool = False) -> list:
     """Run the checks; raise on a failure if ``fail`` else log a warning.
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import name_key, round_half_even, similarity_ratio
+from ..functions.expressions import name_key, round_half_even
 from ..sources.catalog import type_family
 from .similarity import similar_pairs
 

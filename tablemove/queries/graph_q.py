@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import relate as H
-from ..operators.quality import orphan_rows
+from ..operators.quality import orphan_counts
 from ..sources.catalog import catalog_columns
 from ._registry import query, tbl
 from .sources_q import STAR_COLUMNS
@@ -112,12 +112,10 @@ def verified_fk_edges(spark, sf):
     """Explicit edges with their orphan count, checked against the data."""
     tables_df = spark.createDataFrame([(t,) for t in ALL_TABLES], "table_name string")
     edges = H.explicit_edges(fk_catalog(spark), tables_df)
-    checks = None
-    for src, col, ref in DECLARED_FKS:
-        rt, rc = ref.rsplit(".", 1)
-        n = (orphan_rows(tbl(spark, sf, src), col, tbl(spark, sf, rt), rc)
-             .select(F.lit(src).alias("source_table"), F.lit(col).alias("source_column"), "orphan_rows"))
-        checks = n if checks is None else checks.unionByName(n)
+    fks = [(src, col, *ref.rsplit(".", 1)) for src, col, ref in DECLARED_FKS]
+    names = {t for fk in fks for t in (fk[0], fk[2])}
+    checks = orphan_counts({t: tbl(spark, sf, t) for t in names}, fks).select(
+        F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"), "orphan_rows")
     return edges.join(checks, ["source_table", "source_column"])
 
 

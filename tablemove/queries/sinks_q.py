@@ -147,8 +147,7 @@ def write_partitioned(spark, sf):
 def write_table(spark, sf):
     name = "tm_customer_" + os.urandom(4).hex()
     path = scratch_path(spark, "tables", name)
-    df = tbl(spark, sf, "customer")
-    (df.write.mode("error").option("path", path).saveAsTable(name))
+    write_catalog_table(tbl(spark, sf, "customer"), name, "error", path=path)
     return spark.table(name)
 
 

@@ -41,11 +41,14 @@ def write_files(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
 
 
 def write_table(df: DataFrame, name: str, mode: str = "error",
-                partition_by: Sequence[str] | None = None, fmt: str = "parquet") -> int:
-    """K3: write a catalog table (``saveAsTable``)."""
+                partition_by: Sequence[str] | None = None, fmt: str = "parquet",
+                path: str | None = None) -> int:
+    """K3: write a catalog table (``saveAsTable``); ``path`` makes it an external table."""
     _check_mode(mode)
     df, obs = counted(df)
     w = df.write.format(fmt).mode(mode)
+    if path:
+        w = w.option("path", path)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.saveAsTable(name)
