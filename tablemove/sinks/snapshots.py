@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import delete_path, hadoop_fs, path_exists
-from .files import counted
+from .files import counted, rebalance
 from .merge import merge as merge_frames
 
 HISTORY_SCHEMA = T.StructType([
@@ -55,7 +55,7 @@ def stage(df: DataFrame, base: str, run_id: str, partition_by: Sequence[str] | N
     path = f"{base.rstrip('/')}/{run_id}"
     df, obs = counted(df)
     if partition_by:
-        df = df.repartition(*partition_by)
+        df = rebalance(df, partition_by)
     w = df.write.format(fmt).mode("overwrite").options(**(options or {}))
     if partition_by:
         w = w.partitionBy(*partition_by)
