@@ -269,3 +269,47 @@ def test_merge_rewrites_only_touched_files(spark, tmp_table):
     out = {r["k"]: r["v"] for r in P.read_table(spark, tmp_table).collect()}
     assert len(out) == 401 and out[5] == "new" and out[1000] == "ins" and out[6] == "v0"
     assert P.read_as_of(spark, tmp_table, 1).count() == 400
+
+
+# --------------------------------------------------------------- migrations
+
+def _spec(**kw):
+    base = {"operation": "copy", "source_tables": ["orders"], "target_table": "t",
+            "filters": [{"column": "o_orderstatus", "op": "eq", "value": "F"}]}
+    base.update(kw)
+    return base
+
+
+def test_migration_dry_run_writes_nothing(spark, tmp_table):
+    from conftest import SF_SMALL
+    from tablemove.plans.migrate import run_migration
+    tables = {"orders": f"{SF_SMALL}/orders.parquet"}
+    out = run_migration(spark, _spec(dry_run=True, incremental={
+        "orders": {"watermark_column": "o_orderdate", "last_watermark": "1998-01-01 00:00:00"}}), tables, tmp_table)
+    est = out["estimate"]
+    n = spark.read.parquet(tables["orders"]).filter("o_orderdate > TIMESTAMP '1998-01-01 00:00:00'").count()
+    assert est["sources"][0]["rows"] == n and est["sources"][0]["partitions"] == 1
+    assert [c for c, _ in est["output_schema"]][:2] == ["o_orderkey", "o_custkey"]
+    from tablemove.session import path_exists
+    assert not path_exists(spark, tmp_table)
+
+
+def test_migration_failed_gate_publishes_nothing(spark, tmp_table):
+    from conftest import SF_SMALL
+    from tablemove.operators.quality import QualityError
+    from tablemove.plans.migrate import run_migration
+    tables = {"orders": f"{SF_SMALL}/orders.parquet"}
+    with pytest.raises(QualityError):
+        run_migration(spark, _spec(checks=[{"type": "row_count", "min": 10 ** 9}]), tables, tmp_table)
+    assert P.current_version(spark, f"{tmp_table}/t") is None
+    out = run_migration(spark, _spec(), tables, tmp_table)
+    assert out["commit"]["version"] == 1 and out["frame"].filter("o_orderstatus <> 'F'").count() == 0
+
+
+def test_migration_needs_joins_for_several_sources(spark, tmp_table):
+    from tablemove.plans.migrate import build_frame
+    with pytest.raises(ValueError):
+        build_frame(spark, {"operation": "copy", "source_tables": ["a", "b"]},
+                    {"a": spark.range(1), "b": spark.range(1)})
+    with pytest.raises(ValueError):
+        build_frame(spark, {"operation": "rewrite", "source_tables": ["a"]}, {"a": spark.range(1)})
