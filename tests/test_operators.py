@@ -313,3 +313,14 @@ def test_migration_needs_joins_for_several_sources(spark, tmp_table):
                     {"a": spark.range(1), "b": spark.range(1)})
     with pytest.raises(ValueError):
         build_frame(spark, {"operation": "rewrite", "source_tables": ["a"]}, {"a": spark.range(1)})
+
+
+def test_stream_upsert_replay_is_skipped(spark, tmp_table):
+    from tablemove.streaming.streams import upsert_batch
+    b0 = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    b1 = spark.createDataFrame([(2, "B")], "k int, v string")
+    assert upsert_batch(b0, tmp_table, ["k"], "q-0")
+    assert upsert_batch(b1, tmp_table, ["k"], "q-1")
+    assert not upsert_batch(b1.withColumn("v", F.lit("replayed")), tmp_table, ["k"], "q-1")
+    assert sorted(tuple(r) for r in P.read_table(spark, tmp_table).collect()) == [(1, "a"), (2, "B")]
+    assert P.current_version(spark, tmp_table) == 2
