@@ -67,28 +67,39 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst",
-                   directed: bool = False) -> DataFrame:
+                   directed: bool = False, target: str | None = None) -> DataFrame:
     """Breadth-first search from the ``seeds`` frame (column ``node``).
 
     Returns (node, hops, path) for every reachable node; among equally short
-    paths the smallest path in array order wins.  One frontier join per level.
+    paths the smallest path in array order wins.  One frontier join per
+    level; each level is checkpointed once and the visited set is the union
+    of the (checkpointed) levels.  With ``target`` the search stops at the
+    level that reaches it (BFS levels are final once produced).
     """
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
     e = _cut(_undirected(e, "src", "dst") if not directed else e.distinct())
-    frontier = seeds.select(F.col("node"), F.lit(0).alias("hops"), F.array(F.col("node")).alias("path")).distinct()
-    visited = _cut(frontier)
-    frontier = visited
+    frontier, _ = _cut_count(seeds.select(F.col("node"), F.lit(0).alias("hops"),
+                                          F.array(F.col("node")).alias("path")).distinct())
+    levels = [frontier]
     for _ in range(MAX_ROUNDS):
+        if target is not None and frontier.filter(F.col("node") == target).limit(1).count():
+            break
+        visited = levels[0].select("node")
+        for lv in levels[1:]:
+            visited = visited.unionByName(lv.select("node"))
         nxt = (frontier.join(e, frontier["node"] == e["src"])
                        .select(F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops"),
                                F.concat(F.col("path"), F.array(F.col("dst"))).alias("path")))
-        nxt = nxt.join(visited.select("node"), "node", "left_anti")
+        nxt = nxt.join(visited, "node", "left_anti")
         nxt, n = _cut_count(nxt.groupBy("node").agg(F.min("hops").alias("hops"), F.min("path").alias("path")))
         if n == 0:
             break
-        visited = _cut(visited.unionByName(nxt))
+        levels.append(nxt)
         frontier = nxt
-    return visited
+    out = levels[0]
+    for lv in levels[1:]:
+        out = out.unionByName(lv)
+    return out
 
 
 def join_path(edges: DataFrame, source: str, target: str, src: str = "source_table",
@@ -97,7 +108,7 @@ def join_path(edges: DataFrame, source: str, target: str, src: str = "source_tab
     spark = edges.sparkSession
     seeds = spark.createDataFrame([(source,)], "node string")
     paths = shortest_paths(edges.select(F.col(src).cast("string").alias("src"),
-                                        F.col(dst).cast("string").alias("dst")), seeds)
+                                        F.col(dst).cast("string").alias("dst")), seeds, target=target)
     return paths.filter(F.col("node") == target).select("hops", "path")
 
 
