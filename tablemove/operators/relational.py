@@ -118,13 +118,19 @@ def _norm_keys(left_key, right_key, keys) -> list[tuple[str, str]]:
 def join(left: DataFrame, right: DataFrame, left_key: str | None = None,
          right_key: str | None = None, how: str = "inner", condition: str | None = None,
          keys: Sequence | None = None, suffix: str = "_r",
-         left_alias: str = "l", right_alias: str = "r") -> DataFrame:
+         left_alias: str = "l", right_alias: str = "r", skew_split_full: bool = True) -> DataFrame:
     """Equi-join on one or more key pairs with an optional residual predicate.
 
     Output names never clash (decision D6): a right-hand column whose name is
     already on the left gets ``suffix``; a same-named key equal on both sides
     is kept once (coalesced for full/right joins).  Missing keys raise (D3)
     unless the join is a cross join.
+
+    A full outer join is planned as ``left LEFT JOIN right`` plus ``right
+    LEFT ANTI left`` (``skew_split_full``): AQE's skew handling splits hot keys
+    of outer and anti joins but not of full outer joins, so a key holding a
+    third of the rows would otherwise sit in one task.  It costs one more scan
+    of each side; pass ``skew_split_full=False`` for Spark's native plan.
     """
     how_n = _HOW.get(how.lower())
     if how_n is None:
@@ -146,23 +152,12 @@ def join(left: DataFrame, right: DataFrame, left_key: str | None = None,
     if condition:
         c = F.expr(condition)
         cond = c if cond is None else cond & c
-    if how_n == "cross" and cond is None:
-        joined = l.crossJoin(r)
-    else:
-        joined = l.join(r, on=cond, how=how_n)
     if how_n in ("left_semi", "left_anti"):
-        return joined.select(*[F.col(f"{left_alias}.{c}") for c in left.columns])
+        return l.join(r, on=cond, how=how_n).select(*[F.col(f"{left_alias}.{c}") for c in left.columns])
 
+    # Output layout: left columns, then right columns renamed on clashes.
     shared_keys = {lk for lk, rk in pairs if lk == rk}
-    out = []
-    for c in left.columns:
-        if c in shared_keys and how_n == "full":
-            out.append(F.coalesce(F.col(f"{left_alias}.{c}"), F.col(f"{right_alias}.{c}")).alias(c))
-        elif c in shared_keys and how_n == "right":
-            out.append(F.col(f"{right_alias}.{c}").alias(c))
-        else:
-            out.append(F.col(f"{left_alias}.{c}").alias(c))
-    taken = set(left.columns)
+    taken, right_names = set(left.columns), {}
     for c in right.columns:
         if c in shared_keys:
             continue
@@ -170,8 +165,36 @@ def join(left: DataFrame, right: DataFrame, left_key: str | None = None,
         while name in taken:
             name = f"{name}{suffix}"
         taken.add(name)
-        out.append(F.col(f"{right_alias}.{c}").alias(name))
-    return joined.select(*out)
+        right_names[c] = name
+
+    def layout(key_from: str, left_missing: bool = False) -> list[Column]:
+        ltypes = dict(left.dtypes)
+        out = []
+        for c in left.columns:
+            if c in shared_keys:
+                src = F.col(f"{key_from}.{c}")
+            elif left_missing:
+                src = F.lit(None).cast(ltypes[c])
+            else:
+                src = F.col(f"{left_alias}.{c}")
+            out.append(src.alias(c))
+        out += [F.col(f"{right_alias}.{c}").alias(n) for c, n in right_names.items()]
+        return out
+
+    if how_n == "cross" and cond is None:
+        return l.crossJoin(r).select(*layout(left_alias))
+    if how_n == "full" and skew_split_full:
+        matched_or_left = l.join(r, on=cond, how="left").select(*layout(left_alias))
+        right_only = r.join(l, on=cond, how="left_anti").select(*layout(right_alias, left_missing=True))
+        return matched_or_left.unionByName(right_only)
+    joined = l.join(r, on=cond, how=how_n)
+    if how_n == "full":
+        cols = layout(left_alias)
+        cols[:len(left.columns)] = [
+            F.coalesce(F.col(f"{left_alias}.{c}"), F.col(f"{right_alias}.{c}")).alias(c) if c in shared_keys
+            else col for c, col in zip(left.columns, cols)]
+        return joined.select(*cols)
+    return joined.select(*layout(right_alias if how_n == "right" else left_alias))
 
 
 def join_chain(base: DataFrame, specs: Sequence[dict], tables: dict[str, DataFrame]) -> DataFrame:

@@ -324,3 +324,16 @@ def test_stream_upsert_replay_is_skipped(spark, tmp_table):
     assert not upsert_batch(b1.withColumn("v", F.lit("replayed")), tmp_table, ["k"], "q-1")
     assert sorted(tuple(r) for r in P.read_table(spark, tmp_table).collect()) == [(1, "a"), (2, "B")]
     assert P.current_version(spark, tmp_table) == 2
+
+
+def test_full_join_split_equals_native(spark):
+    import random
+    rnd = random.Random(4)
+    a = spark.createDataFrame([(rnd.choice([None, 1, 2, 3, 3, 3]), rnd.randint(0, 9), "l") for _ in range(60)],
+                              "k int, x int, tag string")
+    b = spark.createDataFrame([(rnd.choice([None, 2, 3, 4]), rnd.randint(0, 9)) for _ in range(40)], "k int, y int")
+    for cond in (None, "l.x < r.y"):
+        split = R.join(a, b, "k", "k", "full", condition=cond)
+        native = R.join(a, b, "k", "k", "full", condition=cond, skew_split_full=False)
+        assert split.columns == native.columns
+        assert sorted(map(str, split.collect())) == sorted(map(str, native.collect()))
