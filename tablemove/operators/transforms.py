@@ -125,7 +125,7 @@ def scd2(target: DataFrame | None, source: DataFrame, keys: Sequence[str], track
         c = F.col(k) == F.col(f"_s_{k}")
         cond = c if cond is None else cond & c
     j = cur.join(s, cond, "left")
-    changed = F.col("_s_hit").isNotNull() & F.lit(False)
+    changed = F.lit(False)
     for c in tracked:
         changed = changed | (F.col("_s_hit").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"_s_{c}")))
     out_cols = bcols + [valid_from, valid_to, is_current]
@@ -174,7 +174,7 @@ def apply_transform(df: DataFrame, op: str, params: dict | None = None) -> DataF
     if op == "scd_merge":
         from ..sinks.merge import merge
         kind = int(params.get("type", 1))
-        target = params["target"]
+        target = params.get("target")  # None = first load
         if kind == 1:
             return merge(target, df, params["keys"])
         return scd2(target, df, params["keys"], params.get("tracked", []), params["effective_at"])

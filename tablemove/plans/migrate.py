@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.graph import auto_join
 from ..operators.quality import gate
 from ..operators.relational import join_chain, map_columns, project, where, where_clauses
 from ..operators.transforms import apply_transform
@@ -35,8 +36,15 @@ def _resolve(spark: SparkSession, tables: dict, name: str) -> DataFrame:
     return spark.read.parquet(t) if isinstance(t, str) else t
 
 
-def build_frame(spark: SparkSession, spec: dict, tables: dict) -> DataFrame:
-    """The DataFrame a spec describes, before any write."""
+def build_frame(spark: SparkSession, spec: dict, tables: dict, edges: DataFrame | None = None,
+                current: DataFrame | None = None) -> DataFrame:
+    """The DataFrame a spec describes, before any write.
+
+    Several sources without ``joins`` are joined through the edge table
+    (``edges``, C10: confident edges only); an ``scd_merge`` transform without
+    an explicit target merges into ``current`` (the destination's current
+    version, None on the first load).
+    """
     write_mode(spec.get("operation", "copy"))
     sources = spec.get("source_tables") or []
     if not sources:
@@ -51,16 +59,24 @@ def build_frame(spark: SparkSession, spec: dict, tables: dict) -> DataFrame:
         frames[s] = df
     joins = spec.get("joins") or []
     if len(sources) > 1 and not joins:
-        raise ValueError("several sources but no joins in the spec")
-    df = frames[joins[0]["left_table"]] if joins else frames[sources[0]]
-    df = join_chain(df, joins, frames)
+        if edges is None:
+            raise ValueError("several sources but neither joins nor an edge table")
+        # intermediate tables on the join path come from ``tables`` too
+        path_tables = {n: (frames[n] if n in frames else _resolve(spark, tables, n)) for n in tables}
+        df = auto_join(path_tables, edges, list(sources))
+    else:
+        df = frames[joins[0]["left_table"]] if joins else frames[sources[0]]
+        df = join_chain(df, joins, frames)
     filters = spec.get("filters") or []
     structured = [f for f in filters if isinstance(f, dict)]
     df = where_clauses(df, structured)
     for p in (f for f in filters if isinstance(f, str)):
         df = where(df, p)
     for t in spec.get("transforms") or []:
-        df = apply_transform(df, t["op"], t.get("params"))
+        params = dict(t.get("params") or {})
+        if t["op"] == "scd_merge":
+            params.setdefault("target", current)
+        df = apply_transform(df, t["op"], params)
     if spec.get("column_mappings"):
         df = map_columns(df, spec["column_mappings"])
     else:
@@ -69,15 +85,18 @@ def build_frame(spark: SparkSession, spec: dict, tables: dict) -> DataFrame:
 
 
 def run_migration(spark: SparkSession, spec: dict, tables: dict, root: str,
-                  run_id: str | None = None, publish: bool = True, fail_on_error: bool = True) -> dict:
-    """Run a spec: build, gate, stage under ``<root>/_staging``, publish to ``<root>/<target>``.
+                  run_id: str | None = None, publish: bool = True, fail_on_error: bool = True,
+                  edges: DataFrame | None = None) -> dict:
+    """Run a spec: build, stage under ``<root>/_staging``, gate, publish to ``<root>/<target>``.
 
     ``dry_run: true`` returns the estimate (I6) and writes nothing.
     Returns ``{"frame", "staged", "commit", "checks", "table"}``.
     """
-    df = build_frame(spark, spec, tables)
+    table = f"{root.rstrip('/')}/{spec['target_table']}"
+    current = snapshots.read_table(spark, table) if snapshots.current_version(spark, table) else None
+    df = build_frame(spark, spec, tables, edges=edges, current=current)
     if spec.get("dry_run"):
-        return {"frame": df, "estimate": estimate(spark, spec, tables)}
+        return {"frame": df, "estimate": estimate(spark, spec, tables, frame=df)}
     import uuid
     run_id = run_id or uuid.uuid4().hex[:12]
     # Stage first, then gate on the staged files: the join/transform lineage
@@ -85,7 +104,7 @@ def run_migration(spark: SparkSession, spec: dict, tables: dict, root: str,
     staged = snapshots.stage(df, f"{root.rstrip('/')}/_staging", run_id)
     checks = spec.get("checks") or [{"type": "row_count", "min": 1}]
     results = gate(snapshots.read_staged(spark, staged["staging_path"]), checks, fail=fail_on_error)
-    out = {"staged": staged, "checks": results, "table": f"{root.rstrip('/')}/{spec['target_table']}"}
+    out = {"staged": staged, "checks": results, "table": table}
     if publish:
         mode = write_mode(spec.get("operation", "copy"))
         out["commit"] = snapshots.publish_run(

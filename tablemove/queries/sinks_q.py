@@ -13,7 +13,7 @@ from ..session import scratch_path
 from ..sinks import snapshots as P
 from ..sinks.files import write_files, write_table as write_catalog_table
 from ._registry import query, tbl
-from .transforms_q import MERGE_RESULT_SQL, merge_source
+from .transforms_q import MERGE_RESULT_SQL, SCD2_SQL, merge_source, scd2_inputs
 
 # ---------------------------------------------------------------- migrations
 
@@ -113,6 +113,36 @@ def migration_incremental(spark, sf):
     return M.run_migration(spark, inc, _paths(sf, "orders"), root)["frame"]
 
 
+@query("migration_scd2", SCD2_SQL)
+def migration_scd2(spark, sf):
+    """SCD type 2 through specs: the first run opens every row, the second
+    merges the changed source into the destination's current version."""
+    root = scratch_path(spark, "migrations")
+    _, src = scd2_inputs(spark, sf)
+
+    def spec(effective_at):
+        return {"operation": "transform", "source_tables": ["src"], "target_table": "dim_customer",
+                "transforms": [{"op": "scd_merge", "params": {
+                    "type": 2, "keys": ["c_custkey"], "tracked": ["c_mktsegment", "c_acctbal"],
+                    "effective_at": effective_at}}]}
+    M.run_migration(spark, spec("2020-01-01 00:00:00"), {"src": tbl(spark, sf, "customer")}, root)
+    return M.run_migration(spark, spec("2024-01-01 00:00:00"), {"src": src}, root)["frame"]
+
+
+@query("migration_auto_join", """
+SELECT l.*, o.*, c.* FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'BUILDING'""")
+def migration_auto_join(spark, sf):
+    """Two sources and no joins in the spec: the join path and keys come from
+    the verified foreign-key edges (C10 inside L1)."""
+    from .graph_q import ALL_TABLES, verified_fk_edges
+    edges = verified_fk_edges(spark, sf).filter(F.col("orphan_rows") == 0)
+    spec = {"operation": "copy", "source_tables": ["lineitem", "customer"], "target_table": "lines_by_customer",
+            "filters": [{"column": "c_mktsegment", "op": "eq", "value": "BUILDING"}]}
+    tables = {t: os.path.join(sf, f"{t}.parquet") for t in ALL_TABLES}
+    return M.run_migration(spark, spec, tables, scratch_path(spark, "migrations"), edges=edges)["frame"]
+
+
 @query("estimate_cost", """
 SELECT 'orders' AS source, count(*) AS rows FROM orders WHERE o_orderdate > TIMESTAMP '1998-01-01 00:00:00'
 UNION ALL SELECT 'customer', count(*) FROM customer""")
