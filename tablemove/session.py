@@ -29,6 +29,24 @@ SCALE_CONF = {
 }
 
 
+def sizing(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024 * 1024) -> dict:
+    """Shuffle/scan sizing for an input of ``input_bytes`` on ``total_cores``.
+
+    Shuffle partitions start at about one per ``partition_bytes`` of input
+    (never fewer than two per core) so no reducer holds more than it can sort
+    in memory; AQE then coalesces small ones and splits skewed ones at
+    runtime.  Scan splits stay at 128 MiB.  E.g. 100 TB on 8000 cores gives
+    ~400k initial shuffle partitions.
+    """
+    n = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+        "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    }
+
+
 def build_session(master: str = "local[8]", app: str = "tablemove",
                   shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
     b = (SparkSession.builder.master(master).appName(app)
