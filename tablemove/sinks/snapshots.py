@@ -67,6 +67,12 @@ def read_staged(spark: SparkSession, staging_path: str, fmt: str = "parquet") ->
     return spark.read.format(fmt).load(staging_path)
 
 
+def read_preview(spark: SparkSession, staging_path: str, n: int = 100, order_by=None) -> DataFrame:
+    """First ``n`` staged rows for review before approval (G1 on the staged files)."""
+    from ..operators.relational import preview
+    return preview(read_staged(spark, staging_path), n, order_by)
+
+
 def discard(spark: SparkSession, base: str, run_id: str) -> bool:
     """Delete one staged run; the destination is never touched."""
     return delete_path(spark, f"{base.rstrip('/')}/{run_id}")

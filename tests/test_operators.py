@@ -337,3 +337,9 @@ def test_full_join_split_equals_native(spark):
         native = R.join(a, b, "k", "k", "full", condition=cond, skew_split_full=False)
         assert split.columns == native.columns
         assert sorted(map(str, split.collect())) == sorted(map(str, native.collect()))
+
+
+def test_staged_preview(spark, tmp_table):
+    st = P.stage(spark.range(500), tmp_table, "p1")
+    assert P.read_preview(spark, st["staging_path"]).count() == 100
+    assert [r["id"] for r in P.read_preview(spark, st["staging_path"], 3, ["id desc"]).collect()] == [499, 498, 497]
