@@ -249,6 +249,31 @@ def value_edges(overlap: DataFrame, name_conf: DataFrame | None = None) -> DataF
         (F.col("confidence") < CONFIRMATION_THRESHOLD).alias("needs_confirmation"))
 
 
+def infer_edges(tables: dict[str, DataFrame], cols: DataFrame,
+                connector_col: str | None = "connector") -> DataFrame:
+    """H6 + H7 together: per table pair the best name-similarity edge, upgraded
+    to a value edge when the Jaccard overlap of the two columns' full
+    distinct values is >= 0.5 and the combined confidence beats the name
+    confidence.  Only the best name pairs are value-checked (one row per table
+    pair -- edge metadata reaches the driver, values never do)."""
+    names = name_edges(cols, connector_col=connector_col)
+    pairs = [(r["source_table"], r["source_column"], r["target_table"], r["target_column"])
+             for r in names.select("source_table", "source_column", "target_table", "target_column").collect()]
+    if not pairs:
+        return names
+    comparable = []
+    for ta, ca, tb, cb in pairs:
+        if type_family(dict(tables[ta].dtypes)[ca]) == type_family(dict(tables[tb].dtypes)[cb]) and \
+                type_family(dict(tables[ta].dtypes)[ca]) in ("integer", "string"):
+            comparable.append((ta, ca, tb, cb))
+    if not comparable:
+        return names
+    upgraded = value_edges(value_overlap(tables, comparable), names)
+    keys = ["source_table", "target_table"]
+    kept = names.join(upgraded.select(*keys), keys, "left_anti")
+    return kept.unionByName(upgraded.select(*EDGE_COLUMNS))
+
+
 # ------------------------------------------------------- edge queries
 
 def low_confidence(edges: DataFrame, threshold: float = CONFIRMATION_THRESHOLD,

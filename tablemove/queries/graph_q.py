@@ -318,3 +318,12 @@ cyc AS (SELECT DISTINCT s AS node FROM reach WHERE s = d)
 SELECT node FROM cyc UNION SELECT d FROM reach WHERE s IN (SELECT node FROM cyc)""")
 def has_cycle_q(spark, sf):
     return G.cycle_nodes(trade_edges(spark, sf))
+
+
+@query("inferred_edges")
+def inferred_edges(spark, sf):
+    """Name-similarity edges over all given tables, upgraded by the value
+    overlap of the matched columns (full distinct values, no sampling)."""
+    tables = {t: tbl(spark, sf, t) for t in ALL_TABLES}
+    cols = catalog_columns(spark, tables).withColumn("connector", F.col("table_name"))
+    return H.infer_edges(tables, cols)

@@ -219,3 +219,14 @@ def test_fuzzy_dedupe_collapses_all_exact_copies(spark):
     firsts = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
     # every kept document is the smallest id of its exact-copy group
     assert kept.join(firsts, ["doc_id", "text"], "left_anti").count() == 0
+
+
+def test_inferred_edges_value_upgrade(spark):
+    from conftest import SF_SMALL
+    from tablemove.queries import QUERIES
+    got = {(r["source_table"], r["target_table"]): (r["kind"], r["confidence"])
+           for r in QUERIES["inferred_edges"](spark, SF_SMALL).collect()}
+    # 0.4 * 0.787 + 0.6 * 1.0 (every customer has an order) = 0.9148 -> 0.915
+    assert got[("customer", "orders")] == ("inferred_value", 0.915)
+    assert got[("lineitem", "orders")] == ("inferred_value", round(0.4 * 0.8 + 0.6, 3))
+    assert got[("customer", "part")][0] == "inferred_name"
