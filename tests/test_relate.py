@@ -233,7 +233,7 @@ def test_inferred_edges_value_upgrade(spark):
         SELECT (SELECT count(DISTINCT l_orderkey) FROM '{SF_SMALL}/lineitem.parquet'),
                (SELECT count(DISTINCT o_orderkey) FROM '{SF_SMALL}/orders.parquet'),
                (SELECT count(*) FROM (SELECT l_orderkey FROM '{SF_SMALL}/lineitem.parquet' INTERSECT
-                                      SELECT o_orderkey FROM '{SF_SMALL}/orders.parquet'))""").fetchone()
+                                      SELECT o_orderkey FROM '{SF_SMALL}/orders.parquet'))""").fetchall()[0]
     jac = both / (a + b - both)
     assert got[("lineitem", "orders")] == ("inferred_value", round(0.4 * 0.8 + 0.6 * jac, 3))
     assert got[("customer", "part")][0] == "inferred_name"
