@@ -131,8 +131,8 @@ def explicit_edges(fks: DataFrame, tables: DataFrame) -> DataFrame:
     return e.select(
         _edge_id("source_table", "target_table", "_c").alias("edge_id"), "source_table", "target_table",
         F.lit("explicit").alias("kind"), "source_column", "target_column", F.lit(1.0).alias("confidence"),
-        F.concat(F.lit("Declared foreign key "), F.col("source_table"), F.lit("."), F.col("source_column"),
-                 F.lit(" -> "), F.col("target_table"), F.lit("."), F.col("target_column")).alias("reasoning"),
+        F.concat_ws("", F.lit("foreign key: "), F.col("source_table"), F.lit("."), F.col("source_column"),
+                    F.lit(" references "), F.col("target_table"), F.lit("."), F.col("target_column")).alias("reasoning"),
         F.lit(False).alias("needs_confirmation"))
 
 
@@ -166,9 +166,9 @@ def name_edges(cols: DataFrame, threshold: float = NAME_SIMILARITY_THRESHOLD,
         F.lit("inferred_name").alias("kind"),
         F.col("a_column_name").alias("source_column"), F.col("b_column_name").alias("target_column"),
         "confidence",
-        F.concat(F.lit("Column name similarity "), F.round(F.col("ratio") * 100).cast("int").cast("string"),
-                 F.lit("%: "), F.col("a_table_name"), F.lit("."), F.col("a_column_name"), F.lit(" <-> "),
-                 F.col("b_table_name"), F.lit("."), F.col("b_column_name")).alias("reasoning"),
+        F.concat_ws("", F.lit("similar names "), F.col("a_table_name"), F.lit("."), F.col("a_column_name"),
+                    F.lit(" ~ "), F.col("b_table_name"), F.lit("."), F.col("b_column_name"),
+                    F.lit(" (ratio "), F.format_number(F.col("ratio"), 2), F.lit(")")).alias("reasoning"),
         (F.col("confidence") < CONFIRMATION_THRESHOLD).alias("needs_confirmation"))
 
 
@@ -244,8 +244,8 @@ def value_edges(overlap: DataFrame, name_conf: DataFrame | None = None) -> DataF
         _edge_id("table_a", "table_b").alias("edge_id"), F.col("table_a").alias("source_table"),
         F.col("table_b").alias("target_table"), F.lit("inferred_value").alias("kind"),
         F.col("column_a").alias("source_column"), F.col("column_b").alias("target_column"), "confidence",
-        F.concat(F.lit("Value overlap (Jaccard="), F.round(F.col("jaccard") * 100).cast("int").cast("string"),
-                 F.lit("%)")).alias("reasoning"),
+        F.concat_ws("", F.lit("shared values: jaccard "), F.format_number(F.col("jaccard"), 2),
+                    F.lit(", containment "), F.format_number(F.col("containment"), 2)).alias("reasoning"),
         (F.col("confidence") < CONFIRMATION_THRESHOLD).alias("needs_confirmation"))
 
 
@@ -356,8 +356,8 @@ def check_joins(joins: DataFrame, edges: DataFrame) -> DataFrame:
                     F.coalesce(F.col("_e.confidence"), F.lit(UNVERIFIED_JOIN_CONFIDENCE)).alias("confidence"),
                     F.coalesce(F.col("_e.needs_confirmation"), F.lit(True)).alias("needs_confirmation"),
                     F.coalesce(F.col("_e.reasoning"), F.concat(
-                        F.lit("Join key specified by user; not found in graph edges. Verify "),
-                        F.col("left_key"), F.lit(" <-> "), F.col("right_key"))).alias("reasoning"))
+                        F.lit("no edge supports "), F.col("left_table"), F.lit("."), F.col("left_key"), F.lit(" = "),
+                        F.col("right_table"), F.lit("."), F.col("right_key"), F.lit("; confirm before use"))).alias("reasoning"))
 
 
 # ----------------------------------------------------- mapping report
