@@ -191,10 +191,10 @@ def value_overlap(tables: dict[str, DataFrame], pairs: Sequence[tuple[str, str,
     ``pairs`` = (table_a, column_a, table_b, column_b); pairs of different
     type families (or of floating columns) are skipped.  Values compare as
     strings of integers or text.  All pairs are evaluated in one job: the
-    distinct values are tagged with the pair ids they take part in (the pair
-    list is caller-supplied metadata, broadcast) and one full outer join on
-    (pair, value) counts both sides and the intersection -- each value occurs
-    once per side, so the join has no hot key.
+    distinct values (computed once) are tagged with the pair sides they
+    belong to (the pair list is caller-supplied metadata, broadcast), then two
+    aggregations -- per (pair, value) and per pair -- count both sides and the
+    intersection.  Only aggregates, all with map-side partial aggregation.
     """
     keep = []
     for ta, ca, tb, cb in pairs:
@@ -210,13 +210,14 @@ def value_overlap(tables: dict[str, DataFrame], pairs: Sequence[tuple[str, str,
         cols.setdefault(tb, set()).add(cb)
     vals = distinct_values(tables, {t: sorted(c) for t, c in cols.items()})
     p = spark.createDataFrame(keep, "pair long, table_a string, column_a string, table_b string, column_b string")
-    side_a = vals.join(F.broadcast(p), (vals["t"] == p["table_a"]) & (vals["c"] == p["column_a"])) \
-                 .select("pair", "v", F.lit(1).alias("_a"))
-    side_b = vals.join(F.broadcast(p), (vals["t"] == p["table_b"]) & (vals["c"] == p["column_b"])) \
-                 .select("pair", "v", F.lit(1).alias("_b"))
-    counts = side_a.join(side_b, ["pair", "v"], "full").groupBy("pair").agg(
-        F.count("_a").cast("long").alias("n_a"), F.count("_b").cast("long").alias("n_b"),
-        F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1)).cast("long").alias("n_both"))
+    sides = spark.createDataFrame([(i, 0, ta, ca) for i, ta, ca, _, _ in keep] +
+                                  [(i, 1, tb, cb) for i, _, _, tb, cb in keep],
+                                  "pair long, side int, t string, c string")
+    tagged = vals.join(F.broadcast(sides), ["t", "c"]).select("pair", "side", "v")
+    per_value = tagged.groupBy("pair", "v").agg(F.max((F.col("side") == 0).cast("int")).alias("_a"),
+                                                F.max((F.col("side") == 1).cast("int")).alias("_b"))
+    counts = per_value.groupBy("pair").agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"),
+                                           F.sum(F.col("_a") * F.col("_b")).alias("n_both"))
     out = p.join(counts, "pair", "left").select(
         "table_a", "column_a", "table_b", "column_b",
         *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_a", "n_b", "n_both")])

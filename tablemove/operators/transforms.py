@@ -72,13 +72,15 @@ def type_cast(df: DataFrame, casts: dict[str, str], on_error: str = "fail") -> D
 
 # ------------------------------------------------------------ SCD
 
-def _check_unique_source(source: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
-    """Fail the job if a non-NULL key occurs twice in ``source``; else return it.
-
-    Keyed rows are collapsed by a hash aggregate (partial aggregation on the
-    map side, so a hot key never lands whole in one task) and a count > 1
-    raises inside the same job.  Rows with a NULL key never match anything
-    (D15) and pass through untouched.
+def split_unique_source(source: DataFrame, keys: Sequence[str], what: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with a full non-NULL key, rows with a NULL key part).
+
+    The keyed rows are collapsed by an aggregate on the keys (partial
+    aggregation on the map side, so a hot key never lands whole in one task)
+    and a count > 1 fails the job with ``<what>: duplicate source key``.  The
+    result comes out hash-partitioned on the keys, so a following join on the
+    same keys reuses that partitioning.  NULL-key rows never match anything
+    (D15) and are returned apart, unchanged.
     """
     all_keys = F.lit(True)
     for k in keys:
@@ -90,8 +92,14 @@ def _check_unique_source(source: DataFrame, keys: Sequence[str], what: str) -> D
         agg.append(F.any_value(F.struct(*others)).alias("_tm_row"))
     keyed = (source.filter(all_keys).groupBy(*keys).agg(*agg)
                    .filter(F.when(F.col("_tm_n") > 1, F.raise_error(msg)).otherwise(F.lit(True))))
-    keyed = keyed.select(*keys, *([F.col("_tm_row." + c).alias(c) for c in others]))
-    return keyed.select(*source.columns).unionByName(source.filter(~all_keys))
+    keyed = keyed.select(*keys, *([F.col("_tm_row." + c).alias(c) for c in others])).select(*source.columns)
+    return keyed, source.filter(~all_keys)
+
+
+def _check_unique_source(source: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """``split_unique_source`` with both parts unioned again."""
+    keyed, nulls = split_unique_source(source, keys, what)
+    return keyed.unionByName(nulls)
 
 
 def scd2(target: DataFrame | None, source: DataFrame, keys: Sequence[str], tracked: Sequence[str],
@@ -106,12 +114,12 @@ def scd2(target: DataFrame | None, source: DataFrame, keys: Sequence[str], track
     source side can be broadcast under Spark's size threshold.
     """
     eff = F.lit(effective_at).cast(ts_type) if not isinstance(effective_at, Column) else effective_at
-    src = _check_unique_source(source, keys, "scd2")
+    src, src_nulls = split_unique_source(source, keys, "scd2")
     data_cols = [c for c in source.columns]
     if target is None:
-        return src.select(*[F.col(c) for c in data_cols],
-                          eff.alias(valid_from), F.lit(None).cast(ts_type).alias(valid_to),
-                          F.lit(True).alias(is_current))
+        return src.unionByName(src_nulls).select(
+            *[F.col(c) for c in data_cols], eff.alias(valid_from), F.lit(None).cast(ts_type).alias(valid_to),
+            F.lit(True).alias(is_current))
     bcols = [c for c in target.columns if c not in (valid_from, valid_to, is_current)]
     missing = [c for c in data_cols if c not in bcols]
     if missing:
@@ -138,7 +146,7 @@ def scd2(target: DataFrame | None, source: DataFrame, keys: Sequence[str], track
                       F.lit(True).alias(is_current))
     cur_out = (j.select(F.explode(F.when(changed, F.array(closed, opened)).otherwise(F.array(keep))).alias("_r"))
                 .select("_r.*"))
-    new_keys = src.join(cur.select(*keys), list(keys), "left_anti")
+    new_keys = src.join(cur.select(*keys), list(keys), "left_anti").unionByName(src_nulls)
     opened_new = new_keys.select(*[(F.col(c) if c in data_cols else F.lit(None).cast(dict(target.dtypes)[c])).alias(c)
                                    for c in bcols],
                                  eff.alias(valid_from), F.lit(None).cast(ts_type).alias(valid_to),

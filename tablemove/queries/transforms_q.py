@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from ..session import scratch_path
 from ..operators import transforms as X
 from ..sinks.merge import merge
 from ..sources import cdc
@@ -204,10 +205,13 @@ def cdc_snapshot_diff(spark, sf):
 def cdc_apply(spark, sf):
     # Applying the diff of (old -> new) to old must give new.  Each change gets
     # a sequence number; an older duplicate change per key must lose.
+    # The change feed is stored first, as a CDC log would be, then applied.
     old, new = cdc_pair(spark, sf)
     changes = cdc.cdc_snapshot_diff(old, new, ["o_orderkey"]).withColumn("_seq", F.lit(2))
     stale = changes.withColumn("_seq", F.lit(1)).withColumn("o_orderstatus", F.lit("STALE"))
-    return cdc.cdc_apply(old, changes.unionByName(stale), ["o_orderkey"], "_seq")
+    feed = scratch_path(spark, "cdc_feed")
+    changes.unionByName(stale).write.mode("error").parquet(feed)
+    return cdc.cdc_apply(old, spark.read.parquet(feed), ["o_orderkey"], "_seq")
 
 
 # ----------------------------------------------------------------- quality

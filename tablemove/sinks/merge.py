@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.transforms import _check_unique_source
+from ..operators.transforms import split_unique_source
 
 
 def merge(target: DataFrame | None, source: DataFrame, keys: Sequence[str],
@@ -30,9 +30,9 @@ def merge(target: DataFrame | None, source: DataFrame, keys: Sequence[str],
     for k in keys:
         if k not in source.columns:
             raise ValueError(f"merge key {k!r} not in source")
-    src = _check_unique_source(source, keys, "merge")
+    src, src_nulls = split_unique_source(source, keys, "merge")
     if target is None:
-        return src
+        return src.unionByName(src_nulls)
     for k in keys:
         if k not in target.columns:
             raise ValueError(f"merge key {k!r} not in target")
@@ -58,7 +58,7 @@ def merge(target: DataFrame | None, source: DataFrame, keys: Sequence[str],
         else:
             sel.append(F.col(f"_s_{c}").alias(c))
     updated = upd.select(*sel)
-    inserts = src.join(target.select(*keys), list(keys), "left_anti")
+    inserts = src.join(target.select(*keys), list(keys), "left_anti").unionByName(src_nulls)
     ins = inserts.select(*[(F.col(c).cast(tdt[c]) if c in source.columns else F.lit(None).cast(tdt[c])).alias(c)
                            if c in tdt else F.col(c) for c in out_cols])
     return updated.unionByName(ins)

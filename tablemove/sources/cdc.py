@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.transforms import _check_unique_source
+from ..operators.transforms import split_unique_source
 
 # Change operation codes in the ``_op`` column.
 OP_INSERT, OP_UPDATE, OP_DELETE = "insert", "update", "delete"
@@ -20,12 +20,14 @@ def cdc_snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> Da
     key in both and some non-key column differs NULL-safely.  Unchanged rows
     are not emitted.  Duplicate keys on either side fail the job.
 
-    One full outer join on the keys (both sides shuffled once on the keys);
-    the key-uniqueness check is a partial-aggregated count, so a hot key does
-    not pile up in one task before the check fires.
+    One full outer join on the keys: each side comes out of its key
+    uniqueness check already hash-partitioned on the keys, so the join adds
+    no further shuffle, and with unique keys per side the join has no hot
+    key.  The check is a partial-aggregated count, so a repeated key does not
+    pile up in one task before it fires.
     """
-    o = _check_unique_source(old, keys, "cdc old snapshot")
-    n = _check_unique_source(new, keys, "cdc new snapshot")
+    o, o_nulls = split_unique_source(old, keys, "cdc old snapshot")
+    n, n_nulls = split_unique_source(new, keys, "cdc new snapshot")
     cols = list(new.columns)
     nonkey = [c for c in cols if c not in keys]
     oa = o.select(*[F.col(c).alias(f"_o_{c}") for c in cols], F.lit(True).alias("_o_hit"))
@@ -42,8 +44,11 @@ def cdc_snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> Da
            .when(F.col("_n_hit").isNull(), F.lit(OP_DELETE))
            .when(differs, F.lit(OP_UPDATE)))
     j = j.withColumn("_op", op).filter(F.col("_op").isNotNull())
-    return j.select(*[F.when(F.col("_op") == OP_DELETE, F.col(f"_o_{c}")).otherwise(F.col(f"_n_{c}")).alias(c)
-                      for c in cols], "_op")
+    changes = j.select(*[F.when(F.col("_op") == OP_DELETE, F.col(f"_o_{c}")).otherwise(F.col(f"_n_{c}")).alias(c)
+                         for c in cols], "_op")
+    # NULL keys never match: such old rows are deletes, such new rows inserts.
+    return (changes.unionByName(o_nulls.select(*cols, F.lit(OP_DELETE).alias("_op")))
+                   .unionByName(n_nulls.select(*cols, F.lit(OP_INSERT).alias("_op"))))
 
 
 def cdc_apply(target: DataFrame, changes: DataFrame, keys: Sequence[str], seq: str,

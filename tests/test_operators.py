@@ -343,3 +343,14 @@ def test_staged_preview(spark, tmp_table):
     st = P.stage(spark.range(500), tmp_table, "p1")
     assert P.read_preview(spark, st["staging_path"]).count() == 100
     assert [r["id"] for r in P.read_preview(spark, st["staging_path"], 3, ["id desc"]).collect()] == [499, 498, 497]
+
+
+def test_cdc_null_keys_are_delete_and_insert(spark):
+    old = spark.createDataFrame([(None, "o"), (1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(None, "n"), (1, "a"), (2, "B"), (3, "c")], "k int, v string")
+    got = sorted((str(r["k"]), r["v"], r["_op"]) for r in cdc.cdc_snapshot_diff(old, new, ["k"]).collect())
+    assert got == [("2", "B", "update"), ("3", "c", "insert"), ("None", "n", "insert"), ("None", "o", "delete")]
+    applied = cdc.cdc_apply(old.filter("k is not null"),
+                            cdc.cdc_snapshot_diff(old, new, ["k"]).filter("k is not null").withColumn("s", F.lit(1)),
+                            ["k"], "s")
+    assert sorted(tuple(r) for r in applied.collect()) == [(1, "a"), (2, "B"), (3, "c")]
