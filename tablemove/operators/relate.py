@@ -308,11 +308,17 @@ def resolve_names(names: DataFrame, candidates: DataFrame, name_col: str = "enti
     e = names.select(F.col(name_col).alias("entity")).distinct()
     cq = F.col(cand_qualified) if cand_qualified in candidates.columns else F.col(cand_name)
     c = candidates.select(F.col(cand_name).alias("cname"), cq.alias("cqual"))
-    exact = (e.join(c, (F.col("entity") == F.col("cname")) | (F.col("entity") == F.col("cqual")))
-              .select("entity", "cname", "cqual", F.lit(EXACT_CONFIDENCE).alias("score"), F.lit(1).alias("tier")))
-    ci = (e.join(c, (F.lower("entity") == F.lower("cname")) | (F.lower("entity") == F.lower("cqual")))
-           .select("entity", "cname", "cqual", F.lit(CASE_INSENSITIVE_CONFIDENCE).alias("score"),
-                   F.lit(2).alias("tier")))
+    def tier(key_e, key_c_name, key_c_qual, score: float, level: int) -> DataFrame:
+        # Two equi-joins (name, qualified name) instead of one OR-join, which
+        # would need a nested-loop join over every pair.
+        ee = e.withColumn("_k", key_e)
+        by_name = ee.join(c.withColumn("_k", key_c_name), "_k")
+        by_qual = ee.join(c.withColumn("_k", key_c_qual), "_k")
+        return (by_name.unionByName(by_qual).select("entity", "cname", "cqual").distinct()
+                .select("entity", "cname", "cqual", F.lit(score).alias("score"), F.lit(level).alias("tier")))
+
+    exact = tier(F.col("entity"), F.col("cname"), F.col("cqual"), EXACT_CONFIDENCE, 1)
+    ci = tier(F.lower("entity"), F.lower("cname"), F.lower("cqual"), CASE_INSENSITIVE_CONFIDENCE, 2)
     el = e.select("entity", F.lower("entity").alias("el"))
     cl = c.select("cname", "cqual", F.lower("cname").alias("k1"),
                   F.element_at(F.split(F.lower("cqual"), r"\."), -1).alias("k2"))
@@ -376,12 +382,15 @@ def type_family_col(dtype: Column) -> Column:
 def mapping_report(mappings: DataFrame, src_cols: DataFrame, dst_cols: DataFrame) -> DataFrame:
     """Per mapping (source_column, target_column, score): source and target
     types and a type-family mismatch flag, plus the overall confidence = mean
-    of all scores (3 decimals) on every row."""
+    of all scores of the mapping set (per ``target_table`` if given; 3
+    decimals) on every row."""
     s = src_cols.select(F.col("column_name").alias("source_column"), F.col("dtype").alias("source_type"))
     d = dst_cols.select(F.col("column_name").alias("target_column"), F.col("dtype").alias("target_type"))
     j = mappings.join(s, "source_column", "left").join(d, "target_column", "left")
     j = j.withColumn("type_mismatch", F.col("source_type").isNotNull() & F.col("target_type").isNotNull()
                      & (type_family_col(F.col("source_type")) != type_family_col(F.col("target_type"))))
-    # A global aggregate is exactly one row: broadcasting it is size-bounded.
-    overall = mappings.agg(round_half_even(F.avg("score"), 3).alias("overall_confidence"), F.lit(1).alias("_j"))
-    return j.withColumn("_j", F.lit(1)).join(F.broadcast(overall), "_j").drop("_j")
+    # Mean over the mapping set (one target table's columns: bounded metadata),
+    # as a window instead of a join with the one-row aggregate.
+    group = [F.col(c) for c in ("target_table",) if c in mappings.columns] or [F.lit(0)]
+    return j.withColumn("overall_confidence",
+                        round_half_even(F.avg("score").over(Window.partitionBy(*group)), 3))
