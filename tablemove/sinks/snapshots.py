@@ -37,6 +37,7 @@ HISTORY_SCHEMA = T.StructType([
     T.StructField("committed_at", T.TimestampType()),
     T.StructField("parts", T.ArrayType(T.StringType())),
     T.StructField("schema_json", T.StringType()),
+    T.StructField("partition_columns", T.ArrayType(T.StringType())),
 ])
 
 PUBLISH_MODES = ("overwrite", "append", "merge")
@@ -60,7 +61,8 @@ def stage(df: DataFrame, base: str, run_id: str, partition_by: Sequence[str] | N
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
-    return {"run_id": run_id, "staging_path": path, "rows": int(obs.get["rows"])}
+    return {"run_id": run_id, "staging_path": path, "rows": int(obs.get["rows"]),
+            "partition_by": list(partition_by or [])}
 
 
 def read_staged(spark: SparkSession, staging_path: str, fmt: str = "parquet") -> DataFrame:
@@ -164,6 +166,10 @@ def publish(spark: SparkSession, df: DataFrame, table: str, mode: str = "overwri
             raise ValueError("append needs the same schema as the current version")
 
     kept_files: list[str] = []
+    if mode == "merge" and (partition_by or (prev is not None and prev["partition_columns"])):
+        # Files of a partitioned layout do not hold their partition values, so
+        # the file-level rewrite below cannot read them back one by one.
+        raise NotImplementedError("merge into a partitioned snapshot table; use the Delta path (sinks.delta)")
     if mode == "merge" and prev is not None:
         out, kept_files = _merge_touched_files(spark, table, prev, df, list(merge_keys), overwrite_schema)
     else:
@@ -182,7 +188,7 @@ def publish(spark: SparkSession, df: DataFrame, table: str, mode: str = "overwri
     result = {"version": version, "run_id": run_id, "mode": mode, "rows_written": n,
               "spec_version": spec_version(spec) if spec is not None else None,
               "committed_at": _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None),
-              "parts": parts, "schema_json": out.schema.json()}
+              "parts": parts, "schema_json": out.schema.json(), "partition_columns": list(partition_by or [])}
     _append_history(spark, table, result)
     return {"committed": True, "run_id": run_id, "rows_written": n, "destination": table,
             "mode": mode, "version": version}
@@ -230,7 +236,8 @@ def rollback(spark: SparkSession, table: str, version: int, run_id: str | None =
         "version": new_v, "run_id": run_id, "mode": f"rollback_to_{version}",
         "rows_written": target["rows_written"], "spec_version": target["spec_version"],
         "committed_at": _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None),
-        "parts": list(target["parts"]), "schema_json": target["schema_json"]})
+        "parts": list(target["parts"]), "schema_json": target["schema_json"],
+        "partition_columns": list(target["partition_columns"] or [])})
     return {"committed": True, "run_id": run_id, "rows_written": target["rows_written"],
             "destination": table, "mode": "rollback", "version": new_v}
 
@@ -279,6 +286,7 @@ def publish_run(spark: SparkSession, staged: dict, table: str, mode: str = "over
         "version": version, "run_id": staged["run_id"], "mode": mode, "rows_written": staged["rows"],
         "spec_version": spec_version(spec) if spec is not None else None,
         "committed_at": _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None),
-        "parts": parts, "schema_json": staged_df.schema.json()})
+        "parts": parts, "schema_json": staged_df.schema.json(),
+        "partition_columns": list(staged.get("partition_by") or [])})
     return {"committed": True, "run_id": staged["run_id"], "rows_written": staged["rows"],
             "destination": table, "mode": mode, "version": version}

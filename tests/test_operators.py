@@ -354,3 +354,11 @@ def test_cdc_null_keys_are_delete_and_insert(spark):
                             cdc.cdc_snapshot_diff(old, new, ["k"]).filter("k is not null").withColumn("s", F.lit(1)),
                             ["k"], "s")
     assert sorted(tuple(r) for r in applied.collect()) == [(1, "a"), (2, "B"), (3, "c")]
+
+
+def test_merge_into_partitioned_layout_refused(spark, tmp_table):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, p string")
+    P.publish(spark, a, tmp_table, "overwrite", partition_by=["p"])
+    assert sorted(tuple(r) for r in P.read_table(spark, tmp_table).select("k", "p").collect()) == [(1, "x"), (2, "y")]
+    with pytest.raises(NotImplementedError):
+        P.publish(spark, a, tmp_table, "merge", merge_keys=["k"])
