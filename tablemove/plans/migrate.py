@@ -84,14 +84,23 @@ def build_frame(spark: SparkSession, spec: dict, tables: dict, edges: DataFrame
     return df
 
 
+# The checks of the default quality gate (warn only).
+DEFAULT_CHECKS = [{"type": "null_pct", "column": "*", "threshold": 0.95}, {"type": "row_count", "min": 1}]
+
+
 def run_migration(spark: SparkSession, spec: dict, tables: dict, root: str,
-                  run_id: str | None = None, publish: bool = True, fail_on_error: bool = True,
+                  run_id: str | None = None, publish: bool = True, fail_on_error: bool | None = None,
                   edges: DataFrame | None = None) -> dict:
     """Run a spec: build, stage under ``<root>/_staging``, gate, publish to ``<root>/<target>``.
 
+    The gate runs ``spec["checks"]`` (default: every column at most 95 %
+    NULL, at least one row) and only warns unless ``fail_on_error`` (argument
+    or spec field) is true, in which case a failed check stops before publish.
     ``dry_run: true`` returns the estimate (I6) and writes nothing.
     Returns ``{"frame", "staged", "commit", "checks", "table"}``.
     """
+    if fail_on_error is None:
+        fail_on_error = bool(spec.get("fail_on_error", False))
     table = f"{root.rstrip('/')}/{spec['target_table']}"
     current = snapshots.read_table(spark, table) if snapshots.current_version(spark, table) else None
     df = build_frame(spark, spec, tables, edges=edges, current=current)
@@ -102,7 +111,7 @@ def run_migration(spark: SparkSession, spec: dict, tables: dict, root: str,
     # Stage first, then gate on the staged files: the join/transform lineage
     # runs once; the checks read Parquet (row counts come from footers).
     staged = snapshots.stage(df, f"{root.rstrip('/')}/_staging", run_id)
-    checks = spec.get("checks") or [{"type": "row_count", "min": 1}]
+    checks = spec.get("checks") or DEFAULT_CHECKS
     results = gate(snapshots.read_staged(spark, staged["staging_path"]), checks, fail=fail_on_error)
     out = {"staged": staged, "checks": results, "table": table}
     if publish:

@@ -300,10 +300,14 @@ def test_migration_failed_gate_publishes_nothing(spark, tmp_table):
     from tablemove.plans.migrate import run_migration
     tables = {"orders": f"{SF_SMALL}/orders.parquet"}
     with pytest.raises(QualityError):
-        run_migration(spark, _spec(checks=[{"type": "row_count", "min": 10 ** 9}]), tables, tmp_table)
+        run_migration(spark, _spec(checks=[{"type": "row_count", "min": 10 ** 9}], fail_on_error=True), tables,
+                      tmp_table)
     assert P.current_version(spark, f"{tmp_table}/t") is None
+    warned = run_migration(spark, _spec(checks=[{"type": "row_count", "min": 10 ** 9}]), tables, tmp_table)
+    assert warned["checks"][0]["passed"] is False and warned["commit"]["version"] == 1  # default gate only warns
     out = run_migration(spark, _spec(), tables, tmp_table)
-    assert out["commit"]["version"] == 1 and out["frame"].filter("o_orderstatus <> 'F'").count() == 0
+    assert out["commit"]["version"] == 2 and out["frame"].filter("o_orderstatus <> 'F'").count() == 0
+    assert {r["check"] for r in out["checks"]} == {"null_pct", "row_count"}
 
 
 def test_migration_needs_joins_for_several_sources(spark, tmp_table):
