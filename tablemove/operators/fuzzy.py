@@ -44,10 +44,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, num_hashes: int, shi
 
 
 def fuzzy_dedupe(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8,
-                 bands: int = 8, rows_per_band: int = 4, shingle: int = 5, seed: int = 7) -> DataFrame:
+                 bands: int = 16, rows_per_band: int = 4, shingle: int = 5, seed: int = 7) -> DataFrame:
     """Rows of ``df`` that survive fuzzy dedupe: one row (smallest id) per
-    group of exact or near copies.  Near = estimated Jaccard of word shingles
-    >= ``threshold``; exact copies always collapse."""
+    group of exact or near copies.  Near = Jaccard of word ``shingle``-grams
+    >= ``threshold`` as estimated from ``bands * rows_per_band`` MinHash
+    values (64 by default: standard error about 0.05 near 0.8; a pair at
+    Jaccard 0.8 shares a band with probability > 0.999).  Exact copies always
+    collapse."""
     k = bands * rows_per_band
     d = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     # 1. exact copies: one representative per content hash
