@@ -90,14 +90,22 @@ def history(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.schema(HISTORY_SCHEMA).json(h)
 
 
-def _versions(spark: SparkSession, table: str) -> list:
-    # Version metadata is one small row per publish, not table data.
-    return sorted(history(spark, table).collect(), key=lambda r: r["version"])
+def _latest(spark: SparkSession, table: str):
+    """The newest history row (a distributed top-1; the driver gets one row)."""
+    rows = history(spark, table).orderBy(F.col("version").desc()).limit(1).collect()
+    return rows[0] if rows else None
+
+
+def _version_row(spark: SparkSession, table: str, version: int):
+    rows = history(spark, table).filter(F.col("version") == version).limit(1).collect()
+    if not rows:
+        raise ValueError(f"version {version} not found at {table}")
+    return rows[0]
 
 
 def current_version(spark: SparkSession, table: str) -> int | None:
-    v = _versions(spark, table)
-    return v[-1]["version"] if v else None
+    v = _latest(spark, table)
+    return v["version"] if v else None
 
 
 def _part_path(table: str, part: str) -> str:
@@ -114,15 +122,10 @@ def _parts_df(spark: SparkSession, table: str, row) -> DataFrame:
 
 def read_as_of(spark: SparkSession, table: str, version: int | None = None) -> DataFrame:
     """The table as of ``version`` (latest if None)."""
-    rows = _versions(spark, table)
-    if not rows:
+    latest = _latest(spark, table)
+    if latest is None:
         raise FileNotFoundError(f"no published versions at {table}")
-    if version is None:
-        return _parts_df(spark, table, rows[-1])
-    for r in rows:
-        if r["version"] == version:
-            return _parts_df(spark, table, r)
-    raise ValueError(f"version {version} not found at {table}")
+    return _parts_df(spark, table, latest if version is None else _version_row(spark, table, version))
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:
@@ -155,8 +158,7 @@ def publish(spark: SparkSession, df: DataFrame, table: str, mode: str = "overwri
         raise ValueError("merge publish needs merge_keys")
     table = table.rstrip("/")
     run_id = run_id or uuid.uuid4().hex[:12]
-    rows = _versions(spark, table)
-    prev = rows[-1] if rows else None
+    prev = _latest(spark, table)
     if prev is not None and mode != "merge":
         old = [(f.name, f.dataType.simpleString())
                for f in T.StructType.fromJson(json.loads(prev["schema_json"])).fields]
@@ -226,11 +228,8 @@ def _merge_touched_files(spark: SparkSession, table: str, prev, source: DataFram
 
 def rollback(spark: SparkSession, table: str, version: int, run_id: str | None = None) -> dict:
     """Make ``version`` current again, recorded as a new version (metadata only)."""
-    rows = _versions(spark, table)
-    target = next((r for r in rows if r["version"] == version), None)
-    if target is None:
-        raise ValueError(f"version {version} not found at {table}")
-    new_v = rows[-1]["version"] + 1
+    target = _version_row(spark, table, version)
+    new_v = _latest(spark, table)["version"] + 1
     run_id = run_id or f"rollback-{uuid.uuid4().hex[:8]}"
     _append_history(spark, table, {
         "version": new_v, "run_id": run_id, "mode": f"rollback_to_{version}",
@@ -265,8 +264,7 @@ def publish_run(spark: SparkSession, staged: dict, table: str, mode: str = "over
         raise ValueError(f"unknown publish mode {mode!r}; expected one of {PUBLISH_MODES}")
     table = table.rstrip("/")
     staged_df = read_staged(spark, staged["staging_path"])
-    rows = _versions(spark, table)
-    prev = rows[-1] if rows else None
+    prev = _latest(spark, table)
     if prev is not None:
         old = [(f.name, f.dataType.simpleString())
                for f in T.StructType.fromJson(json.loads(prev["schema_json"])).fields]
