@@ -65,7 +65,7 @@ def _evolved(spark, sf):
 
 
 DRIFT_SQL = """
-WITH old AS (SELECT table_name, column_name, data_type FROM information_schema.columns
+WITH old AS (SELECT DISTINCT table_name, column_name, data_type FROM information_schema.columns
              WHERE table_name IN ('orders', 'customer', 'lineitem', 'part')),
 new AS (SELECT table_name, column_name,
                CASE WHEN table_name = 'customer' AND column_name = 'c_acctbal' THEN 'DECIMAL(12,2)' ELSE data_type END
