@@ -366,3 +366,31 @@ def test_merge_into_partitioned_layout_refused(spark, tmp_table):
     assert sorted(tuple(r) for r in P.read_table(spark, tmp_table).select("k", "p").collect()) == [(1, "x"), (2, "y")]
     with pytest.raises(NotImplementedError):
         P.publish(spark, a, tmp_table, "merge", merge_keys=["k"])
+
+
+def test_jdbc_and_scan_argument_checks(spark):
+    from tablemove.sources.scan import scan, scan_jdbc
+    with pytest.raises(ValueError):
+        scan_jdbc(spark, "jdbc:none:x")                      # neither table nor query
+    with pytest.raises(ValueError):
+        scan_jdbc(spark, "jdbc:none:x", dbtable="t", query="select 1")
+    with pytest.raises(ValueError):
+        scan_jdbc(spark, "jdbc:none:x", dbtable="t", partition_column="id")   # no bounds
+    with pytest.raises(ValueError):
+        scan(spark, "/nowhere", fmt="xlsx")
+
+
+def test_readme_example_runs(spark, tmp_table):
+    from conftest import SF_SMALL
+    from tablemove.plans.migrate import run_migration
+    spec = {"operation": "transform", "source_tables": ["orders", "customer"], "target_table": "fact_orders",
+            "joins": [{"left_table": "orders", "right_table": "customer", "left_key": "o_custkey",
+                       "right_key": "c_custkey", "join_type": "inner"}],
+            "filters": [{"column": "o_orderstatus", "op": "neq", "value": "P"}],
+            "transforms": [{"op": "mask", "params": {"columns": ["c_name"], "strategy": "hash"}},
+                           {"op": "type_cast", "params": {"casts": {"o_totalprice": "decimal(18,2)"}}}],
+            "checks": [{"type": "row_count", "min": 1}]}
+    out = run_migration(spark, spec, {"orders": f"{SF_SMALL}/orders.parquet",
+                                      "customer": f"{SF_SMALL}/customer.parquet"}, root=tmp_table)
+    assert out["commit"]["rows_written"] == out["frame"].count() > 0
+    assert dict(out["frame"].dtypes)["o_totalprice"] == "decimal(18,2)"
