@@ -219,22 +219,25 @@ _AGG_ALLOWED = {
 }
 
 
-def agg_column(func: str, col: str | None, alias: str | None = None) -> Column:
+def agg_column(func: str, col: str | None, alias: str | None = None, args: Sequence = ()) -> Column:
+    """One aggregate; ``args`` are the further arguments of two-argument
+    aggregates (a column name for ``max_by``/``min_by``, a number for
+    ``percentile_approx``)."""
     if func not in _AGG_ALLOWED:
         raise ValueError(f"aggregate {func!r} not allowed; choose from {sorted(_AGG_ALLOWED)}")
     fn = getattr(F, func)
     arg = F.lit(1) if (col in (None, "*") and func == "count") else F.col(col)
-    c = fn(arg)
+    c = fn(arg, *[F.col(a) if isinstance(a, str) else a for a in args])
     return c.alias(alias or f"{func}_{col}")
 
 
 def aggregate(df: DataFrame, group_by: Sequence[str], aggs: Sequence[dict]) -> DataFrame:
-    """GROUP BY with ``[{col, func, alias}]``; empty group_by = global.
+    """GROUP BY with ``[{col, func, alias, args?}]``; empty group_by = global.
 
     Spark plans partial (map-side) + final hash aggregation, so a hot key is
     combined before the shuffle.
     """
-    cols = [agg_column(a["func"], a.get("col"), a.get("alias")) for a in aggs]
+    cols = [agg_column(a["func"], a.get("col"), a.get("alias"), a.get("args", ())) for a in aggs]
     return df.groupBy(*group_by).agg(*cols)
 
 

@@ -394,3 +394,11 @@ def test_readme_example_runs(spark, tmp_table):
                                       "customer": f"{SF_SMALL}/customer.parquet"}, root=tmp_table)
     assert out["commit"]["rows_written"] == out["frame"].count() > 0
     assert dict(out["frame"].dtypes)["o_totalprice"] == "decimal(18,2)"
+
+
+def test_two_argument_aggregates(spark):
+    df = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 20.0), ("b", 3, 5.0)], "g string, t int, v double")
+    out = {r["g"]: r for r in R.aggregate(df, ["g"], [
+        {"col": "v", "func": "max_by", "args": ["t"], "alias": "latest"},
+        {"col": "v", "func": "percentile_approx", "args": [0.5], "alias": "p50"}]).collect()}
+    assert out["a"]["latest"] == 20.0 and out["b"]["p50"] == 5.0
