@@ -55,7 +55,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     for _ in range(MAX_ROUNDS):
         prop = e.join(labels, e["src"] == labels["node"]).select(F.col("dst").alias("node"), F.col("comp"))
         new = prop.unionByName(labels).groupBy("node").agg(F.min("comp").alias("comp"))
-        hop = new.select(F.col("node").alias("_via"), F.col("comp").alias("_c2"))
+        # Jump through the previous (checkpointed) labels, so the aggregate
+        # above is computed once per round.
+        hop = labels.select(F.col("node").alias("_via"), F.col("comp").alias("_c2"))
         new = (new.join(hop, new["comp"] == hop["_via"], "left")
                   .select("node", F.least("comp", F.coalesce("_c2", "comp")).alias("comp")))
         new = new.join(labels.withColumnRenamed("comp", "_old"), "node")
