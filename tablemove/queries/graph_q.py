@@ -49,7 +49,18 @@ def profile_columns(spark, sf):
     return H.profile_columns(tbl(spark, sf, "orders"))
 
 
-@query("schema_fingerprint")
+FINGERPRINT_SQL = """
+WITH c AS (SELECT DISTINCT table_name, column_name,
+  CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
+    WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT' THEN 'float'
+    WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END AS dtype
+  FROM information_schema.columns WHERE table_name IN (%s))
+SELECT table_name, md5(to_json(list({'column_name': column_name, 'dtype': dtype} ORDER BY column_name, dtype)))
+  AS fingerprint
+FROM c GROUP BY table_name""" % ", ".join(f"'{t}'" for t in ALL_TABLES)
+
+
+@query("schema_fingerprint", FINGERPRINT_SQL)
 def schema_fingerprint(spark, sf):
     return H.schema_fingerprint(_catalog(spark, sf))
 
