@@ -121,6 +121,9 @@ def join_inner(spark, sf):
     return R.join(tbl(spark, sf, "orders"), tbl(spark, sf, "customer"), "o_custkey", "c_custkey", "inner")
 
 
+# Outer joins need unmatched rows on the preserved side; every part has line
+# items and every order a customer in the full tables, so the other side is a
+# selective (value-based) filter.  Both tables are still scanned in full.
 _BIG_LINES = "(SELECT * FROM lineitem WHERE l_quantity > 49)"
 
 
