@@ -147,10 +147,37 @@ def explicit_edges(spark, sf):
                                                "kind", "confidence", "orphan_rows")
 
 
-@query("name_edges")
+_TWO61 = "2305843009213693952"  # 2^61: exact scaling for Python-style half-even rounding in SQL
+
+NAME_EDGES_SQL = f"""
+WITH cols AS (SELECT DISTINCT table_name AS t, column_name AS c, ordinal_position AS o,
+                     replace(lower(column_name), '_', '') AS k
+              FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in ALL_TABLES)})),
+pairs AS (SELECT a.t AS ta, a.c AS ac, a.o AS ao, a.k AS ak, b.t AS tb, b.c AS bc, b.o AS bo, b.k AS bk
+          FROM cols a JOIN cols b ON a.t < b.t),
+lcs AS (SELECT *, list_reduce(string_split(ak, ''),
+          lambda row, ch: list_reduce(range(1, length(bk) + 1),
+            lambda nr, j: list_append(nr, CASE WHEN bk[j] = ch THEN row[j] + 1 ELSE greatest(row[j + 1], nr[j]) END),
+            [0]),
+          list_transform(range(0, length(bk) + 1), lambda x: 0))[length(bk) + 1] AS l
+        FROM pairs),
+r AS (SELECT *, CAST(2 * l AS DOUBLE) / CAST(length(ak) + length(bk) AS DOUBLE) AS ratio FROM lcs
+      WHERE length(ak) + length(bk) > 0),
+f AS (SELECT *, CAST(CAST(0.9 AS DOUBLE) * ratio * {_TWO61}.0 AS HUGEINT) * 1000 AS num FROM r
+      WHERE ratio >= 0.7 - 1e-12),
+q AS (SELECT *, num // {_TWO61} AS qq, (num - (num // {_TWO61}) * {_TWO61}) * 2 AS rem2 FROM f),
+c AS (SELECT *, CAST(qq + CASE WHEN rem2 > {_TWO61} OR (rem2 = {_TWO61} AND qq % 2 = 1) THEN 1 ELSE 0 END
+                     AS DOUBLE) / 1000.0 AS confidence FROM q)
+SELECT ta AS source_table, tb AS target_table, 'inferred_name' AS kind, ac AS source_column,
+       bc AS target_column, confidence, confidence < 0.85 AS needs_confirmation
+FROM c QUALIFY row_number() OVER (PARTITION BY ta, tb ORDER BY confidence DESC, ao, bo) = 1"""
+
+
+@query("name_edges", NAME_EDGES_SQL)
 def name_edges(spark, sf):
     cols = _catalog(spark, sf).withColumn("connector", F.col("table_name"))
-    return H.name_edges(cols)
+    return H.name_edges(cols).select("source_table", "target_table", "kind", "source_column", "target_column",
+                                     "confidence", "needs_confirmation")
 
 
 OVERLAP_PAIRS = [
