@@ -317,7 +317,13 @@ def connected_components(spark, sf):
 
 @query("graph_bfs")
 def graph_bfs(spark, sf):
-    e = buy_edges(spark, sf)
+    """Shortest paths from the smallest customer node over the customer-part
+    graph of all large line items (l_quantity >= 45: one big component)."""
+    li = tbl(spark, sf, "lineitem").filter(F.col("l_quantity") >= 45)
+    o = tbl(spark, sf, "orders")
+    e = (li.join(o, li["l_orderkey"] == o["o_orderkey"])
+           .select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"),
+                   F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct())
     seeds = e.agg(F.min("src").alias("node"))
     return G.shortest_paths(e, seeds)
 

@@ -237,3 +237,29 @@ def test_inferred_edges_value_upgrade(spark):
     jac = both / (a + b - both)
     assert got[("lineitem", "orders")] == ("inferred_value", round(0.4 * 0.8 + 0.6 * jac, 3))
     assert got[("customer", "part")][0] == "inferred_name"
+
+
+def test_graph_bfs_query_brute_force(spark):
+    import duckdb
+    from conftest import SF_SMALL
+    from tablemove.queries import QUERIES
+    edges = duckdb.sql(f"""SELECT DISTINCT 'c' || CAST(o.o_custkey AS VARCHAR), 'p' || CAST(l.l_partkey AS VARCHAR)
+        FROM '{SF_SMALL}/lineitem.parquet' l JOIN '{SF_SMALL}/orders.parquet' o ON l.l_orderkey = o.o_orderkey
+        WHERE l.l_quantity >= 45""").fetchall()
+    adj = defaultdict(set)
+    for a, b in edges:
+        adj[a].add(b)
+        adj[b].add(a)
+    src = min(a for a, _ in edges)
+    best, frontier = {src: [src]}, [src]
+    while frontier:
+        cand = {}
+        for u in frontier:
+            for v in adj[u]:
+                if v not in best:
+                    p = best[u] + [v]
+                    cand[v] = min(cand.get(v, p), p)
+        best.update(cand)
+        frontier = list(cand)
+    got = {r["node"]: (r["hops"], list(r["path"])) for r in QUERIES["graph_bfs"](spark, SF_SMALL).collect()}
+    assert got == {v: (len(p) - 1, p) for v, p in best.items()}
