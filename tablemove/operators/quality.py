@@ -98,26 +98,31 @@ def orphan_rows(df: DataFrame, column: str, ref: DataFrame, ref_column: str) ->
 def orphan_counts(tables: dict[str, DataFrame], fks: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     """Orphan rows for many foreign keys ``(table, column, ref_table, ref_column)`` in one job.
 
-    Each table is scanned once for all of its key columns (exploded to
-    ``(fk, key)``); child keys are counted map-side, parent keys made
-    distinct, and a single anti join on ``(fk, key)`` finds the orphans.
-    Keys compare as strings, so integer and text keys mix freely.
+    Every key column becomes ``(fk, integer key, text key)`` rows (integral
+    keys stay numbers, other keys compare as text); child keys are counted
+    map-side, parent keys made distinct, and a single anti join on
+    ``(fk, key)`` finds the orphans for all foreign keys at once.
     """
+    integral = ("tinyint", "smallint", "int", "bigint")
+
     def tagged(side: int) -> DataFrame:
-        by_table: dict[str, list] = {}
-        for i, fk in enumerate(fks):
-            by_table.setdefault(fk[2 * side], []).append((i, fk[2 * side + 1]))
         out = None
-        for t, cols in by_table.items():
-            x = F.explode(F.array(*[F.struct(F.lit(i).alias("fk"), F.col(c).cast("string").alias("k"))
-                                    for i, c in cols]))
-            one = tables[t].select(x.alias("x")).select("x.fk", "x.k").filter(F.col("k").isNotNull())
+        for i, fk in enumerate(fks):
+            t, c = fk[2 * side], fk[2 * side + 1]
+            num = dict(tables[t].dtypes)[c] in integral
+            one = tables[t].select(
+                F.lit(i).alias("fk"),
+                (F.col(c).cast("long") if num else F.lit(None).cast("long")).alias("kn"),
+                (F.lit(None).cast("string") if num else F.col(c).cast("string")).alias("ks"))
+            one = one.filter(F.col("kn").isNotNull() | F.col("ks").isNotNull())
             out = one if out is None else out.unionByName(one)
         return out
 
-    child = tagged(0).groupBy("fk", "k").agg(F.count(F.lit(1)).alias("_n"))
+    child = tagged(0).groupBy("fk", "kn", "ks").agg(F.count(F.lit(1)).alias("_n"))
     parent = tagged(1).distinct()
-    missing = child.join(parent, ["fk", "k"], "left_anti").groupBy("fk").agg(F.sum("_n").alias("_o"))
+    on = ((child["fk"] == parent["fk"]) & child["kn"].eqNullSafe(parent["kn"])
+          & child["ks"].eqNullSafe(parent["ks"]))
+    missing = child.join(parent, on, "left_anti").groupBy("fk").agg(F.sum("_n").alias("_o"))
     spark = next(iter(tables.values())).sparkSession
     meta = spark.createDataFrame([(i, *fk) for i, fk in enumerate(fks)],
                                  "fk int, table_name string, column_name string, ref_table string, ref_column string")

@@ -402,3 +402,13 @@ def test_two_argument_aggregates(spark):
         {"col": "v", "func": "max_by", "args": ["t"], "alias": "latest"},
         {"col": "v", "func": "percentile_approx", "args": [0.5], "alias": "p50"}]).collect()}
     assert out["a"]["latest"] == 20.0 and out["b"]["p50"] == 5.0
+
+
+def test_orphan_counts_int_and_text_keys(spark):
+    child = spark.createDataFrame([(1, "a"), (2, "b"), (9, "z"), (9, None), (None, "a")], "pk int, code string")
+    parent_n = spark.createDataFrame([(1,), (2,), (3,)], "id bigint")
+    parent_s = spark.createDataFrame([("a",), ("b",)], "code string")
+    res = {(r["column_name"]): r["orphan_rows"] for r in Q.orphan_counts(
+        {"c": child, "pn": parent_n, "ps": parent_s},
+        [("c", "pk", "pn", "id"), ("c", "code", "ps", "code")]).collect()}
+    assert res == {"pk": 2, "code": 1}
