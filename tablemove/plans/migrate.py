@@ -10,6 +10,7 @@ columns pruned at the scan).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.graph import auto_join
 from ..operators.quality import gate
@@ -88,6 +89,22 @@ def build_frame(spark: SparkSession, spec: dict, tables: dict, edges: DataFrame
 DEFAULT_CHECKS = [{"type": "null_pct", "column": "*", "threshold": 0.95}, {"type": "row_count", "min": 1}]
 
 
+def next_watermarks(spark: SparkSession, spec: dict, tables: dict) -> dict:
+    """Per incremental source, the high-watermark to pass as
+    ``last_watermark`` next time (max of the column over the rows this run
+    read; the previous watermark when no new rows arrived).  One aggregate
+    over the already-filtered source, so Parquet min/max statistics prune it."""
+    out = {}
+    for s, w in (spec.get("incremental") or {}).items():
+        col = (w or {}).get("watermark_column")
+        if not col:
+            continue
+        df = scan_incremental(_resolve(spark, tables, s), col, w.get("last_watermark"))
+        v = df.agg(F.max(col)).first()[0]
+        out[s] = v if v is not None else w.get("last_watermark")
+    return out
+
+
 def run_migration(spark: SparkSession, spec: dict, tables: dict, root: str,
                   run_id: str | None = None, publish: bool = True, fail_on_error: bool | None = None,
                   edges: DataFrame | None = None) -> dict:
@@ -113,7 +130,8 @@ def run_migration(spark: SparkSession, spec: dict, tables: dict, root: str,
     staged = snapshots.stage(df, f"{root.rstrip('/')}/_staging", run_id)
     checks = spec.get("checks") or DEFAULT_CHECKS
     results = gate(snapshots.read_staged(spark, staged["staging_path"]), checks, fail=fail_on_error)
-    out = {"staged": staged, "checks": results, "table": table}
+    out = {"staged": staged, "checks": results, "table": table,
+           "next_watermarks": next_watermarks(spark, spec, tables)}
     if publish:
         mode = write_mode(spec.get("operation", "copy"))
         out["commit"] = snapshots.publish_run(

@@ -412,3 +412,18 @@ def test_orphan_counts_int_and_text_keys(spark):
         {"c": child, "pn": parent_n, "ps": parent_s},
         [("c", "pk", "pn", "id"), ("c", "code", "ps", "code")]).collect()}
     assert res == {"pk": 2, "code": 1}
+
+
+def test_incremental_runs_chain_watermarks(spark, tmp_table):
+    from conftest import SF_SMALL
+    from tablemove.plans.migrate import run_migration
+    tables = {"orders": f"{SF_SMALL}/orders.parquet"}
+    spec = {"operation": "incremental", "source_tables": ["orders"], "target_table": "o",
+            "incremental": {"orders": {"watermark_column": "o_orderdate", "last_watermark": "1999-01-01 00:00:00"}}}
+    first = run_migration(spark, spec, tables, tmp_table)
+    wm = first["next_watermarks"]["orders"]
+    assert wm == spark.read.parquet(tables["orders"]).agg(F.max("o_orderdate")).first()[0]
+    spec["incremental"]["orders"]["last_watermark"] = str(wm)
+    second = run_migration(spark, spec, tables, tmp_table)   # nothing new: appends no rows
+    assert second["commit"]["rows_written"] == 0 and second["next_watermarks"]["orders"] == str(wm)
+    assert second["frame"].count() == first["frame"].count()
