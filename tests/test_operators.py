@@ -427,3 +427,15 @@ def test_incremental_runs_chain_watermarks(spark, tmp_table):
     second = run_migration(spark, spec, tables, tmp_table)   # nothing new: appends no rows
     assert second["commit"]["rows_written"] == 0 and second["next_watermarks"]["orders"] == str(wm)
     assert second["frame"].count() == first["frame"].count()
+
+
+def test_step_tracer_rows_in_out(spark, tmp_table):
+    from tablemove.plans.runinfo import StepTracer
+    tr = StepTracer()
+    df = tr.traced(spark.range(100), "read")
+    df = tr.traced(df.filter("id % 4 = 0"), "filter")
+    df.write.mode("error").parquet(tmp_table)
+    tr.finish("read")
+    tr.finish("filter")
+    got = {r["step"]: (r["rows_in"], r["rows_out"], r["status"]) for r in tr.metrics(spark).collect()}
+    assert got == {"read": (None, 100, "completed"), "filter": (100, 25, "completed")}
