@@ -136,14 +136,24 @@ def explicit_edges(fks: DataFrame, tables: DataFrame) -> DataFrame:
         F.lit(False).alias("needs_confirmation"))
 
 
+def _drop_existing(pairs: DataFrame, existing: DataFrame | None, a: str, b: str) -> DataFrame:
+    """Drop table pairs that already have an edge, in either direction."""
+    if existing is None:
+        return pairs
+    ex = existing.select(F.col("source_table").alias("_x"), F.col("target_table").alias("_y"))
+    ex = ex.unionByName(ex.select(F.col("_y").alias("_x"), F.col("_x").alias("_y"))).distinct()
+    return pairs.join(ex, (pairs[a] == ex["_x"]) & (pairs[b] == ex["_y"]), "left_anti")
+
+
 def name_edges(cols: DataFrame, threshold: float = NAME_SIMILARITY_THRESHOLD,
-               connector_col: str | None = "connector") -> DataFrame:
+               connector_col: str | None = "connector", existing: DataFrame | None = None) -> DataFrame:
     """Name-similarity edges between tables (on different connectors, if given).
 
     Per table pair the single best column pair wins (first pair by ordinal on
     ties); confidence = round(0.9·ratio, 3) with Python-style rounding.
-    Similar names come from the exact prefix-filtered similarity join, so
-    column pairs are never enumerated per table pair.
+    Table pairs that already have an edge in ``existing`` (either direction)
+    are skipped.  Similar names come from the exact prefix-filtered
+    similarity join, so column pairs are never enumerated per table pair.
     """
     c = cols.withColumn("_k", name_key("column_name"))
     pairs = similar_pairs(c.select(F.col("_k").alias("name")), c.select(F.col("_k").alias("name")), threshold)
@@ -156,6 +166,7 @@ def name_edges(cols: DataFrame, threshold: float = NAME_SIMILARITY_THRESHOLD,
         j = j.filter(F.col(f"a_{connector_col}") < F.col(f"b_{connector_col}"))
     else:
         j = j.filter(F.col("a_table_name") < F.col("b_table_name"))
+    j = _drop_existing(j, existing, "a_table_name", "b_table_name")
     j = j.withColumn("confidence", round_half_even(F.col("ratio") * F.lit(NAME_CONFIDENCE_WEIGHT), 3))
     w = Window.partitionBy("a_table_name", "b_table_name").orderBy(
         F.col("confidence").desc(), F.col("a_ordinal"), F.col("b_ordinal"))
@@ -251,13 +262,13 @@ def value_edges(overlap: DataFrame, name_conf: DataFrame | None = None) -> DataF
 
 
 def infer_edges(tables: dict[str, DataFrame], cols: DataFrame,
-                connector_col: str | None = "connector") -> DataFrame:
+                connector_col: str | None = "connector", existing: DataFrame | None = None) -> DataFrame:
     """H6 + H7 together: per table pair the best name-similarity edge, upgraded
     to a value edge when the Jaccard overlap of the two columns' full
     distinct values is >= 0.5 and the combined confidence beats the name
     confidence.  Only the best name pairs are value-checked (one row per table
     pair -- edge metadata reaches the driver, values never do)."""
-    names = name_edges(cols, connector_col=connector_col)
+    names = name_edges(cols, connector_col=connector_col, existing=existing)
     pairs = [(r["source_table"], r["source_column"], r["target_table"], r["target_column"])
              for r in names.select("source_table", "source_column", "target_table", "target_column").collect()]
     if not pairs:

@@ -263,3 +263,10 @@ def test_graph_bfs_query_brute_force(spark):
         frontier = list(cand)
     got = {r["node"]: (r["hops"], list(r["path"])) for r in QUERIES["graph_bfs"](spark, SF_SMALL).collect()}
     assert got == {v: (len(p) - 1, p) for v, p in best.items()}
+
+
+def test_name_edges_skip_existing_pairs_both_directions(spark):
+    cols = _cols(spark, {"object_storage": OBJECT_STORAGE, "warehouse": WAREHOUSE})
+    existing = spark.createDataFrame([("fact_orders", "orders.parquet")], "source_table string, target_table string")
+    got = {(r["source_table"], r["target_table"]) for r in H.name_edges(cols, existing=existing).collect()}
+    assert ("orders.parquet", "fact_orders") not in got and ("orders.parquet", "dim_customer") in got
