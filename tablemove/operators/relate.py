@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +69,30 @@ def schema_fingerprint(cols: DataFrame) -> DataFrame:
         F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("column_name", "dtype"))))).alias("fingerprint"))
 
 
+def node_id(connector: Column, qualified_name: Column) -> Column:
+    """Stable node id: first 16 hex digits of sha1("<connector>:<qualified name>")."""
+    return F.substring(F.sha1(F.concat_ws(":", connector, qualified_name)), 1, 16)
+
+
+def graph_nodes(spark: SparkSession, tables: dict[str, DataFrame], connector: str = "files",
+                kind: str = "table") -> DataFrame:
+    """One node row per table: id, name, connector, kind, column count,
+    schema fingerprint and row count (counted on the executors, one
+    aggregate per table)."""
+    from ..sources.catalog import catalog_columns
+    cols = catalog_columns(spark, tables)
+    fp = schema_fingerprint(cols)
+    ncols = cols.groupBy("table_name").agg(F.count(F.lit(1)).cast("int").alias("column_count"))
+    counts = None
+    for t, df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
+        counts = one if counts is None else counts.unionByName(one)
+    return (fp.join(ncols, "table_name").join(counts, "table_name")
+              .select(node_id(F.lit(connector), F.col("table_name")).alias("node_id"),
+                      F.col("table_name").alias("name"), F.lit(connector).alias("connector"),
+                      F.lit(kind).alias("kind"), "column_count", "fingerprint", "row_count"))
+
+
 def schema_drift(old_cols: DataFrame, new_cols: DataFrame) -> DataFrame:
     """Added / removed / type-changed columns per table whose fingerprint changed.
 

@@ -371,3 +371,21 @@ def inferred_edges(spark, sf):
     tables = {t: tbl(spark, sf, t) for t in ALL_TABLES}
     cols = catalog_columns(spark, tables).withColumn("connector", F.col("table_name"))
     return H.infer_edges(tables, cols)
+
+
+def _nodes_sql():
+    counts = "\n    UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ALL_TABLES)
+    return f"""
+WITH fp AS ({FINGERPRINT_SQL}),
+nc AS (SELECT table_name, CAST(count(DISTINCT column_name) AS INTEGER) AS column_count
+       FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in ALL_TABLES)})
+       GROUP BY table_name),
+rc AS ({counts})
+SELECT substring(sha1('files:' || fp.table_name), 1, 16) AS node_id, fp.table_name AS name,
+       'files' AS connector, 'table' AS kind, nc.column_count, fp.fingerprint, rc.row_count
+FROM fp JOIN nc USING (table_name) JOIN rc USING (table_name)"""
+
+
+@query("graph_nodes", _nodes_sql())
+def graph_nodes(spark, sf):
+    return H.graph_nodes(spark, {t: tbl(spark, sf, t) for t in ALL_TABLES})
