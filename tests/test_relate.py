@@ -270,3 +270,16 @@ def test_name_edges_skip_existing_pairs_both_directions(spark):
     existing = spark.createDataFrame([("fact_orders", "orders.parquet")], "source_table string, target_table string")
     got = {(r["source_table"], r["target_table"]) for r in H.name_edges(cols, existing=existing).collect()}
     assert ("orders.parquet", "fact_orders") not in got and ("orders.parquet", "dim_customer") in got
+
+
+def test_explicit_edges_composite_and_unknown_targets(spark):
+    fks = spark.createDataFrame([
+        ("bseg", "mandt", "bkpf.mandt", "fk1"), ("bseg", "belnr", "bkpf.belnr", "fk1"),
+        ("bseg", "kunnr", "kna1.kunnr", "fk2"), ("bseg", "x", "db.schema.missing.x", "fk3")],
+        "table_name string, column_name string, foreign_key string, constraint string")
+    tables = spark.createDataFrame([("bseg",), ("bkpf",), ("kna1",)], "table_name string")
+    rows = H.explicit_edges(fks, tables).collect()
+    ids = {(r["source_column"], r["target_table"]): r["edge_id"] for r in rows}
+    assert set(ids) == {("mandt", "bkpf"), ("belnr", "bkpf"), ("kunnr", "kna1")}   # unknown target skipped
+    assert ids[("mandt", "bkpf")] == ids[("belnr", "bkpf")] != ids[("kunnr", "kna1")]
+    assert all(r["confidence"] == 1.0 and r["kind"] == "explicit" and not r["needs_confirmation"] for r in rows)
