@@ -67,6 +67,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            # A driver-local folder is not shared with the executors.
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (HDFS, S3, ABFS, ...)")
         d = tempfile.mkdtemp(prefix="tablemove-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
