@@ -283,3 +283,16 @@ def test_explicit_edges_composite_and_unknown_targets(spark):
     assert set(ids) == {("mandt", "bkpf"), ("belnr", "bkpf"), ("kunnr", "kna1")}   # unknown target skipped
     assert ids[("mandt", "bkpf")] == ids[("belnr", "bkpf")] != ids[("kunnr", "kna1")]
     assert all(r["confidence"] == 1.0 and r["kind"] == "explicit" and not r["needs_confirmation"] for r in rows)
+
+
+def test_auto_join_refuses_unconfirmed_weak_edge(spark):
+    cols = ", ".join(f"{c} {t}" for c, t in zip(H.EDGE_COLUMNS, ["string"] * 6 + ["double", "string", "boolean"]))
+    edges = spark.createDataFrame([("e1", "a", "b", "explicit", "k", "k", 1.0, "", False),
+                                   ("e2", "b", "c", "inferred_name", "j", "j", 0.75, "", True)], cols)
+    tables = {"a": spark.createDataFrame([(1, "x")], "k int, av string"),
+              "b": spark.createDataFrame([(1, 7)], "k int, j int"),
+              "c": spark.createDataFrame([(7, "z")], "j int, cv string")}
+    with pytest.raises(ValueError, match="confirmation"):
+        G.auto_join(tables, edges, ["a", "c"])
+    out = G.auto_join(tables, edges, ["a", "c"], confirmed=(("b", "c"),))
+    assert [tuple(r) for r in out.collect()] == [(1, "x", 7, "z")]
