@@ -207,14 +207,24 @@ def name_edges(cols: DataFrame, threshold: float = NAME_SIMILARITY_THRESHOLD,
         (F.col("confidence") < CONFIRMATION_THRESHOLD).alias("needs_confirmation"))
 
 
+def _value_key(df: DataFrame, c: str) -> Column:
+    """Comparable form of a value: integers as decimal text; text longer than
+    64 characters as its SHA-256 digest (tagged so a digest never equals a
+    short raw value), which keeps the shuffled values small for long texts."""
+    v = F.col(c).cast("string")
+    if type_family(dict(df.dtypes)[c]) != "string":
+        return v
+    return F.when(F.length(v) > 64, F.concat(F.lit("\u0000"), F.sha2(v, 256))).otherwise(v)
+
+
 def distinct_values(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]]) -> DataFrame:
-    """Distinct non-NULL ``(t, c, v)`` (value as string) for the given columns,
+    """Distinct non-NULL ``(t, c, v)`` for the given columns (see ``_value_key``),
     one scan per table; a value holding a third of the rows collapses in the
     map-side part of the distinct."""
     out = None
     for t, cols in columns.items():
         df = tables[t]
-        x = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
+        x = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _value_key(df, c).alias("v")) for c in cols]))
         one = df.select(x.alias("x")).select(F.lit(t).alias("t"), "x.c", "x.v").filter(F.col("v").isNotNull())
         out = one if out is None else out.unionByName(one)
     return out.distinct()
