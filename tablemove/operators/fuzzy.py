@@ -73,7 +73,7 @@ def fuzzy_dedupe(df: DataFrame, id_col: str, text_col: str, threshold: float = 0
     edges = (cand.join(s1, "src").join(s2, "dst")
                  .filter(same >= F.lit(threshold * k) - F.lit(1e-9)).select("src", "dst"))
     comps = connected_components(edges)
-    dropped = comps.filter(F.col("node") != F.col("comp")).select(F.col("node").alias("_id"))
+    dropped = comps.filter(F.col("node") != F.col("component")).select(F.col("node").alias("_id"))
     # ids of the representatives come from the (checkpointed) signatures, so
     # the exact-copy aggregation over the texts is not run a second time
     keep = sig.select("_id").join(dropped, "_id", "left_anti")

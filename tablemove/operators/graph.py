@@ -65,7 +65,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         labels = new.drop("_old")
         if changed == 0:
             break
-    return labels
+    return labels.select("node", F.col("comp").alias("component"))
 
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst",

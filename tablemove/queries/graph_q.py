@@ -310,7 +310,7 @@ def buy_edges(spark, sf):
 @query("connected_components", f"""
 WITH RECURSIVE e AS (SELECT src, dst FROM {BUY_EDGES_SQL} UNION SELECT dst, src FROM {BUY_EDGES_SQL}),
 r(node, comp) AS (SELECT src, src FROM e UNION SELECT e.dst, r.comp FROM r JOIN e ON r.node = e.src)
-SELECT node, min(comp) AS comp FROM r GROUP BY node""")
+SELECT node, min(comp) AS component FROM r GROUP BY node""")
 def connected_components(spark, sf):
     return G.connected_components(buy_edges(spark, sf))
 

@@ -163,7 +163,7 @@ def test_connected_components_brute_force(spark):
                     q.append(v)
         for v in comp:
             want[v] = min(comp)
-    got = {r["node"]: r["comp"] for r in G.connected_components(
+    got = {r["node"]: r["component"] for r in G.connected_components(
         spark.createDataFrame(edges, "src string, dst string")).collect()}
     assert got == want
 

@@ -69,7 +69,7 @@ def test_components_with_hub(spark):
     hub = [("h", f"x{i}") for i in range(3000)]
     chain = [(f"c{i}", f"c{i + 1}") for i in range(30)]
     edges = spark.createDataFrame(hub + chain, "src string, dst string")
-    comps = {r["comp"]: r["n"] for r in G.connected_components(edges).groupBy("comp").agg(
+    comps = {r["component"]: r["n"] for r in G.connected_components(edges).groupBy("component").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     assert comps == {"c0": 31, "h": 3001}
 
