@@ -275,7 +275,11 @@ def publish_run(spark: SparkSession, staged: dict, table: str, mode: str = "over
     while path_exists(spark, f"{table}/data/{part}"):
         part = f"{part}x"
     fs, src = hadoop_fs(spark, staged["staging_path"])
-    _, dst = hadoop_fs(spark, f"{table}/data/{part}")
+    dfs, dst = hadoop_fs(spark, f"{table}/data/{part}")
+    if fs.getUri().toString() != dfs.getUri().toString():
+        # Staging and table on different file systems: copy through Spark.
+        return publish(spark, staged_df, table, mode=mode, overwrite_schema=overwrite_schema,
+                       run_id=staged["run_id"], spec=spec, partition_by=staged.get("partition_by") or None)
     fs.mkdirs(dst.getParent())
     if not fs.rename(src, dst):
         raise IOError(f"could not move {staged['staging_path']} to {table}/data/{part}")
