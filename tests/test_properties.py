@@ -74,3 +74,41 @@ def test_joins_match_model(spark, how):
              "left_semi": [(k, x) for k, x in a if any(k is not None and k == k2 for k2, _ in b)],
              "left_anti": [(k, x) for k, x, _, _ in la]}[how]
     assert got == sorted(model, key=repr)
+
+
+@pytest.mark.parametrize("seed", [9, 10])
+def test_scd2_matches_model(spark, seed):
+    import datetime as dt
+    rnd = random.Random(seed)
+    t0, t1 = dt.datetime(2020, 1, 1), dt.datetime(2021, 1, 1)
+    base = {k: rnd.randint(0, 3) for k in range(20)}
+    src = {k: (base.get(k, 0) if rnd.random() < 0.5 else rnd.randint(0, 3)) for k in rnd.sample(range(30), 15)}
+    target = X.scd2(None, spark.createDataFrame(list(base.items()), "k int, v int"), ["k"], ["v"], t0)
+    got = sorted(map(tuple, X.scd2(target, spark.createDataFrame(list(src.items()), "k int, v int"),
+                                   ["k"], ["v"], t1).collect()), key=repr)
+    model = []
+    for k, v in base.items():
+        if k in src and src[k] != v:
+            model += [(k, v, t0, t1, False), (k, src[k], t1, None, True)]
+        else:
+            model.append((k, v, t0, None, True))
+    model += [(k, v, t1, None, True) for k, v in src.items() if k not in base]
+    assert got == sorted(model, key=repr)
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_cdc_apply_matches_model(spark, seed):
+    rnd = random.Random(seed)
+    target = {k: rnd.randint(0, 5) for k in range(25)}
+    changes = [(rnd.randint(0, 35), rnd.randint(0, 5), rnd.choice(["insert", "update", "delete"]), seq)
+               for seq in range(60)]
+    got = sorted(map(tuple, cdc.cdc_apply(spark.createDataFrame(list(target.items()), "k int, v int"),
+                                          spark.createDataFrame(changes, "k int, v int, _op string, seq int"),
+                                          ["k"], "seq").collect()))
+    latest = {}
+    for k, v, op, seq in changes:
+        if k not in latest or seq > latest[k][2]:
+            latest[k] = (v, op, seq)
+    model = {k: v for k, v in target.items() if k not in latest}
+    model.update({k: v for k, (v, op, _) in latest.items() if op != "delete"})
+    assert got == sorted(model.items())
