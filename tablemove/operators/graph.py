@@ -27,6 +27,13 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _cut_observe(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
+    """Checkpoint ``df`` and collect the given aggregate metrics in the same job."""
+    obs = Observation()
+    out = _cut(df.observe(obs, *[m.alias(k) for k, m in metrics.items()]))
+    return out, dict(obs.get)
+
+
 def _cut_count(df: DataFrame, counted=None) -> tuple[DataFrame, int]:
     """Checkpoint and count in one job: the count rides along as an Observation.
 
@@ -80,11 +87,13 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: st
     """
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
     e = _cut(_undirected(e, "src", "dst") if not directed else e.distinct())
-    frontier, _ = _cut_count(seeds.select(F.col("node"), F.lit(0).alias("hops"),
-                                          F.array(F.col("node")).alias("path")).distinct())
+    hit = F.count(F.when(F.col("node") == F.lit(target), 1)) if target is not None else F.lit(0)
+    frontier, m = _cut_observe(seeds.select(F.col("node"), F.lit(0).alias("hops"),
+                                            F.array(F.col("node")).alias("path")).distinct(),
+                               n=F.count(F.lit(1)), hit=hit)
     levels = [frontier]
     for _ in range(MAX_ROUNDS):
-        if target is not None and frontier.filter(F.col("node") == target).limit(1).count():
+        if m["hit"]:
             break
         visited = levels[0].select("node")
         for lv in levels[1:]:
@@ -93,8 +102,9 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: st
                        .select(F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops"),
                                F.concat(F.col("path"), F.array(F.col("dst"))).alias("path")))
         nxt = nxt.join(visited, "node", "left_anti")
-        nxt, n = _cut_count(nxt.groupBy("node").agg(F.min("hops").alias("hops"), F.min("path").alias("path")))
-        if n == 0:
+        nxt, m = _cut_observe(nxt.groupBy("node").agg(F.min("hops").alias("hops"), F.min("path").alias("path")),
+                              n=F.count(F.lit(1)), hit=hit)
+        if m["n"] == 0:
             break
         levels.append(nxt)
         frontier = nxt
