@@ -17,6 +17,7 @@ from __future__ import annotations
 import datetime as _dt
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -114,10 +115,49 @@ def _part_path(table: str, part: str) -> str:
     return part if (":" in part or part.startswith("/")) else f"{table.rstrip('/')}/data/{part}"
 
 
-def _parts_df(spark: SparkSession, table: str, row) -> DataFrame:
-    paths = [_part_path(table, p) for p in row["parts"]]
+_PART_ROOT = re.compile(r"^(.*/data/v\d{5}-[^/]+)/")
+
+
+def _read_parts(spark: SparkSession, table: str, schema: T.StructType, parts: Sequence[str],
+                partitioned: bool = False, with_file: bool = False) -> DataFrame:
+    """Read a version's parts (directories and kept files).
+
+    Unpartitioned layouts are one read over all paths.  For partitioned
+    layouts each part directory is read on its own and kept files are grouped
+    by the part directory they live in, read with it as ``basePath``, so the
+    partition values encoded in the paths come back.  ``with_file`` adds the
+    source file of every row as ``_file``.
+    """
+    def fin(df: DataFrame) -> DataFrame:
+        return df.withColumn("_file", F.col("_metadata.file_path")) if with_file else df
+
+    paths = [_part_path(table, p) for p in parts]
+    if not paths:
+        out = spark.createDataFrame([], schema)
+        return out.withColumn("_file", F.lit(None).cast("string")) if with_file else out
+    if not partitioned:
+        return fin(spark.read.schema(schema).parquet(*paths))
+    frames = [fin(spark.read.schema(schema).parquet(_part_path(table, p)))
+              for p in parts if not (":" in p or p.startswith("/"))]
+    groups: dict = {}
+    for p in parts:
+        if ":" in p or p.startswith("/"):
+            m = _PART_ROOT.match(p)
+            groups.setdefault(m.group(1) if m else None, []).append(p)
+    for root, files in groups.items():
+        r = spark.read.schema(schema)
+        if root:
+            r = r.option("basePath", root)
+        frames.append(fin(r.parquet(*files)))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _parts_df(spark: SparkSession, table: str, row, with_file: bool = False) -> DataFrame:
     schema = T.StructType.fromJson(json.loads(row["schema_json"]))
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return _read_parts(spark, table, schema, list(row["parts"]), bool(row["partition_columns"]), with_file)
 
 
 def read_as_of(spark: SparkSession, table: str, version: int | None = None) -> DataFrame:
@@ -168,11 +208,8 @@ def publish(spark: SparkSession, df: DataFrame, table: str, mode: str = "overwri
             raise ValueError("append needs the same schema as the current version")
 
     kept_files: list[str] = []
-    if mode == "merge" and (partition_by or (prev is not None and prev["partition_columns"])):
-        # Files of a partitioned layout do not hold their partition values, so
-        # the file-level rewrite below cannot read them back one by one.
-        raise NotImplementedError("merge into a partitioned snapshot table; use the Delta path (sinks.delta)")
     if mode == "merge" and prev is not None:
+        partition_by = partition_by or list(prev["partition_columns"] or []) or None
         out, kept_files = _merge_touched_files(spark, table, prev, df, list(merge_keys), overwrite_schema)
     else:
         out = df
@@ -210,19 +247,19 @@ def _merge_touched_files(spark: SparkSession, table: str, prev, source: DataFram
     merging against the whole table.  The driver receives one row per data
     file (file metadata), never table rows.
     """
-    cur = _parts_df(spark, table, prev)
+    cur = _parts_df(spark, table, prev, with_file=True)
     for k in keys:
         if k not in cur.columns:
             raise ValueError(f"merge key {k!r} not in target")
     src_keys = source.select(*keys).distinct().withColumn("_hit", F.lit(True))
-    per_file = (cur.select(*keys, F.col("_metadata.file_path").alias("_file"))
+    per_file = (cur.select(*keys, "_file")
                    .join(src_keys, keys, "left")
                    .groupBy("_file").agg(F.max(F.col("_hit").isNotNull()).alias("_touched")))
     files = per_file.collect()
     touched = [r["_file"] for r in files if r["_touched"]]
     kept = [r["_file"] for r in files if not r["_touched"]]
     schema = T.StructType.fromJson(json.loads(prev["schema_json"]))
-    target = spark.read.schema(schema).parquet(*touched) if touched else spark.createDataFrame([], schema)
+    target = _read_parts(spark, table, schema, touched, bool(prev["partition_columns"]))
     return merge_frames(target, source, keys, overwrite_schema), kept
 
 

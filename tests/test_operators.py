@@ -360,12 +360,21 @@ def test_cdc_null_keys_are_delete_and_insert(spark):
     assert sorted(tuple(r) for r in applied.collect()) == [(1, "a"), (2, "B"), (3, "c")]
 
 
-def test_merge_into_partitioned_layout_refused(spark, tmp_table):
-    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, p string")
+def test_merge_into_partitioned_layout(spark, tmp_table):
+    a = spark.createDataFrame([(i, "x" if i < 50 else "y", "v0") for i in range(100)], "k int, p string, v string")
     P.publish(spark, a, tmp_table, "overwrite", partition_by=["p"])
-    assert sorted(tuple(r) for r in P.read_table(spark, tmp_table).select("k", "p").collect()) == [(1, "x"), (2, "y")]
-    with pytest.raises(NotImplementedError):
-        P.publish(spark, a, tmp_table, "merge", merge_keys=["k"])
+    src = spark.createDataFrame([(3, "x", "new"), (500, "z", "ins")], "k int, p string, v string")
+    P.publish(spark, src, tmp_table, "merge", merge_keys=["k"])
+    out = {r["k"]: (r["p"], r["v"]) for r in P.read_table(spark, tmp_table).collect()}
+    assert len(out) == 101 and out[3] == ("x", "new") and out[500] == ("z", "ins") and out[70] == ("y", "v0")
+    row = P.history(spark, tmp_table).filter("version = 2").collect()[0]
+    assert list(row["partition_columns"]) == ["p"]
+    assert any(":" in x or x.startswith("/") for x in row["parts"])   # the y partition's file is kept
+    P.publish(spark, spark.createDataFrame([(70, "y", "upd")], "k int, p string, v string"), tmp_table, "merge",
+              merge_keys=["k"])
+    out = {r["k"]: (r["p"], r["v"]) for r in P.read_table(spark, tmp_table).collect()}
+    assert len(out) == 101 and out[70] == ("y", "upd") and out[3] == ("x", "new")
+    assert P.read_as_of(spark, tmp_table, 1).count() == 100
 
 
 def test_jdbc_and_scan_argument_checks(spark):
