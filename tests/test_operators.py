@@ -448,3 +448,14 @@ def test_step_tracer_rows_in_out(spark, tmp_table):
     tr.finish("filter")
     got = {r["step"]: (r["rows_in"], r["rows_out"], r["status"]) for r in tr.metrics(spark).collect()}
     assert got == {"read": (None, 100, "completed"), "filter": (100, 25, "completed")}
+
+
+def test_append_and_rollback_on_partitioned_layout(spark, tmp_table):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, p string")
+    b = spark.createDataFrame([(3, "x"), (4, "z")], "k int, p string")
+    P.publish(spark, a, tmp_table, "overwrite", partition_by=["p"])
+    P.publish(spark, b, tmp_table, "append", partition_by=["p"])
+    got = sorted((r["k"], r["p"]) for r in P.read_table(spark, tmp_table).collect())
+    assert got == [(1, "x"), (2, "y"), (3, "x"), (4, "z")]
+    P.rollback(spark, tmp_table, 1)
+    assert sorted((r["k"], r["p"]) for r in P.read_table(spark, tmp_table).collect()) == [(1, "x"), (2, "y")]
