@@ -112,3 +112,24 @@ def test_cdc_apply_matches_model(spark, seed):
     model = {k: v for k, v in target.items() if k not in latest}
     model.update({k: v for k, (v, op, _) in latest.items() if op != "delete"})
     assert got == sorted(model.items())
+
+
+@pytest.mark.parametrize("seed", [13, 14])
+def test_quality_checks_match_model(spark, seed):
+    from tablemove.operators import quality as Q
+    rnd = random.Random(seed)
+    rows = [(rnd.choice([None, 1, 2, 3, 4, 5]), rnd.choice([None, "a", "b"])) for _ in range(50)]
+    parent = [(k,) for k in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "k int, s string")
+    res = {(r["check"], r["column"]): r["value"] for r in Q.quality(df, [
+        {"type": "row_count", "min": 1}, {"type": "null_pct", "column": "*"},
+        {"type": "duplicate", "keys": ["k"]},
+        {"type": "referential", "column": "k", "ref": spark.createDataFrame(parent, "id int"), "ref_column": "id"},
+    ]).collect()}
+    from collections import Counter
+    cnt = Counter(k for k, _ in rows)
+    assert res[("row_count", None)] == 50
+    assert res[("null_pct", "k")] == pytest.approx(sum(k is None for k, _ in rows) / 50)
+    assert res[("null_pct", "s")] == pytest.approx(sum(s is None for _, s in rows) / 50)
+    assert res[("duplicate", "k")] == sum(n - 1 for n in cnt.values() if n > 1)
+    assert res[("referential", "k")] == sum(1 for k, _ in rows if k is not None and k not in (1, 2, 3))
