@@ -76,7 +76,8 @@ def split_unique_source(source: DataFrame, keys: Sequence[str], what: str) -> tu
     """(rows with a full non-NULL key, rows with a NULL key part).
 
     The keyed rows are collapsed by an aggregate on the keys (partial
-    aggregation on the map side, so a hot key never lands whole in one task)
+    aggregation on the map side -- sort-based, since the carried row is a
+    struct -- so a hot key never lands whole in one task)
     and a count > 1 fails the job with ``<what>: duplicate source key``.  The
     result comes out hash-partitioned on the keys, so a following join on the
     same keys reuses that partitioning.  NULL-key rows never match anything
