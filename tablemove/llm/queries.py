@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablemove.session import scratch_path
+
 from .common import read_table
+from .mixing import curriculum
+from .packing import pack_documents
 from .substring import substring_dedup
+from .token_store import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +24,26 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = write_tokens(read_table(spark, sf_dir, "documents"), scratch_path(spark, "llm", "tokens"))
+    return read_tokens(spark, out).select(F.col("id").alias("doc_id"), "start", F.expr("octet_length(ids) DIV 4").alias("n_tokens"),
+                                          F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), keep_ids=False)
+
+
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = curriculum(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+                      F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
