@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from tablemove.session import scratch_path
 
 from .common import read_table
+from .html_text import extract_text
 from .mixing import curriculum
 from .packing import pack_documents
+from .pii import BASE_KINDS, find_pii
+from .quality import THRESHOLD, held_out, score_quality
 from .substring import substring_dedup
 from .token_store import read_tokens, write_tokens
 
@@ -24,6 +27,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_quality(docs, read_table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), F.col("quality_score").alias("score"),
+                      (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = write_tokens(read_table(spark, sf_dir, "documents"), scratch_path(spark, "llm", "tokens"))
@@ -47,3 +58,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = curriculum(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
                       F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(read_table(spark, sf_dir, "documents"))
+    joined = lambda of: F.expr(f"array_join(transform({of}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
+    base = f"filter(spans, s -> s.kind IN {BASE_KINDS})"
+    counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in BASE_KINDS]
+    return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(read_table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
