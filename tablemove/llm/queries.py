@@ -11,6 +11,7 @@ from tablemove.session import scratch_path
 
 from .common import read_table
 from .html_text import extract_text
+from .maxscore import top_k
 from .mixing import curriculum
 from .packing import pack_documents
 from .pii import BASE_KINDS, find_pii
@@ -73,3 +74,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract_text(read_table(spark, sf_dir, "pages"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"))
