@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tablemove.session import scratch_path
 
 from .common import read_table
+from .flat_graph import near_dedup
 from .html_text import extract_text
 from .maxscore import top_k
 from .mixing import curriculum
+from .ngram_join import jaccard_join
 from .packing import pack_documents
 from .pii import BASE_KINDS, find_pii
 from .quality import THRESHOLD, held_out, score_quality
@@ -79,3 +81,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read_table(spark, sf_dir, "documents"))

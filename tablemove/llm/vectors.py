@@ -12,21 +12,23 @@ from pyspark.sql import functions as F
 
 
 def packed(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec): ``vec`` is the vector's bytes, null where the vector is null, empty or holds a
-    null or non-finite component.  Lengths may differ from row to row."""
+    """(id, vec, zero): ``vec`` is the vector's bytes, null where the vector is null, empty or holds a
+    null or non-finite component; ``zero`` says that all components are 0.  Lengths may differ."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, zero = [], []
             for v in b.column("v"):
-                x = None
+                x, empty = None, False
                 if v.is_valid and len(v) and not v.values.null_count:
                     x = v.values.to_numpy(zero_copy_only=False).astype("<f8")
+                    empty = not x.any()
                     x = x.tobytes() if np.isfinite(x).all() else None
                 out.append(x)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], names=["id", "vec"])
+                zero.append(empty)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary()), pa.array(zero)], names=["id", "vec", "zero"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    return rows.mapInArrow(run, "id long, vec binary")
+    return rows.mapInArrow(run, "id long, vec binary, zero boolean")
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
