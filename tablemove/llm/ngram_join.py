@@ -10,14 +10,16 @@ of them at least (pigeonhole).  A segment travels as the XOR of its tokens'
 set has so many that the pigeonhole argument would need them.  Such a set is
 cut again with another hash, together with the others of its kind.
 
-Candidates are pairs that share a segment key.  A short parity sketch (the wide
-one folded) rejects those whose Hamming distance exceeds what the threshold
-allows; the rest are verified exactly on their texts.  Equal sets are
-collapsed first.  Where keys are shared by few sets all their pairs are tried; while that would
-be more than ``PAIRS_PER_ROW`` pairs per key row, one set per key is tried against
-the others that are not yet connected to it, which joins large groups without
-listing their pairs.  The loop ends when every pair that shares a key is
-connected or was tried, so no connection is lost.
+Candidates are pairs that share a segment key; of keys shared by the same sets one
+is kept.  The sets of a key meet in units of at most two blocks of ``BLOCK_SETS``.  A
+short parity sketch (the wide one folded) rejects pairs whose Hamming distance
+exceeds what the threshold allows, and a unit sends no more than a spanning
+forest of the pairs left between different components.  Those are verified
+exactly on their texts; verified links join components, failed pairs are
+remembered, and the next round tries what is still open.  The loop ends when
+no pair that shares a key is both unconnected and untried, so no connection is
+lost, and no round sends more pairs than key rows.  Equal sets are collapsed
+before all this.
 
 Cases: null or empty text and text without words: no shingles, linked with
 nothing.  Fewer words than ``size``: the whole sequence is one shingle.  Of rows with
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import Words, as_int64, drop_scratch, materialize, mix, prepare, text_bytes, text_chunks
 from .components import connected_components
 
-PAIRS_PER_ROW = 2
+BLOCK_SETS = 1024
 RECUTS = 8  # hashes tried for sets whose segments are too often empty; with the last, empty ones count too
 SEEN_SETS = 100_000  # sets a task remembers, not to send the keys of a copy again
 BITMAP_BITS = 1 << 23  # filter of the ids whose texts are needed; false hits only cost time
@@ -97,18 +99,37 @@ def fingerprint(own: np.ndarray) -> int:
 
 
 def parity_sketch(own: np.ndarray, percent: int) -> bytes:
-    """Folded parity sketch: a power of two of bits, at least 4 per difference allowed."""
-    bits = 1 << max(6, (4 * max(0, most_difference(len(own), len(own), percent))).bit_length())
+    """Folded parity sketch: a power of two of bits, at least 16 per difference allowed."""
+    bits = 1 << max(6, (16 * max(0, most_difference(len(own), len(own), percent))).bit_length())
     odd = np.bincount((mix(own ^ np.uint64(0x5BD1E995)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def sketch_distance(a: bytes, b: bytes) -> int:
-    """Hamming distance after folding the wider sketch to the width of the other."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    n = min(len(x), len(y))
-    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
-    return int(np.bitwise_count(x ^ y).sum())
+def near_matrix(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Boolean matrix: pairs whose sizes and sketches allow the threshold."""
+    width = min(map(len, sketches))
+    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in sketches])
+    distance = np.zeros((len(sizes), len(sizes)), dtype=np.int32)
+    for word in folded.T:
+        distance += np.bitwise_count(word[:, None] ^ word[None, :])
+    total = sizes[:, None] + sizes[None, :]
+    common = -(-percent * total // (100 + percent))
+    return (common <= np.minimum(sizes[:, None], sizes[None, :])) & (distance <= total - 2 * common)
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix."""
+    out, new = [], np.ones(len(near), dtype=bool)
+    while new.any():
+        edge = np.array([int(np.argmax(new))])
+        new[edge] = False
+        while len(edge):
+            reach = near[edge] & new
+            hit = np.flatnonzero(reach.any(axis=0))
+            out += zip(edge[np.argmax(reach[:, hit], axis=0)].tolist(), hit.tolist())
+            new[hit] = False
+            edge = hit
+    return out
 
 
 def segment_keys(own: np.ndarray, percent: int) -> np.ndarray:
@@ -175,13 +196,43 @@ def _keys(size: int, percent: int) -> Callable:
     return run
 
 
-def _near_sketches(percent: int) -> Callable:
-    """Pairs whose sketches allow the threshold."""
+def _units(batches) -> Iterator[pa.Table]:
+    """Whole units of a stream sorted by (key, i, j)."""
+    left: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([left, t]).combine_chunks() if left is not None else t
+        cols = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1 if len(t) > 1 else np.zeros(0, np.int64)
+        for x, y in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+            yield t.slice(x, y - x)
+        left = t.slice(int(cuts[-1])) if len(cuts) else t
+    if left is not None and len(left):
+        yield left
+
+
+def _tries(percent: int) -> Callable:
+    """Per unit the pairs (a, b) to verify: a forest of those near by sketch, in different components and not failed before."""
     def run(batches):
-        for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("a_n", "b_n", "a_sketch", "b_sketch")))
-            keep = [0 <= sketch_distance(s, t) <= most_difference(n, m, percent) for n, m, s, t in rows]
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        out: set[tuple[int, int]] = set()
+        for t in _units(batches):
+            if len(t) < 2:
+                continue
+            fp, comp, part = (t.column(c).to_numpy() for c in ("fp", "comp", "part"))
+            open_ = comp[:, None] != comp[None, :]
+            if t.column("i")[0].as_py() != t.column("j")[0].as_py():
+                open_ &= part[:, None] != part[None, :]
+            open_ &= near_matrix(t.column("n").to_numpy(), t.column("sketch").to_pylist(), percent)
+            for x, others in enumerate(t.column("failed").to_pylist()):
+                if others:
+                    gone = np.isin(fp, others)
+                    open_[x, gone] = open_[gone, x] = False
+            out.update((int(min(fp[x], fp[y])), int(max(fp[x], fp[y]))) for x, y in forest(open_))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+                out.clear()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
     return run
 
@@ -234,51 +285,37 @@ class _Texts:
         self.rows = found.join(holders.withColumnRenamed("id", "holder"), "fp").where("id = holder").select("fp", "text")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, rows: DataFrame, holders: DataFrame, size: int, percent: int) -> tuple[DataFrame, str]:
-    """The pairs (a, b) that hold the threshold, written."""
-    side = lambda s: sets.select(F.col("fp").alias(s), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_sketch"))
-    near, near_path = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near_sketches(percent), "a long, b long"), "ngram-near")
-    needed = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct()
-    texts = _Texts(rows, holders, needed, size).rows
+def _verified(tries: DataFrame, rows: DataFrame, holders: DataFrame, size: int, percent: int) -> tuple[DataFrame, str]:
+    """The pairs (a, b) of ``tries`` that hold the threshold, written."""
+    texts = _Texts(rows, holders, tries.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), size).rows
     side = lambda s: texts.select(F.col("fp").alias(s), F.col("text").alias(f"{s}_text"))
-    done = materialize(near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(size, percent), "a long, b long").distinct(), "ngram-links")
-    drop_scratch(pairs.sparkSession, near_path)
-    return done
+    return materialize(tries.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(size, percent), "a long, b long").distinct(), "ngram-links")
 
 
 def _connect(spark: SparkSession, shared: DataFrame, sets: DataFrame, rows: DataFrame, holders: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id: set, component: set) of linked sets, from the keys (key, fp) that several sets share."""
-    budget = PAIRS_PER_ROW * shared.count()
-    support = shared.groupBy("fp").agg(F.count("*").alias("support"))
-    open_, open_path = materialize(shared.join(support, "fp"), "ngram-open")
+    """(id: set, component: set) of linked sets, from rows (key, fp, n, sketch)."""
     links = spark.createDataFrame([], "a long, b long")
+    failed = spark.createDataFrame([], "fp long, failed array<long>")
+    gone = spark.createDataFrame([], "a long, b long")
     comps = spark.createDataFrame([], "id long, component long")
+    unit = ["key", "i", "j"]
     while True:
-        # Only keys whose sets are not all connected yet matter.
-        placed = open_.join(comps.withColumnRenamed("id", "fp"), "fp", "left").select("key", "fp", "support", F.coalesce("component", "fp").alias("comp"))
-        placed, placed_path = materialize(placed, "ngram-placed")
-        groups = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.count("*").alias("comps"))
-        torn, torn_path = materialize(groups.where("comps > 1").select("key", ((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("pairs")), "ngram-torn")
-        cross = torn.agg(F.sum("pairs")).first()[0] or 0
-        if not cross:
+        placed = shared.join(comps.withColumnRenamed("id", "fp"), "fp", "left").join(failed, "fp", "left").withColumn("comp", F.coalesce("component", "fp"))
+        torn = placed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("parts"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        live = (placed.join(torn.select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
+                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+                .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "comp", "n", "sketch", "failed"))
+        tries, tries_path = materialize(live.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_tries(percent), "a long, b long").distinct(), "ngram-tries")
+        if tries.isEmpty():
             return comps
-        live, live_path = materialize(placed.join(torn, "key"), "ngram-live")
-        drop_scratch(spark, open_path, placed_path, torn_path)
-        last = cross <= budget
-        if last:
-            other = live.select("key", F.col("fp").alias("b"), F.col("comp").alias("b_comp"))
-            pairs = live.join(other, "key").where("fp < b AND comp <> b_comp").select(F.col("fp").alias("a"), "b")
-        else:
-            lead, _ = materialize(live.groupBy("key").agg(F.max(F.struct("support", "fp", "comp")).alias("lead")), "ngram-lead")
-            led = live.join(lead, "key")
-            pairs = led.where("comp <> lead.comp").select(F.least("fp", "lead.fp").alias("a"), F.greatest("fp", "lead.fp").alias("b"))
-            open_, open_path = materialize(led.where("fp <> lead.fp").select("key", "fp", "support"), "ngram-open")
-        new, _ = _links(pairs.distinct(), sets, rows, holders, size, percent)
+        new, _ = _verified(tries, rows, holders, size, percent)
         links = links.union(new)
-        comps, _ = materialize(connected_components(links), "ngram-comps")
-        drop_scratch(spark, live_path)
-        if last:
-            return comps
+        gone, _ = materialize(gone.union(tries.join(new, ["a", "b"], "left_anti")), "ngram-failed")
+        both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+        failed = gone.select(both.alias("p")).groupBy(F.col("p.a").alias("fp")).agg(F.collect_list("p.b").alias("failed"))
+        drop_scratch(spark, tries_path)
+        if not new.isEmpty():
+            comps, _ = materialize(connected_components(links), "ngram-comps")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
@@ -292,8 +329,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keys = rows.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_keys(size, percent), "key long, fp long")
     common, common_path = materialize(keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("key"), "ngram-common")
-    shared, shared_path = materialize(keys.join(common, "key").distinct(), "ngram-shared")
-    drop_scratch(spark, common_path)
+    met, met_path = materialize(keys.join(common, "key").distinct(), "ngram-met")
+    # Many keys bring the same sets together: one of them is enough.
+    named = met.groupBy("key").agg(F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).cast("decimal(38,0)")).alias("s"), F.count("*").alias("c"))
+    once = named.groupBy("x", "s", "c").agg(F.min("key").alias("key")).select("key")
+    shared, shared_path = materialize(met.join(once, "key").join(sets, "fp"), "ngram-shared")
+    drop_scratch(spark, common_path, met_path)
     comps = _connect(spark, shared, sets, rows, holders, size, percent)
     drop_scratch(spark, shared_path)
 
