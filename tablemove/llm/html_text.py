@@ -42,8 +42,8 @@ comments consent cookie cookies disqus discussion footer gdpr login masthead men
 notices notification pager pagination popup promo promotion related reply replies respond search share sharing sidebar signup site-header
 skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets""".split())
 #: Weights where no labelled page is given.
-DEFAULT_WORD, DEFAULT_TAG = 1.0, -0.5
-LEAST_WORD, LEAST_TAG, MOST = 0.5, -0.05, 4.0
+DEFAULT_WORD, DEFAULT_TAG = 1.0, -0.2
+LEAST_WORD, LEAST_TAG, MOST_WORD, MOST_TAG = 0.5, -0.05, 4.0, -1.0
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
 |<(?P<raw>script|style|noscript|template|iframe|textarea|title|svg|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
@@ -108,12 +108,12 @@ def count_labelled(page: str) -> Counter:
 
 
 def weights_from(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Log-odds of lying inside; words at least LEAST_WORD, tags at most LEAST_TAG, none beyond MOST."""
+    """Log-odds of lying inside; words from LEAST_WORD to MOST_WORD, tags from MOST_TAG to LEAST_TAG."""
     out = {}
     for kind in {k for k, _ in counts}:
         odds = math.log((counts.get((kind, True), 0) + 1) / (counts.get((kind, False), 0) + 1))
-        odds = max(-MOST, min(MOST, odds))
-        out[kind] = max(LEAST_WORD, odds) if kind.startswith("word") else min(LEAST_TAG, odds)
+        word = kind.startswith("word")
+        out[kind] = min(MOST_WORD, max(LEAST_WORD, odds)) if word else max(MOST_TAG, min(LEAST_TAG, odds))
     return out
 
 

@@ -197,9 +197,9 @@ def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, id_col: str = "
     ddl = "id long, y double, x binary"
     got = (rows.select("id", "text", "y").mapInArrow(_feature_rows(table), ddl).dropDuplicates(["id", "x"])
            .orderBy(F.xxhash64("id"), "id", "x").limit(sample).collect())  # at most ``sample`` rows of 67 numbers
-    x = np.array([np.frombuffer(r["x"]) for r in got]).reshape(len(got), -1)
-    y = np.array([1.0 if r["y"] > 0 else 0.0 for r in got])
-    return Network().fit(x, y) if len(got) else Network()
+    if not got:
+        return Network()
+    return Network().fit(np.array([np.frombuffer(r["x"]) for r in got]), np.array([1.0 if r["y"] > 0 else 0.0 for r in got]))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
