@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import struct
 
-MAX_KEPT = 600_000  # cuts kept per worker; beyond it the cache starts anew
+MAX_KEPT = 1_000_000  # cuts kept per worker; beyond it the cache starts anew
 MAX_CUT = 64  # longer cuts are encoded each time
 
 _CUTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -55,7 +55,8 @@ class Encoder(dict):
         return out
 
     def __missing__(self, cut: str) -> bytes:
-        out = b"".join(map(self.piece, self.pieces(cut)))
+        # A space and letters is one piece.
+        out = self.piece(cut) if cut[0] == " " and cut[1:].isalpha() else b"".join(map(self.piece, self.pieces(cut)))
         if len(cut) <= MAX_CUT:
             if len(self) >= MAX_KEPT:
                 self.clear()
