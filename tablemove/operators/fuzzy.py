@@ -40,19 +40,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, num_hashes: int, shi
     d = HashingTF(inputCol="_g", outputCol="_f", numFeatures=NUM_FEATURES, binary=True).transform(d)
     mh = MinHashLSH(inputCol="_f", outputCol="_mh", numHashTables=num_hashes, seed=seed).fit(d)
     d = mh.transform(d)
-    return d.select(id_col, F.transform("_mh", lambda v: vector_to_array(v)[0]).alias("_sig"))
+    return d.select(id_col, F.transform("_mh", lambda v: vector_to_array(v)[0]).alias("_sig"),
+                    F.array_distinct(F.transform("_g", lambda g: F.xxhash64(g))).alias("_set"))
 
 
 def fuzzy_dedupe(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8,
                  bands: int = 16, rows_per_band: int = 4, shingle: int = 5, seed: int = 7) -> DataFrame:
     """Rows of ``df`` that survive fuzzy dedupe: one row (smallest id) per
     group of exact or near copies.  Near = Jaccard of word ``shingle``-grams
-    >= ``threshold`` as estimated from ``bands * rows_per_band`` MinHash
-    values (64 by default: standard error about 0.05 near 0.8; a pair at
+    >= ``threshold``, checked on the shingle sets of every candidate pair; the
+    ``bands * rows_per_band`` MinHash values only choose candidates (a pair at
     Jaccard 0.8 shares a band with probability > 0.999).  Exact copies always
-    collapse."""
+    collapse; rows without a text all stay."""
     k = bands * rows_per_band
-    d = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    d = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.col("_t").isNotNull())
     # 1. exact copies: one representative per content hash
     # (all texts of a hash group are equal, so any one of them is the group's text)
     reps = d.groupBy(F.sha2(F.col("_t"), 256).alias("_h")).agg(F.min("_id").alias("_id"),
@@ -67,14 +68,16 @@ def fuzzy_dedupe(df: DataFrame, id_col: str, text_col: str, threshold: float = 0
     bucket_rep = members.groupBy("band", "key").agg(F.min("_id").alias("_rep"))
     cand = (members.join(bucket_rep, ["band", "key"]).filter(F.col("_id") != F.col("_rep"))
                    .select(F.col("_id").alias("src"), F.col("_rep").alias("dst")).distinct())
-    s1 = sig.select(F.col("_id").alias("src"), F.col("_sig").alias("s1"))
-    s2 = sig.select(F.col("_id").alias("dst"), F.col("_sig").alias("s2"))
-    same = F.size(F.filter(F.zip_with("s1", "s2", lambda x, y: x == y), lambda b: b))
+    # Candidates are checked exactly on their shingle sets.
+    s1 = sig.select(F.col("_id").alias("src"), F.col("_set").alias("s1"))
+    s2 = sig.select(F.col("_id").alias("dst"), F.col("_set").alias("s2"))
+    common = F.size(F.array_intersect("s1", "s2"))
     edges = (cand.join(s1, "src").join(s2, "dst")
-                 .filter(same >= F.lit(threshold * k) - F.lit(1e-9)).select("src", "dst"))
+                 .filter(common >= threshold * (F.size("s1") + F.size("s2") - common) - 1e-9).select("src", "dst"))
     comps = connected_components(edges)
     dropped = comps.filter(F.col("node") != F.col("component")).select(F.col("node").alias("_id"))
     # ids of the representatives come from the (checkpointed) signatures, so
     # the exact-copy aggregation over the texts is not run a second time
     keep = sig.select("_id").join(dropped, "_id", "left_anti")
-    return df.join(keep.withColumnRenamed("_id", id_col), id_col, "left_semi")
+    survivors = df.join(keep.withColumnRenamed("_id", id_col), id_col, "left_semi").filter(F.col(text_col).isNotNull())
+    return survivors.unionByName(df.filter(F.col(text_col).isNull()))

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-MAX_ROUNDS = 10_000
-
 
 def _undirected(edges: DataFrame, src: str, dst: str) -> DataFrame:
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter(
@@ -59,7 +57,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     e = _cut(_undirected(edges, src, dst))
     labels = _cut(e.select(F.col("src").alias("node")).distinct().withColumn("comp", F.col("node")))
-    for _ in range(MAX_ROUNDS):
+    while True:
         prop = e.join(labels, e["src"] == labels["node"]).select(F.col("dst").alias("node"), F.col("comp"))
         new = prop.unionByName(labels).groupBy("node").agg(F.min("comp").alias("comp"))
         # Jump through the previous (checkpointed) labels, so the aggregate
@@ -92,7 +90,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: st
                                             F.array(F.col("node")).alias("path")).distinct(),
                                n=F.count(F.lit(1)), hit=hit)
     levels = [frontier]
-    for _ in range(MAX_ROUNDS):
+    while True:
         if m["hit"]:
             break
         visited = levels[0].select("node")
@@ -130,7 +128,7 @@ def cycle_nodes(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFra
     remainder is every node on a cycle or downstream of one."""
     e, n = _cut_count(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
                            .filter(F.col("src").isNotNull() & F.col("dst").isNotNull()))
-    for _ in range(MAX_ROUNDS):
+    while True:
         # Keep edges whose source still has an incoming edge.
         has_in = e.select(F.col("dst").alias("src")).distinct()
         e2, n2 = _cut_count(e.join(has_in, "src", "left_semi"))
@@ -148,30 +146,43 @@ def has_cycle(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
 
 def auto_join(tables: dict[str, DataFrame], edges: DataFrame, names: list[str],
               confirmed: tuple = (), min_confidence: float = 0.85) -> DataFrame:
-    """Join ``names`` in order, finding keys from the edge table.
-
-    Consecutive tables without a direct edge are connected through the
-    shortest path (H8).  Each hop uses the best edge between its two tables
-    (either direction); an edge below ``min_confidence`` that is not explicit
-    is refused unless the pair is in ``confirmed``.  Only edge metadata (a
-    path and one edge per hop) reaches the driver; the joins run on the data.
+    """Join ``names``, finding keys from the edge table.
+
+    A set of joined tables grows from the first name.  Each further name not
+    in it yet is reached by the shortest path (H8) from any joined table, and
+    no table is joined twice.  A hop uses all key columns of its best edge
+    (rows of one ``edge_id``; either direction); an edge below
+    ``min_confidence`` that is not explicit is refused unless the pair is in
+    ``confirmed``.  Only edge metadata (a path and one edge per hop) reaches
+    the driver; the joins run on the data.
     """
     from .relational import join
     edges = _cut(edges)  # small metadata table; evaluated once for path search and hop lookups
-    hops = [names[0]]
-    for left, right in zip(names, names[1:]):
-        p = join_path(edges, left, right).collect()
+    src, dst = F.col("source_table").cast("string").alias("src"), F.col("target_table").cast("string").alias("dst")
+    pairs = edges.select(src, dst)
+    joined, df = [names[0]], tables[names[0]]
+    for name in names[1:]:
+        if name in joined:
+            continue
+        seeds = edges.sparkSession.createDataFrame([(t,) for t in joined], "node string")
+        p = shortest_paths(pairs, seeds, target=name).filter(F.col("node") == name).select("path").collect()
         if not p:
-            raise ValueError(f"no join path between {left} and {right}")
-        hops += list(p[0]["path"][1:])
-    df = tables[hops[0]]
-    for left, right in zip(hops, hops[1:]):
-        cand = edges.filter(((F.col("source_table") == left) & (F.col("target_table") == right))
-                            | ((F.col("source_table") == right) & (F.col("target_table") == left)))
-        b = cand.orderBy(F.col("confidence").desc(), "source_column").limit(1).collect()[0]
-        if b["confidence"] < min_confidence and b["kind"] != "explicit" and (left, right) not in confirmed:
-            raise ValueError(f"edge {left}-{right} needs confirmation (confidence {b['confidence']})")
-        lk, rk = ((b["source_column"], b["target_column"]) if b["source_table"] == left
-                  else (b["target_column"], b["source_column"]))
-        df = join(df, tables[right], lk, rk, "inner")
+            raise ValueError(f"no join path between {joined[0]} and {name}")
+        path = list(p[0]["path"])  # only its first table is joined already
+        for left, right in zip(path, path[1:]):
+            df = join(df, tables[right], how="inner", keys=_edge_keys(edges, left, right, confirmed, min_confidence))
+            joined.append(right)
     return df
+
+
+def _edge_keys(edges: DataFrame, left: str, right: str, confirmed: tuple, min_confidence: float) -> list:
+    """All key column pairs (left, right) of the best edge between two tables."""
+    cand = edges.filter(((F.col("source_table") == left) & (F.col("target_table") == right))
+                        | ((F.col("source_table") == right) & (F.col("target_table") == left)))
+    rows = cand.orderBy(F.col("confidence").desc(), "source_column").collect()  # the edges of one table pair
+    best = rows[0]
+    if best["confidence"] < min_confidence and best["kind"] != "explicit" and (left, right) not in confirmed:
+        raise ValueError(f"edge {left}-{right} needs confirmation (confidence {best['confidence']})")
+    same = [r for r in rows if r["edge_id"] == best["edge_id"]] if "edge_id" in edges.columns else [best]
+    turned = best["source_table"] != left
+    return list(dict.fromkeys((r["target_column"], r["source_column"]) if turned else (r["source_column"], r["target_column"]) for r in same))

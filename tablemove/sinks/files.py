@@ -41,7 +41,8 @@ def write_files(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     df, obs = counted(df)
     if partition_by:
         df = rebalance(df, partition_by)
-    w = df.write.format(fmt).mode(mode).options(**(options or {}))
+    # An overwrite replaces the whole folder, also old partitions that get no new row.
+    w = df.write.format(fmt).mode(mode).options(**{"partitionOverwriteMode": "static", **(options or {})})
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)

@@ -58,7 +58,7 @@ def stage(df: DataFrame, base: str, run_id: str, partition_by: Sequence[str] | N
     df, obs = counted(df)
     if partition_by:
         df = rebalance(df, partition_by)
-    w = df.write.format(fmt).mode("overwrite").options(**(options or {}))
+    w = df.write.format(fmt).mode("overwrite").options(**{"partitionOverwriteMode": "static", **(options or {})})
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
@@ -115,7 +115,7 @@ def _part_path(table: str, part: str) -> str:
     return part if (":" in part or part.startswith("/")) else f"{table.rstrip('/')}/data/{part}"
 
 
-_PART_ROOT = re.compile(r"^(.*/data/v\d{5}-[^/]+)/")
+_PART_ROOT = re.compile(r"^(.*/data/v\d{5,}-[^/]+)/")
 
 
 def _read_parts(spark: SparkSession, table: str, schema: T.StructType, parts: Sequence[str],

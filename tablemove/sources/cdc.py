@@ -62,9 +62,23 @@ def cdc_apply(target: DataFrame, changes: DataFrame, keys: Sequence[str], seq: s
     """
     cols = list(target.columns)
     payload = [c for c in changes.columns if c not in keys]
-    latest = (changes.groupBy(*keys)
-                     .agg(F.max_by(F.struct(*payload), F.col(seq)).alias("_c"))
+    # A change without an order or an operation cannot be applied: the job fails instead of dropping rows.
+    whole = F.col(seq).isNotNull() & F.col(op_col).isNotNull()
+    fail = F.raise_error(F.lit(f"change with NULL {seq} or {op_col}"))
+    changes = changes.filter(F.when(whole, F.lit(True)).otherwise(fail.cast("boolean")))
+    # Equal sequence numbers of a key: the largest payload wins, so reruns agree.
+    order = F.struct(F.col(seq), F.struct(*payload)) if payload else F.col(seq)
+    latest = (changes.dropna(subset=list(keys)).groupBy(*keys)
+                     .agg(F.max_by(F.struct(*payload), order).alias("_c"))
                      .select(*keys, *[F.col(f"_c.{c}").alias(c) for c in payload]))
     kept = target.join(latest.select(*keys), list(keys), "left_anti")
     ins = latest.filter(F.col(op_col) != OP_DELETE).select(*cols)
-    return kept.unionByName(ins)
+    out = kept.unionByName(ins)
+    # NULL keys name no row: inserts append, deletes remove one equal row each (as the diff writes them).
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    loose = changes.filter(no_key)
+    added = loose.filter(F.col(op_col) != OP_DELETE).select(*cols)
+    removed = loose.filter(F.col(op_col) == OP_DELETE).select(*cols)
+    return out.filter(~no_key).unionByName(out.filter(no_key).unionByName(added).exceptAll(removed))
