@@ -74,17 +74,23 @@ def round_half_even(x: Column | str, digits: int = 3) -> Column:
 
     Spark's ``round``/``bround`` look at the shortest decimal form, so
     0.875 * 0.9 (stored as 0.78749999999999997...) becomes 0.788 there but
-    0.787 in Python.  Here the double is scaled by 2^61 (exact for
-    2^-9 <= |x| < 4) to an integer and rounded with integer arithmetic.
+    0.787 in Python.  Here the part after the point is scaled by 2^61 (exact
+    for |x| >= 2^-9) to an integer and rounded with integer arithmetic; the
+    whole part is added afterwards.  From 2^43 on, and for infinities and NaN,
+    the value is returned as it is.
     """
     x = F.col(x) if isinstance(x, str) else x
+    big = F.abs(x) >= F.lit(float(2 ** 43))  # NaN counts as larger than any number
+    size = F.when(big, 0.0).otherwise(F.abs(x))
+    whole = F.floor(size)
     two61 = F.lit(2 ** 61).cast("decimal(38,0)")
     scale = F.lit(10 ** digits).cast("decimal(38,0)")
-    m = (F.abs(x) * F.lit(float(2 ** 61))).cast("long").cast("decimal(38,0)")
+    m = ((size - whole) * F.lit(float(2 ** 61))).cast("long").cast("decimal(38,0)")
     num = m * scale
     q = F.floor(num / two61).cast("decimal(38,0)")
     rem2 = (num - q * two61) * 2
-    up = (rem2 > two61) | ((rem2 == two61) & (F.pmod(q, F.lit(2).cast("decimal(38,0)")) == 1))
-    n = q + F.when(up, 1).otherwise(0)
+    odd = F.pmod(q.cast("long") + whole * F.lit(10 ** digits), F.lit(2)) == 1
+    up = (rem2 > two61) | ((rem2 == two61) & odd)
+    n = q.cast("long") + F.when(up, 1).otherwise(0) + whole * F.lit(10 ** digits)
     res = n.cast("double") / F.lit(float(10 ** digits))
-    return F.when(x.isNull(), None).otherwise(F.when(x < 0, -res).otherwise(res))
+    return F.when(x.isNull(), None).when(big, x).otherwise(F.when(x < 0, -res).otherwise(res))

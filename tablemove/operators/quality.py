@@ -98,8 +98,8 @@ def orphan_rows(df: DataFrame, column: str, ref: DataFrame, ref_column: str) ->
 def orphan_counts(tables: dict[str, DataFrame], fks: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     """Orphan rows for many foreign keys ``(table, column, ref_table, ref_column)`` in one job.
 
-    Every key column becomes ``(fk, integer key, text key)`` rows (integral
-    keys stay numbers, other keys compare as text); child keys are counted
+    Every key column becomes ``(fk, integer key, text key)`` rows (keys that
+    are integral on both sides stay numbers, others compare as text); child keys are counted
     map-side, parent keys made distinct, and a single anti join on
     ``(fk, key)`` finds the orphans for all foreign keys at once.
     """
@@ -109,7 +109,7 @@ def orphan_counts(tables: dict[str, DataFrame], fks: Sequence[tuple[str, str, st
         out = None
         for i, fk in enumerate(fks):
             t, c = fk[2 * side], fk[2 * side + 1]
-            num = dict(tables[t].dtypes)[c] in integral
+            num = all(dict(tables[fk[s]].dtypes)[fk[s + 1]] in integral for s in (0, 2))
             one = tables[t].select(
                 F.lit(i).alias("fk"),
                 (F.col(c).cast("long") if num else F.lit(None).cast("long")).alias("kn"),

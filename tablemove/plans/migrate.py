@@ -38,13 +38,15 @@ def _resolve(spark: SparkSession, tables: dict, name: str) -> DataFrame:
 
 
 def build_frame(spark: SparkSession, spec: dict, tables: dict, edges: DataFrame | None = None,
-                current: DataFrame | None = None) -> DataFrame:
+                current: DataFrame | None = None, upto: dict | None = None) -> DataFrame:
     """The DataFrame a spec describes, before any write.
 
     Several sources without ``joins`` are joined through the edge table
     (``edges``, C10: confident edges only); an ``scd_merge`` transform without
     an explicit target merges into ``current`` (the destination's current
-    version, None on the first load).
+    version, None on the first load).  ``upto`` bounds incremental sources
+    from above (per source, the watermark this run will report), so rows that
+    arrive while it runs are left for the next run.
     """
     write_mode(spec.get("operation", "copy"))
     sources = spec.get("source_tables") or []
@@ -56,7 +58,11 @@ def build_frame(spark: SparkSession, spec: dict, tables: dict, edges: DataFrame
         df = _resolve(spark, tables, s)
         w = inc.get(s)
         if w:  # per source (D13)
-            df = scan_incremental(df, w.get("watermark_column"), w.get("last_watermark"))
+            col = w.get("watermark_column")
+            df = scan_incremental(df, col, w.get("last_watermark"))
+            if (upto or {}).get(s) is not None:
+                bound = F.col(col) <= F.lit(upto[s]).cast(dict(df.dtypes)[col])
+                df = df.filter(bound | F.col(col).isNull())  # a first load has no lower bound and keeps NULLs
         frames[s] = df
     joins = spec.get("joins") or []
     if len(sources) > 1 and not joins:
@@ -120,7 +126,9 @@ def run_migration(spark: SparkSession, spec: dict, tables: dict, root: str,
         fail_on_error = bool(spec.get("fail_on_error", False))
     table = f"{root.rstrip('/')}/{spec['target_table']}"
     current = snapshots.read_table(spark, table) if snapshots.current_version(spark, table) else None
-    df = build_frame(spark, spec, tables, edges=edges, current=current)
+    # Taken before the read and bounding it: what arrives later stays above the watermark.
+    watermarks = {} if spec.get("dry_run") else next_watermarks(spark, spec, tables)
+    df = build_frame(spark, spec, tables, edges=edges, current=current, upto=watermarks)
     if spec.get("dry_run"):
         return {"frame": df, "estimate": estimate(spark, spec, tables, frame=df)}
     import uuid
@@ -130,8 +138,7 @@ def run_migration(spark: SparkSession, spec: dict, tables: dict, root: str,
     staged = snapshots.stage(df, f"{root.rstrip('/')}/_staging", run_id)
     checks = spec.get("checks") or DEFAULT_CHECKS
     results = gate(snapshots.read_staged(spark, staged["staging_path"]), checks, fail=fail_on_error)
-    out = {"staged": staged, "checks": results, "table": table,
-           "next_watermarks": next_watermarks(spark, spec, tables)}
+    out = {"staged": staged, "checks": results, "table": table, "next_watermarks": watermarks}
     if publish:
         mode = write_mode(spec.get("operation", "copy"))
         out["commit"] = snapshots.publish_run(

@@ -121,33 +121,43 @@ def join_inner(spark, sf):
     return R.join(tbl(spark, sf, "orders"), tbl(spark, sf, "customer"), "o_custkey", "c_custkey", "inner")
 
 
-# Outer joins need unmatched rows on the preserved side; every part has line
-# items and every order a customer in the full tables, so the other side is a
-# selective (value-based) filter.  Both tables are still scanned in full.
-_BIG_LINES = "(SELECT * FROM lineitem WHERE l_quantity > 49)"
+# Outer, semi and anti joins need unmatched rows; every part has line items and
+# every order a customer, so the keys of some rows are negated.  All rows of
+# both tables take part.
+_PARTS = "(SELECT * REPLACE (CASE WHEN p_size > 25 THEN -p_partkey ELSE p_partkey END AS p_partkey) FROM part)"
+_ORDERS = "(SELECT * REPLACE (CASE WHEN o_orderstatus = 'P' THEN -o_custkey ELSE o_custkey END AS o_custkey) FROM orders)"
+_CUSTOMERS = "(SELECT * REPLACE (CASE WHEN c_acctbal < 0 THEN -c_custkey ELSE c_custkey END AS c_custkey) FROM customer)"
 
 
-def _big_lines(spark, sf):
-    return tbl(spark, sf, "lineitem").filter(F.col("l_quantity") > 49)
+def _negated(df, key, condition):
+    return df.withColumn(key, F.when(F.expr(condition), -F.col(key)).otherwise(F.col(key)))
 
 
-@query("join_left", f"SELECT p.*, l.* FROM part p LEFT JOIN {_BIG_LINES} l ON p.p_partkey = l.l_partkey")
+def _parts(spark, sf):
+    return _negated(tbl(spark, sf, "part"), "p_partkey", "p_size > 25")
+
+
+def _orders(spark, sf):
+    return _negated(tbl(spark, sf, "orders"), "o_custkey", "o_orderstatus = 'P'")
+
+
+def _customers(spark, sf):
+    return _negated(tbl(spark, sf, "customer"), "c_custkey", "c_acctbal < 0")
+
+
+@query("join_left", f"SELECT p.*, l.* FROM {_PARTS} p LEFT JOIN lineitem l ON p.p_partkey = l.l_partkey")
 def join_left(spark, sf):
-    return R.join(tbl(spark, sf, "part"), _big_lines(spark, sf), "p_partkey", "l_partkey", "left")
+    return R.join(_parts(spark, sf), tbl(spark, sf, "lineitem"), "p_partkey", "l_partkey", "left")
 
 
-@query("join_right", f"SELECT l.*, p.* FROM {_BIG_LINES} l RIGHT JOIN part p ON l.l_partkey = p.p_partkey")
+@query("join_right", f"SELECT l.*, p.* FROM lineitem l RIGHT JOIN {_PARTS} p ON l.l_partkey = p.p_partkey")
 def join_right(spark, sf):
-    return R.join(_big_lines(spark, sf), tbl(spark, sf, "part"), "l_partkey", "p_partkey", "right")
+    return R.join(tbl(spark, sf, "lineitem"), _parts(spark, sf), "l_partkey", "p_partkey", "right")
 
 
-@query("join_full", """
-SELECT o.*, c.* FROM (SELECT * FROM orders WHERE o_totalprice > 450000) o
-FULL OUTER JOIN (SELECT * FROM customer WHERE c_acctbal > 9000) c ON o.o_custkey = c.c_custkey""")
+@query("join_full", f"SELECT o.*, c.* FROM {_ORDERS} o FULL OUTER JOIN {_CUSTOMERS} c ON o.o_custkey = c.c_custkey")
 def join_full(spark, sf):
-    o = tbl(spark, sf, "orders").filter(F.col("o_totalprice") > 450000)
-    c = tbl(spark, sf, "customer").filter(F.col("c_acctbal") > 9000)
-    return R.join(o, c, "o_custkey", "c_custkey", "full")
+    return R.join(_orders(spark, sf), _customers(spark, sf), "o_custkey", "c_custkey", "full")
 
 
 @query("join_cross", "SELECT c.*, r.* FROM customer c CROSS JOIN region r")
@@ -157,19 +167,14 @@ def join_cross(spark, sf):
     return R.join(tbl(spark, sf, "customer"), tbl(spark, sf, "region"), how="cross")
 
 
-_RICH_ORDERS = "(SELECT * FROM orders WHERE o_totalprice > 400000)"
-
-
-@query("join_semi", f"SELECT c.* FROM customer c WHERE EXISTS (SELECT 1 FROM {_RICH_ORDERS} o WHERE o.o_custkey = c.c_custkey)")
+@query("join_semi", f"SELECT c.* FROM {_CUSTOMERS} c WHERE EXISTS (SELECT 1 FROM {_ORDERS} o WHERE o.o_custkey = c.c_custkey)")
 def join_semi(spark, sf):
-    o = tbl(spark, sf, "orders").filter(F.col("o_totalprice") > 400000)
-    return R.join(tbl(spark, sf, "customer"), o, "c_custkey", "o_custkey", "left_semi")
+    return R.join(_customers(spark, sf), _orders(spark, sf), "c_custkey", "o_custkey", "left_semi")
 
 
-@query("join_anti", f"SELECT c.* FROM customer c WHERE NOT EXISTS (SELECT 1 FROM {_RICH_ORDERS} o WHERE o.o_custkey = c.c_custkey)")
+@query("join_anti", f"SELECT c.* FROM {_CUSTOMERS} c WHERE NOT EXISTS (SELECT 1 FROM {_ORDERS} o WHERE o.o_custkey = c.c_custkey)")
 def join_anti(spark, sf):
-    o = tbl(spark, sf, "orders").filter(F.col("o_totalprice") > 400000)
-    return R.join(tbl(spark, sf, "customer"), o, "c_custkey", "o_custkey", "left_anti")
+    return R.join(_customers(spark, sf), _orders(spark, sf), "c_custkey", "o_custkey", "left_anti")
 
 
 @query("join_residual", """

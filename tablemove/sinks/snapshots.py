@@ -20,6 +20,7 @@ import json
 import re
 import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -255,9 +256,10 @@ def _merge_touched_files(spark: SparkSession, table: str, prev, source: DataFram
     per_file = (cur.select(*keys, "_file")
                    .join(src_keys, keys, "left")
                    .groupBy("_file").agg(F.max(F.col("_hit").isNotNull()).alias("_touched")))
-    files = per_file.collect()
-    touched = [r["_file"] for r in files if r["_touched"]]
-    kept = [r["_file"] for r in files if not r["_touched"]]
+    # The metadata column is URL-encoded; paths for reading are not.
+    files = [(unquote(r["_file"]), r["_touched"]) for r in per_file.collect()]
+    touched = [f for f, hit in files if hit]
+    kept = [f for f, hit in files if not hit]
     schema = T.StructType.fromJson(json.loads(prev["schema_json"]))
     target = _read_parts(spark, table, schema, touched, bool(prev["partition_columns"]))
     return merge_frames(target, source, keys, overwrite_schema), kept

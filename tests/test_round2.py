@@ -54,6 +54,61 @@ def test_cdc_apply_nulls(spark):
         cdc_apply(old, bad, ["k"], "_seq").collect()
 
 
+def test_merge_into_partition_value_with_space(spark, tmp_table):
+    from tablemove.sinks.snapshots import publish, read_table
+    orders = tbl(spark, "orders")
+    publish(spark, orders, tmp_table, partition_by=["o_orderpriority"])
+    hot = orders.where("o_orderpriority = '4-NOT SPECIFIED'").withColumn("o_totalprice", F.lit(-1.0))
+    publish(spark, hot, tmp_table, mode="merge", merge_keys=["o_orderkey"])
+    out = read_table(spark, tmp_table)
+    assert out.count() == orders.count()
+    assert out.where("o_totalprice = -1").count() == hot.count() > 0
+    assert out.where("o_orderpriority IS NULL").count() == 0
+
+
+def test_watermark_leaves_rows_that_arrive_meanwhile(spark, tmp_table, monkeypatch):
+    from tablemove.plans import migrate
+    source = f"{tmp_table}/source"
+    spark.createDataFrame([(1, 10), (2, 20)], "id int, seq int").write.parquet(source)
+    real = migrate.build_frame
+
+    def late(*args, **kwargs):
+        if spark.read.parquet(source).count() == 2:  # a row arrives between the watermark and the read
+            spark.createDataFrame([(3, 30)], "id int, seq int").write.mode("append").parquet(source)
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(migrate, "build_frame", late)
+    last, seen = None, []
+    for _ in range(2):
+        spec = {"operation": "incremental", "source_tables": ["s"], "target_table": "t",
+                "incremental": {"s": {"watermark_column": "seq", "last_watermark": last}}}
+        out = migrate.run_migration(spark, spec, {"s": source}, root=tmp_table)
+        last = out["next_watermarks"]["s"]
+        seen.append(sorted(r["id"] for r in out["frame"].collect()))
+    assert seen == [[1, 2], [1, 2, 3]] and last == 30
+
+
+def test_orphans_across_key_types(spark):
+    from tablemove.operators.quality import orphan_counts
+    child = spark.createDataFrame([(1,), (2,)], "k int")
+    parent = spark.createDataFrame([("1",)], "p string")
+    row = orphan_counts({"c": child, "p": parent}, [("c", "k", "p", "p")]).first()
+    assert row["orphan_rows"] == 1
+
+
+def test_round_half_even_beyond_small_scores(spark):
+    from tablemove.functions.expressions import round_half_even
+    values = [0.875 * 0.9, 0.0005, 0.0015, 2.0005, 5.0, -7.1235, 99.9995, 12345.6785, 2.0**45, None]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(round_half_even("x", 3)).collect()
+    assert [r[0] for r in got] == [None if v is None else round(v, 3) for v in values]
+
+
+def test_has_cycle_false_on_a_chain(spark):
+    from tablemove.operators.graph import has_cycle
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "src int, dst int")
+    assert has_cycle(chain).first()["has_cycle"] is False
+
+
 def test_fuzzy_dedupe_exact_check(spark):
     from tablemove.operators.fuzzy import fuzzy_dedupe
     base = [f"w{i}" for i in range(60)]
