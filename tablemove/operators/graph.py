@@ -47,26 +47,28 @@ def _cut_count(df: DataFrame, counted=None) -> tuple[DataFrame, int]:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for an undirected graph; component = smallest node id.
 
-    Min-label propagation with pointer jumping: every round each node takes
-    the smallest label among itself and its neighbours, then the label of its
-    label (labels are node ids of the same component, so this stays correct
-    and cuts the number of rounds from the diameter to about its logarithm).
-    The per-node minimum is a partial aggregate, so a hub node with a third of
-    all edges is combined map-side; both joins have one row per node on one
-    side, so AQE can split a hot key on the other.
+    Hooking and pointer jumping: every round each node finds the smallest
+    label of a label among itself and its neighbours, and both the node and the
+    node it is labelled with take it.  Because labels are moved too, whole
+    trees merge at once and the rounds grow with about the logarithm of the
+    diameter.  Labels are node ids of the same component and only fall; when
+    none does, neighbours agree, and the smallest node always labels itself.
+    The minima are partial aggregates, so a hub node with a third of all edges
+    is combined map-side; the joins have one row per node on one side, so AQE
+    can split a hot key on the other.
     """
     e = _cut(_undirected(edges, src, dst))
     labels = _cut(e.select(F.col("src").alias("node")).distinct().withColumn("comp", F.col("node")))
     while True:
-        prop = e.join(labels, e["src"] == labels["node"]).select(F.col("dst").alias("node"), F.col("comp"))
-        new = prop.unionByName(labels).groupBy("node").agg(F.min("comp").alias("comp"))
-        # Jump through the previous (checkpointed) labels, so the aggregate
-        # above is computed once per round.
-        hop = labels.select(F.col("node").alias("_via"), F.col("comp").alias("_c2"))
-        new = (new.join(hop, new["comp"] == hop["_via"], "left")
-                  .select("node", F.least("comp", F.coalesce("_c2", "comp")).alias("comp")))
-        new = new.join(labels.withColumnRenamed("comp", "_old"), "node")
-        new, changed = _cut_count(new.select("node", "comp", "_old"), F.col("comp") != F.col("_old"))
+        hop = labels.select(F.col("node").alias("_via"), F.col("comp").alias("_top"))
+        jumped = _cut(labels.join(hop, labels["comp"] == hop["_via"]).select("node", "comp", "_top"))
+        near = (e.join(jumped, e["src"] == jumped["node"])
+                 .groupBy(F.col("dst").alias("node")).agg(F.min("_top").alias("_near")))
+        own = jumped.join(near, "node").select("node", "comp", F.least("_top", "_near").alias("_low"))
+        taken = own.select(F.explode(F.array("node", "comp")).alias("node"), "_low")
+        new = taken.groupBy("node").agg(F.min("_low").alias("_low")).join(labels, "node")
+        new, changed = _cut_count(new.select("node", F.least("_low", "comp").alias("comp"), F.col("comp").alias("_old")),
+                                  F.col("comp") != F.col("_old"))
         labels = new.drop("_old")
         if changed == 0:
             break

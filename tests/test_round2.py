@@ -103,6 +103,17 @@ def test_round_half_even_beyond_small_scores(spark):
     assert [r[0] for r in got] == [None if v is None else round(v, 3) for v in values]
 
 
+def test_components_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    from tablemove.operators import graph
+    n, rounds, real = 200, [], graph._cut_count
+    path = [1, *range(n, 1, -1)]  # 1, n, n-1, ..., 2: labels fall slowly without hooking
+    monkeypatch.setattr(graph, "_cut_count", lambda *a, **k: rounds.append(1) or real(*a, **k))
+    out = graph.connected_components(spark.createDataFrame([*zip(path, path[1:]), (500, 501), (502, 502)], "src int, dst int"))
+    got = {r["node"]: r["component"] for r in out.collect()}
+    assert got == {**{i: 1 for i in range(1, n + 1)}, 500: 500, 501: 500, 502: 502}
+    assert len(rounds) <= 12
+
+
 def test_has_cycle_false_on_a_chain(spark):
     from tablemove.operators.graph import has_cycle
     chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "src int, dst int")
