@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablemove.session import delete_path, scratch_path, table_path
 
 REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-CHUNK_BYTES = 1 << 20  # text bytes hashed at a time; bounds the numpy working set
+CHUNK_BYTES = 1 << 18  # text bytes hashed at a time; bounds the numpy working set
 MAX_U64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
