@@ -14,6 +14,7 @@ from tablemove.session import delete_path, scratch_path, table_path
 
 REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 CHUNK_BYTES = 1 << 18  # text bytes hashed at a time; bounds the numpy working set
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MAX_U64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -34,10 +35,16 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` below the shared checkpoint folder and read it back: (frame, path).
 
     Cuts the lineage with files that every executor can read, so a lost
-    executor costs no recomputation of what lies before.
+    executor costs no recomputation of what lies before.  The write's shuffle
+    files go when it ends, not at the driver's next garbage collection.
     """
-    path = scratch_path(df.sparkSession, "llm", tag)
-    df.write.parquet(path)
+    path, conf = scratch_path(df.sparkSession, "llm", tag), df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
