@@ -126,3 +126,17 @@ def test_fuzzy_dedupe_exact_check(spark):
     rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "x"])), (3, None), (4, None), (5, " ".join([*base[:30], *(f"z{i}" for i in range(30))]))]
     out = fuzzy_dedupe(spark.createDataFrame(rows, "id int, t string"), "id", "t")
     assert {r["id"] for r in out.collect()} == {1, 3, 4, 5}
+
+
+def test_overwriting_a_partitioned_external_table_drops_old_partitions(spark, tmp_path):
+    from tablemove.session import SCALE_CONF
+    from tablemove.sinks.files import write_table
+    assert SCALE_CONF.get("spark.sql.sources.partitionOverwriteMode", "static") == "static"
+    df = spark.range(100).selectExpr("id", "id % 4 AS p")
+    path = str(tmp_path / "external")
+    try:
+        write_table(df, "external_overwrite", "overwrite", ["p"], path=path)
+        write_table(df.where("p = 1"), "external_overwrite", "overwrite", ["p"], path=path)
+        assert spark.table("external_overwrite").count() == spark.read.parquet(path).count() == 25
+    finally:
+        spark.sql("DROP TABLE IF EXISTS external_overwrite")
