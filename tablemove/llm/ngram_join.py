@@ -263,7 +263,8 @@ class _Texts:
 
     def __init__(self, rows: DataFrame, holders: DataFrame, needed: DataFrame, size: int):
         # Bits of the hashed ids of the needed sets' holders: at most BITMAP_BITS of them come to the driver.
-        bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
+        # Spark's bitmap buckets start at 1 for the value 1; the value 0 has a bucket of its own.
+        bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS)) + 1
         ids = holders.join(needed, "fp", "left_semi").select(bit.alias("bit"))
         parts = (ids.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect())
         bits = np.zeros(BITMAP_BITS + 32_768, dtype=bool)
