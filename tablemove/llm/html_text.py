@@ -4,9 +4,11 @@ A page becomes a sequence of tags and words.  Words score positive and tags
 negative, with weights learned from labelled pages, here those whose author
 marked the main text with ``<article>``: a token kind's weight is the log-odds
 that it lies inside.  A linear scan finds the contiguous region with the best
-sum; its blocks are the text.  Words below an element that is never article
-text (menus, forms, adverts, comments, ...: by tag, role, class or id) score as
-tags do and are left out of the region's text.
+sum; its blocks are the text.  What lies below an element that is never article
+text (menus, forms, adverts, comments, ...) scores nothing and is left out of the
+region's text.  Such an element is told by its tag or role, or as a container by
+its names: outside an article by a part of a class or id (sections: of a class),
+inside one by a whole class only, and there sections never.
 
 Cases: null or empty html, or a page without words: empty text.  Unclosed or
 crossed tags are closed by their parents.  Rows with equal or null ids are each
@@ -41,6 +43,7 @@ NEVER_NAMES = frozenset("""ad ads advert adverts advertisement advertising adsen
 comments consent cookie cookies disqus discussion footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice
 notices notification pager pagination popup promo promotion related reply replies respond search share sharing sidebar signup site-header
 skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets""".split())
+NAMED = frozenset("center div dl ins li ol section span table tbody td tr ul".split())  # containers whose names count
 #: Weights where no labelled page is given.
 DEFAULT_WORD, DEFAULT_TAG = 1.0, -0.2
 LEAST_WORD, LEAST_TAG, MOST_WORD, MOST_TAG = 0.5, -0.05, 4.0, -1.0
@@ -59,16 +62,16 @@ def _never(tag: str, attrs: str, in_article: bool) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "role" and value in NEVER_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+        if tag in NAMED and (name == "class" or name == "id" and tag != "section" and not in_article) and not (in_article and tag == "section"):
             for x in value.split():
-                if x in NEVER_NAMES or not NEVER_NAMES.isdisjoint(re.split(r"[-_]+", x)):
+                if x in NEVER_NAMES or not in_article and not NEVER_NAMES.isdisjoint(re.split(r"[-_]+", x)):
                     return True
     return False
 
 
 def tokens(page: str) -> Iterator[tuple[str, str | None, int, bool]]:
     """(kind, text or None, block number, inside an article): a tag, or the words between two tags.
-    Words below an element that is never article text have kind ``skip``."""
+    Words and tags below an element that is never article text have kind ``skip``."""
     stack: list[tuple[str, bool, bool]] = []  # (tag, never text, in article)
     block = 0
     for m in _TOKEN.finditer(page):
@@ -84,6 +87,7 @@ def tokens(page: str) -> Iterator[tuple[str, str | None, int, bool]]:
                 at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
                 if at is not None:
                     del stack[at:]
+                below = bool(stack) and stack[-1][1]
             else:
                 if tag in BLOCK and stack and (stack[-1][0] == "p" or "p" in (own := [t for t, _, _ in stack[-4:]]) and own[-1] not in BLOCK):
                     while stack and (gone := stack.pop())[0] != "p":  # a block ends an open paragraph and what is open in it
@@ -92,10 +96,11 @@ def tokens(page: str) -> Iterator[tuple[str, str | None, int, bool]]:
                 elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                     stack.pop()
                     top_never, top_article = stack[-1][1:] if stack else (False, False)
+                below = top_never
                 if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
                     article = top_article or tag == "article"
                     stack.append((tag, top_never or _never(tag, m["attrs"], article), article))
-            yield f"tag:{tag}", None if tag != "br" else " ", block, stack[-1][2] if stack else False
+            yield "skip" if below else f"tag:{tag}", None if tag != "br" else " ", block, stack[-1][2] if stack else False
 
 
 def count_labelled(page: str) -> Counter:
@@ -124,7 +129,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     for kind, text, block, _ in tokens(page or ""):
         words = html.unescape(text) if text is not None else ""
         if kind == "skip":
-            score = LEAST_TAG if words.strip() else 0.0
+            score = 0.0
         elif kind.startswith("word"):
             score = weights.get(kind, DEFAULT_WORD) * len(words.split())
         else:
