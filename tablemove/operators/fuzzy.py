@@ -6,10 +6,13 @@ Scale notes
   copies holding a third of all rows is combined map-side, never paired.
 * Signatures come from Spark ML transformers (tokenizer, n-grams, feature
   hashing, MinHash) over the whole text, evaluated once per row in the JVM.
-* LSH buckets never emit all pairs: each bucket elects its smallest id as
-  representative and every member gets one candidate edge to it (n - 1 edges
-  per bucket, not n²/2).  Candidates are verified on the signatures, then
-  merged with the connected-components job; the smallest id survives.
+* LSH buckets don't emit all pairs: each bucket elects its smallest id as
+  leader and every member gets one candidate edge to it.  Candidates are checked
+  exactly and linked ones merged with the connected-components job.  Leaders
+  then leave their buckets, and a bucket whose other members are not all
+  connected elects new ones, until no bucket holds an untried, unconnected pair.
+  A round sends at most ``MAX_LEADERS`` pairs per member; only buckets of texts
+  that are not near copies of each other need many rounds.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import _cut, connected_components
+from .graph import _cut, _cut_count, connected_components
 
 # Feature space of the shingle hashing (collisions only merge shingles).
 NUM_FEATURES = 1 << 20
+# Leaders of a bucket per round at most: 1 in the first, then doubling.
+MAX_LEADERS = 64
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, num_hashes: int, shingle: int,
@@ -64,17 +69,36 @@ def fuzzy_dedupe(df: DataFrame, id_col: str, text_col: str, threshold: float = 0
     band_keys = F.array(*[F.struct(F.lit(b).alias("band"),
                                    F.xxhash64(F.slice(F.col("_sig"), b * rows_per_band + 1, rows_per_band)).alias("key"))
                           for b in range(bands)])
-    members = sig.select("_id", F.explode(band_keys).alias("_b")).select("_id", "_b.band", "_b.key")
-    bucket_rep = members.groupBy("band", "key").agg(F.min("_id").alias("_rep"))
-    cand = (members.join(bucket_rep, ["band", "key"]).filter(F.col("_id") != F.col("_rep"))
-                   .select(F.col("_id").alias("src"), F.col("_rep").alias("dst")).distinct())
+    bucket = ["band", "key"]
+    members = _cut(sig.select("_id", F.explode(band_keys).alias("_b")).select("_id", "_b.band", "_b.key"))
     # Candidates are checked exactly on their shingle sets.
     s1 = sig.select(F.col("_id").alias("src"), F.col("_set").alias("s1"))
     s2 = sig.select(F.col("_id").alias("dst"), F.col("_set").alias("s2"))
     common = F.size(F.array_intersect("s1", "s2"))
-    edges = (cand.join(s1, "src").join(s2, "dst")
-                 .filter(common >= threshold * (F.size("s1") + F.size("s2") - common) - 1e-9).select("src", "dst"))
-    comps = connected_components(edges)
+    edges = None
+    comps = sig.select(F.col("_id").alias("node"), F.col("_id").alias("component")).limit(0)
+    leaders_now = 1
+    while True:
+        placed = members.join(comps.withColumnRenamed("node", "_id"), "_id", "left").select(
+            *bucket, "_id", F.coalesce("component", "_id").alias("_comp"))
+        torn = placed.groupBy(*bucket).agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).filter("_lo < _hi")
+        live, n = _cut_count(placed.join(torn.select(*bucket), bucket, "left_semi"))
+        if n == 0:
+            break
+        slot = F.pmod(F.xxhash64("_id"), F.lit(leaders_now))
+        leaders = _cut(live.groupBy(*bucket, slot.alias("_slot")).agg(F.min(F.struct("_id", "_comp")).alias("_l"))
+                           .select(*bucket, F.col("_l._id").alias("_rep"), F.col("_l._comp").alias("_rep_comp")))
+        cand = (live.join(leaders, bucket).filter(F.col("_comp") != F.col("_rep_comp"))
+                    .select(F.least("_id", "_rep").alias("src"), F.greatest("_id", "_rep").alias("dst")).distinct())
+        new, linked = _cut_count(cand.join(s1, "src").join(s2, "dst")
+                                     .filter(common >= threshold * (F.size("s1") + F.size("s2") - common) - 1e-9)
+                                     .select("src", "dst"))
+        if linked:
+            edges = new if edges is None else edges.unionByName(new)
+            comps = connected_components(edges)
+        # A leader has met all members of its bucket.
+        members = live.join(leaders.withColumnRenamed("_rep", "_id"), [*bucket, "_id"], "left_anti").select("_id", *bucket)
+        leaders_now = min(2 * leaders_now, MAX_LEADERS)
     dropped = comps.filter(F.col("node") != F.col("component")).select(F.col("node").alias("_id"))
     # ids of the representatives come from the (checkpointed) signatures, so
     # the exact-copy aggregation over the texts is not run a second time
