@@ -9,20 +9,23 @@ from pyspark.sql import functions as F
 
 from tablemove.session import scratch_path
 
+from .byte_bpe import decode_ids, encode_texts, ids_text
 from .common import read_table
 from .flat_graph import near_dedup
 from .html_text import extract_text
+from .lexical_rank import rank_documents
 from .maxscore import top_k
 from .mixing import curriculum
 from .ngram_join import jaccard_join
+from .oracles import ORACLES  # noqa: F401  SQL of the queries that have any
 from .packing import pack_documents
 from .pii import BASE_KINDS, find_pii
 from .quality import THRESHOLD, held_out, score_quality
 from .substring import substring_dedup
+from .target_resampling import resample
 from .token_store import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -91,3 +94,20 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decode_ids(ids_text(encode_texts(read_table(spark, sf_dir, "documents"))))
+    return out.select("doc_id", F.expr("CAST(octet_length(ids) DIV 4 AS bigint)").alias("n_tokens"),
+                      F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
