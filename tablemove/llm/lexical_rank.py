@@ -179,8 +179,8 @@ def _slices(batches) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(have).combine_chunks()
 
 
-def _search(items: list[tuple[int, np.ndarray, np.ndarray]], n_terms: int, docs: int, terms: int, k: int) -> Callable:
-    """A task's ``k`` best documents for every item (number, term ids, weights)."""
+def _search(items: list[tuple[int | None, np.ndarray, np.ndarray]], n_terms: int, docs: int, terms: int, k: int) -> Callable:
+    """A task's ``k`` best documents for every item (id, term ids, weights)."""
     def run(batches):
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(items)
         for t in _slices(batches):
@@ -199,7 +199,7 @@ def _search(items: list[tuple[int, np.ndarray, np.ndarray]], n_terms: int, docs:
                 best[i] = all_ids[order], scores[order]
         n = [len(x) for x, _ in best]
         ids = np.concatenate([x for x, _ in best] or [np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([i for i, _, _ in items], dtype=np.int64), n)), pa.array(ids, mask=ids == NO_ID),
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in items], pa.int64()).take(pa.array(np.repeat(np.arange(len(items)), n))), pa.array(ids, mask=ids == NO_ID),
                                           pa.array(np.concatenate([s for _, s in best] or [np.zeros(0, np.int64)]))], names=["item", "doc", "score"])
 
     return run

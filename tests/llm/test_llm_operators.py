@@ -42,13 +42,14 @@ def edge_dir(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<p>one<p>two &amp; three<div class=comments>no</div><nav>menu</nav>"), (None, "u", "plain  text"), (4, "u", "<script>x"),
              (5, "u", "<body><header>top</header><main><h1>T</h1><p>a <a href=x>b</a> c<br>d</p><aside>s</aside><form>f</form><p>e&nbsp;f</p></main><footer>z</footer>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit(1)).write.parquet(f"{out}/pages.parquet")
+    spark.createDataFrame([(1, "alpha beta"), (None, None)], "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
     return out
 
 
 @pytest.fixture(scope="module")
 def empty_dir(spark, edge_dir):
     out = scratch_path(spark, "empty")
-    for t in ("documents", "labels", "embeddings", "pages"):
+    for t in ("documents", "labels", "embeddings", "pages", "benchmark"):
         spark.read.parquet(f"{edge_dir}/{t}.parquet").limit(0).write.parquet(f"{out}/{t}.parquet")
     return out
 
