@@ -7,7 +7,7 @@ whose payloads are the word's CRC and length.  One scan of a text emits the
 payloads of its words in order; the CRC of a longer feature is composed from
 those of adjacent words (shift the first by the second's length, then XOR), so
 no word is hashed again and no feature is ever built.  The dictionary holds the
-``DICTIONARY_WORDS`` most frequent words of all texts; the scan shows which
+most frequent words of all texts, up to ``DICTIONARY_WORDS``; the scan shows which
 words it misses, and their payloads are computed on the spot, so its size changes
 no result.
 
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, shuffle_partitions, text_chunks
+from .common import drop_scratch, materialize, prepare, shuffle_partitions, text_chunks
 from .lexical_rank import FOLD
 
 BUCKETS = 10_000
@@ -163,10 +163,21 @@ def _words(batches) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(texts: DataFrame, most: int = DICTIONARY_WORDS) -> list[bytes]:
-    """The ``most`` most frequent distinct words of up to WORD_BYTES bytes."""
+    """At most ``most`` words of up to WORD_BYTES bytes: all those that occur at least so often that no more than ``most`` do.
+
+    A histogram of the counts' logarithms gives the bound, so only the words taken are sent to the driver."""
     found = texts.mapInArrow(_words, "word binary, n long").where(F.octet_length("word") <= WORD_BYTES)
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [bytes(r["word"]) for r in top.select("word").collect()]
+    counted, path = materialize(found.groupBy("word").agg(F.sum("n").alias("n")), "resample-words")
+    level = F.floor(F.log2("n") * 16)
+    least, taken = None, 0
+    for r in counted.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # some hundred levels
+        taken += r["words"]
+        if taken > most:
+            break
+        least = r["level"]
+    words = [] if least is None else sorted(bytes(r["word"]) for r in counted.where(level >= least).select("word").collect())
+    drop_scratch(texts.sparkSession, path)
+    return words
 
 
 # --- counts, scores, ranks ----------------------------------------------------
