@@ -2,7 +2,9 @@
 
 Terms are components, weights the integers floor(scale * x), a score the
 integer inner product.  A unit of work is a block of queries against a shard of
-documents.  Inside it the shard's postings are read in slices; for each query
+documents; blocks are about as large as shards, so that few copies of a row
+travel, and smaller only where there would be too few units to share out.
+Inside a unit the shard's postings are read in slices; for each query
 the terms are ordered by the most they can add, and the weakest terms that
 together cannot reach the current k-th score are non-essential: only the
 essential postings are traversed, then the others are probed for documents that
@@ -10,12 +12,15 @@ can still compete.  The k best of each shard are merged.
 
 Cases: vectors that are null, empty, or hold null or non-finite components, and
 rows with a null id take no part.  Shorter vectors count as padded with zeros.
+Rows with components too large for exact sums in doubles are scored in Python's
+integers; a score beyond 64 bits is returned as the nearest 64-bit integer.
 Rows with equal ids count once, with the smallest vector in byte order.  Equal
 scores: smaller id first.  Other columns are ignored.  No rows: no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable
 
@@ -24,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import materialize, prepare, shuffle_partitions
 from .vectors import matrix, packed
 
-SHARD_ROWS, BLOCK_QUERIES, SLICE_ROWS, PROBE = 32_768, 512, 8_192, 8
+SHARD_ROWS, BLOCK_QUERIES, SLICE_ROWS, PROBE = 32_768, 32_768, 8_192, 8
+LEAST, MOST = -2**63, 2**63 - 1
 
 
 class Postings:
@@ -72,6 +78,14 @@ class Postings:
         return live, score
 
 
+def exact_best(docs: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+    """The ``k`` best (score, id) by Python's integers, of documents but ``own``."""
+    nonzero = np.flatnonzero(query)
+    terms = [int(x) for x in query[nonzero]]
+    scores = ((sum(q * int(w) for q, w in zip(terms, row)), i) for row, i in zip(docs[:, nonzero].tolist(), ids.tolist()) if i != own)
+    return heapq.nsmallest(k, ((s, i) for s, i in scores), key=lambda x: (-x[0], x[1]))
+
+
 def _unit(k: int, scale: float) -> Callable:
     out_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -81,14 +95,18 @@ def _unit(k: int, scale: float) -> Callable:
         queries, q_ids = weights[is_query], ids[is_query]
         order = np.argsort(ids[~is_query], kind="stable")
         docs, d_ids = weights[~is_query][order], ids[~is_query][order]
-        if len(docs) and len(queries) and np.abs(docs).max() * np.abs(queries).max() * docs.shape[1] >= 2.0**53:
-            raise OverflowError("components are too large for exact integer scores")
+        # Products of two rows below this bound sum exactly in doubles.
+        bound = math.sqrt(2.0**53 / max(1, weights.shape[1]))
+        large_doc, large_query = (np.abs(x).max(axis=1, initial=0) >= bound for x in (docs, queries))
+        large, large_ids = docs[large_doc], d_ids[large_doc]
+        all_docs, all_ids_ = docs, d_ids
+        docs, d_ids = docs[~large_doc], d_ids[~large_doc]
         best = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
         for a in range(0, len(docs), SLICE_ROWS):
             postings = Postings(d_ids[a:a + SLICE_ROWS], docs[a:a + SLICE_ROWS])
-            for i, query in enumerate(queries):
+            for i in np.flatnonzero(~large_query).tolist():
                 have_ids, have = best[i]
-                live, score = postings.search(query, have[-1] if len(have) >= k else -math.inf)
+                live, score = postings.search(queries[i], have[-1] if len(have) >= k else -math.inf)
                 own = postings.ids[live] != q_ids[i]
                 all_ids, scores = np.append(have_ids, postings.ids[live][own]), np.append(have, score[own])
                 if len(scores) > 4 * k:  # all that reach the k-th best, ties included
@@ -96,9 +114,12 @@ def _unit(k: int, scale: float) -> Callable:
                     all_ids, scores = all_ids[keep], scores[keep]
                 top = np.lexsort((all_ids, -scores))[:k]
                 best[i] = all_ids[top], scores[top]
-        n = [len(x) for x, _ in best]
-        return pa.Table.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([x for x, _ in best] or [np.zeros(0, np.int64)])),
-                                     pa.array(np.concatenate([s for _, s in best] or [np.zeros(0)]).astype(np.int64))], schema=out_schema)
+        rows = [[(int(s), int(d)) for d, s in zip(*x)] for x in best]
+        for i in range(len(queries)) if len(large) else np.flatnonzero(large_query).tolist():
+            some, some_ids = (all_docs, all_ids_) if large_query[i] else (large, large_ids)
+            rows[i] = heapq.nsmallest(k, rows[i] + exact_best(some, some_ids, queries[i], int(q_ids[i]), k), key=lambda x: (-x[0], x[1]))
+        flat = [(int(q), d, min(MOST, max(LEAST, s))) for q, own in zip(q_ids, rows) for s, d in own]
+        return pa.Table.from_arrays([pa.array([r[c] for r in flat], pa.int64()) for c in range(3)], schema=out_schema)
 
     return run
 
@@ -111,7 +132,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     rows, _ = materialize(rows.groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
     is_query = F.pmod("id", F.lit(every)) == 0
     n, n_queries = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
+    shards = max(1, -(-n // SHARD_ROWS))
+    blocks = max(1, -(-n_queries // BLOCK_QUERIES), min(n_queries // 64, shuffle_partitions(vectors.sparkSession) // shards))
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     to_all = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     docs = rows.select(F.lit(False).alias("is_query"), "id", "vec", part(shards).alias("shard"), to_all(blocks).alias("block"))

@@ -104,6 +104,13 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.drop("mix_source", "mix_hash", "mix_bucket", "mix_upto", "mix_base", "mix_copies", "mix_from", "mix_to")
 
 
+def in_order(planned: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``curriculum`` range-sorted by ``mix_first``, their first position; those not taken come last."""
+    rows, _ = materialize(planned.withColumn("mix_first", F.try_element_at("mix_positions", F.lit(1))), "mix-planned")  # else run once more to find the ranges
+    keys = [F.col("mix_first").asc_nulls_last(), F.col(id_col)]
+    return rows.repartitionByRange(shuffle_partitions(planned.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mixed corpus in training order: ``docs``' columns, a row per copy taken, range-sorted by position."""
     planned = curriculum(docs, id_col, **options)

@@ -14,7 +14,6 @@ packed.  A null id is kept.  Other columns are ignored.  No rows: no rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -81,10 +80,10 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[np.ndarr
 
 
 _PIECE = pa.schema([("part", pa.int32()), ("rank", pa.int64()), ("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
-                    ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+                    ("length", pa.int64()), ("ids", pa.binary())])
 
 
-def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool) -> Callable:
+def _pieces(path: str, capacity: int, end_id: int) -> Callable:
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
@@ -97,7 +96,7 @@ def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool) -> Callable:
                 at, to, piece = 0, (total - 1) % capacity + 1, 0
                 while at < total:
                     own = ids[4 * at:4 * to]
-                    rows.append((part, seen[to - at], i, piece, at, to - at, zlib.crc32(own), own if keep_ids else None))
+                    rows.append((part, seen[to - at], i, piece, at, to - at, own))
                     seen[to - at] += 1
                     at, to, piece = to, to + capacity, piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE)], schema=_PIECE)
@@ -122,25 +121,23 @@ def _place(runs: np.ndarray) -> Callable:
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024,
-                   tokenizer: str | None = None, end_id: int = 2, keep_ids: bool = True) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) per piece of a document.
+                   tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
+    """(id, piece, start, length, ids, sequence_id, offset) per piece of a document.
 
-    ``ids`` (with ``keep_ids``) are the piece's little-endian 32-bit ids.  A
+    ``ids`` are the piece's little-endian 32-bit ids.  A
     document over ``capacity`` is cut into pieces of that length, the first
     being what remains.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ddl = "part int, rank long, id long, piece int, start long, length long, ids_crc32 long, ids binary"
-    pieces, _ = materialize(rows.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity, end_id, keep_ids), ddl), "pieces")
-    if not keep_ids:
-        pieces = pieces.drop("ids")
+    ddl = "part int, rank long, id long, piece int, start long, length long, ids binary"
+    pieces, _ = materialize(rows.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity, end_id), ddl), "pieces")
     counts, _ = materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row per length
     runs, _ = best_fit_decreasing(total, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = (pieces.join(base, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
-              .select("id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []), "rank"))
-    schema = "id long, piece int, start long, length long, ids_crc32 long, " + ("ids binary, " if keep_ids else "") + "sequence_id long, offset long"
+              .select("id", "piece", "start", "length", "ids", "rank"))
+    schema = "id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
     return ranked.mapInArrow(_place(runs), schema).withColumnRenamed("id", id_col)

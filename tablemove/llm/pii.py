@@ -44,8 +44,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9]([ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_ACCOUNT = re.compile(r"(?:[ ._-]?(?:number|nummer|no|nr))?\.?[ \t]*[:#=]?[ \t]*(?P<v>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}|[0-9]{6,20})(?![A-Za-z0-9])")
-_SECRET = re.compile(r"[\"']?[ \t]*[:=][ \t]*[\"']?(?P<v>[A-Za-z0-9_+/.~-]{8,}=*)")
+_ACCOUNT = re.compile(r"(?:[ ._-]?(?:number|nummer|no|nr))?\.?[ \t]*+(?:[:#=][ \t]*+)?(?P<v>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}|[0-9]{6,20})(?![A-Za-z0-9])")
+_SECRET = re.compile(r"[\"']?[ \t]*+[:=][ \t]*+[\"']?(?P<v>[A-Za-z0-9_+/.~-]{8,}=*)")
 _URL = re.compile(r"(?P<user>[^\s/@<>\"']+)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?(?:/[^\s<>\"']*)?")
 
 _AUTOMATON = None
@@ -97,7 +97,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
             if at and text[at - 1] in _DIGITS and at > 0:
                 continue  # only a run's first digit is an anchor
             if at >= done["ip"] and (m := _IP.match(text, at)):
-                take("ip", at, m.end(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()))
+                take("ip", at, m.end(), all(len(own := p.lstrip("0")) <= 3 and int(own or "0") <= 255 for p in m.groups()))
             if at >= done["card"] and (m := _CARD.match(text, at)):
                 digits = m[0].replace(" ", "").replace("-", "")
                 take("card", at, m.end(), 13 <= len(digits) <= 19 and luhn(digits))

@@ -15,7 +15,7 @@ from .flat_graph import near_dedup
 from .html_text import extract_text
 from .lexical_rank import rank_documents
 from .maxscore import top_k
-from .mixing import curriculum
+from .mixing import curriculum, in_order
 from .ngram_join import jaccard_join
 from .oracles import ORACLES  # noqa: F401  SQL of the queries that have any
 from .packing import pack_documents
@@ -50,7 +50,8 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents"), keep_ids=False)
+    out = pack_documents(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 @query
@@ -62,8 +63,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = curriculum(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = in_order(out.drop("text"))
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
-                      F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+                      F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"),
+                      F.col("mix_first").alias("position"))
 
 
 @query

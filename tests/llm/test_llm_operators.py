@@ -93,7 +93,6 @@ def encode(text):
     import public_tokenizers
     from tokenizers import Tokenizer
     t = encode.__dict__.setdefault("t", Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
