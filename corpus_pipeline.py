@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablemove.llm.common import materialize, read_table
 from tablemove.llm.mixing import mix
-from tablemove.llm.ngram_join import jaccard_join
+from tablemove.llm.ngram_join import jaccard_groups
 from tablemove.llm.packing import pack_documents
 from tablemove.llm.pii import redact
 from tablemove.llm.quality import THRESHOLD, score_quality
@@ -27,12 +27,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by word shingles.
-    Of rows with that id one stays; rows with a null id all stay."""
-    groups = jaccard_join(docs, size=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One row of each group of texts linked by word shingles: the one with the smallest id, then hash of its text,
+    then columns in their order.  Texts without words are linked with nothing: of equal ids one stays.
+    Texts of different groups stay though their ids be equal; rows with a null id all stay."""
+    groups = jaccard_groups(docs, size=SHINGLE_WORDS, percent=SIMILARITY_PERCENT).where("doc_id IS NOT NULL")
+    first = groups.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
+    keep = first.unionByName(groups.where("group IS NULL").select("doc_id", "text_hash")).distinct()
+    rows = docs.withColumn("text_hash", F.xxhash64("text")).join(keep.withColumnsRenamed({"doc_id": "keep_id", "text_hash": "keep_hash"}),
+                                                                 (F.col("doc_id") == F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash")), "left_semi")
+    kept = rows.groupBy("doc_id", "text_hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +50,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document with its place in a training sequence."""
-    return pack_documents(docs, keep_ids=False)
+    """A row per piece of a document: its token ids and their place in a training sequence."""
+    return pack_documents(docs)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data),

@@ -168,30 +168,22 @@ def _sets(batches, size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]
 
 
 def _describe(size: int, percent: int) -> Callable:
-    def run(batches):
-        for part, sets in _sets(batches, size):
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([fingerprint(x) for x in sets], pa.int64()),
-                                              pa.array([parity_sketch(x, percent) for x in sets], pa.binary())], names=["id", "n", "fp", "sketch"])
-
-    return run
-
-
-def _keys(size: int, percent: int) -> Callable:
+    """Per text its set's size, name and short sketch, and the segment keys of sets that the task meets first."""
     def run(batches):
         seen: set[int] = set()
-        for _, sets in _sets(batches, size):
-            keys, fps = [], []
-            for own in sets:
-                fp = fingerprint(own)
-                if fp in seen or not len(own):
+        for part, sets in _sets(batches, size):
+            fps, keys = [fingerprint(x) for x in sets], []
+            for has_id, fp, own in zip(part.column("id").is_valid().to_pylist(), fps, sets):
+                if not has_id or fp in seen or not len(own):
+                    keys.append(None)
                     continue
                 if len(seen) >= SEEN_SETS:
                     seen.clear()
                 seen.add(fp)
-                keys.append(segment_keys(own, percent))
-                fps.append(np.full(len(keys[-1]), fp, dtype=np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(as_int64(np.concatenate(keys))), pa.array(np.concatenate(fps))], names=["key", "fp"])
+                keys.append(as_int64(segment_keys(own, percent)))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps, pa.int64()),
+                                              pa.array([parity_sketch(x, percent) for x in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                                             names=["id", "text_hash", "n", "fp", "sketch", "keys"])
 
     return run
 
@@ -321,14 +313,22 @@ def _connect(spark: SparkSession, shared: DataFrame, sets: DataFrame, rows: Data
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id) per row: component_id is the smallest id reachable by links."""
+    return jaccard_groups(docs, id_col, text_col, size, percent).select(id_col, "n_shingles", "component_id")
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """(id, n_shingles, component_id, text_hash, group) per row: component_id is the smallest id reachable by
+    links; text_hash is the text's xxhash64; group names the component even where one id has several texts
+    (null for rows without shingles or id)."""
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described, _ = materialize(rows.mapInArrow(_describe(size, percent), "id long, n long, fp long, sketch binary"), "ngram-sets")
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    described, _ = materialize(hashed.mapInArrow(_describe(size, percent), "id long, text_hash long, n long, fp long, sketch binary, keys array<long>"), "ngram-sets")
     known = described.where("id IS NOT NULL AND n > 0")
     holders, _ = materialize(known.groupBy("fp").agg(F.min("id").alias("id")), "ngram-holders")
     sets = known.join(holders, ["fp", "id"], "left_semi").dropDuplicates(["fp"]).select("fp", "n", "sketch")
 
-    keys = rows.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_keys(size, percent), "key long, fp long")
+    keys = described.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "fp")
     common, common_path = materialize(keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("key"), "ngram-common")
     met, met_path = materialize(keys.join(common, "key").distinct(), "ngram-met")
     # Many keys bring the same sets together: one of them is enough.
@@ -342,7 +342,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
    # Names of sets back to ids: the smallest holder of any set of the component.
     named = holders.join(comps.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("comp"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    final, _ = materialize(named.join(least, "comp").select("fp", "component_id"), "ngram-final")
+    final, _ = materialize(named.join(least, "comp").select("fp", "component_id", F.col("comp").alias("group")), "ngram-final")
     out = described.join(final, "fp", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))).alias("component_id"))
+                      F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))).alias("component_id"),
+                      "text_hash", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("group")).alias("group"))
