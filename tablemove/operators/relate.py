@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.expressions import name_key, round_half_even
 from ..sources.catalog import type_family
+from .overlap import overlaps
 from .similarity import similar_pairs
 
 # Thresholds and weights of edge inference and name resolution.
@@ -207,69 +208,17 @@ def name_edges(cols: DataFrame, threshold: float = NAME_SIMILARITY_THRESHOLD,
         (F.col("confidence") < CONFIRMATION_THRESHOLD).alias("needs_confirmation"))
 
 
-def _value_key(df: DataFrame, c: str) -> Column:
-    """Comparable form of a value: integers as decimal text; text longer than
-    64 characters as its SHA-256 digest (tagged so a digest never equals a
-    short raw value), which keeps the shuffled values small for long texts."""
-    v = F.col(c).cast("string")
-    if type_family(dict(df.dtypes)[c]) != "string":
-        return v
-    return F.when(F.length(v) > 64, F.concat(F.lit("\u0000"), F.sha2(v, 256))).otherwise(v)
-
-
-def distinct_values(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]]) -> DataFrame:
-    """Distinct non-NULL ``(t, c, v)`` for the given columns (see ``_value_key``),
-    one scan per table; a value holding a third of the rows collapses in the
-    map-side part of the distinct."""
-    out = None
-    for t, cols in columns.items():
-        df = tables[t]
-        x = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _value_key(df, c).alias("v")) for c in cols]))
-        one = df.select(x.alias("x")).select(F.lit(t).alias("t"), "x.c", "x.v").filter(F.col("v").isNotNull())
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
-
-
 def value_overlap(tables: dict[str, DataFrame], pairs: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     """Exact Jaccard and containment of distinct values for the given column pairs.
 
-    ``pairs`` = (table_a, column_a, table_b, column_b); pairs of different
-    type families (or of floating columns) are skipped.  Values compare as
-    strings of integers or text.  All pairs are evaluated in one job: the
-    distinct values (computed once) are tagged with the pair sides they
-    belong to (the pair list is caller-supplied metadata, broadcast), then two
-    aggregations -- per (pair, value) and per pair -- count both sides and the
-    intersection.  Only aggregates, all with map-side partial aggregation.
+    ``pairs`` = (table_a, column_a, table_b, column_b); every pair has its row,
+    pairs of different type families share nothing (see ``overlap``).
     """
-    keep = []
-    for ta, ca, tb, cb in pairs:
-        fa, fb = type_family(dict(tables[ta].dtypes)[ca]), type_family(dict(tables[tb].dtypes)[cb])
-        if fa == fb and fa in ("integer", "string"):
-            keep.append((len(keep), ta, ca, tb, cb))
-    if not keep:
-        raise ValueError("no comparable column pairs")
-    spark = tables[keep[0][1]].sparkSession
-    cols: dict[str, set] = {}
-    for _, ta, ca, tb, cb in keep:
-        cols.setdefault(ta, set()).add(ca)
-        cols.setdefault(tb, set()).add(cb)
-    vals = distinct_values(tables, {t: sorted(c) for t, c in cols.items()})
-    p = spark.createDataFrame(keep, "pair long, table_a string, column_a string, table_b string, column_b string")
-    sides = spark.createDataFrame([(i, 0, ta, ca) for i, ta, ca, _, _ in keep] +
-                                  [(i, 1, tb, cb) for i, _, _, tb, cb in keep],
-                                  "pair long, side int, t string, c string")
-    tagged = vals.join(F.broadcast(sides), ["t", "c"]).select("pair", "side", "v")
-    per_value = tagged.groupBy("pair", "v").agg(F.max((F.col("side") == 0).cast("int")).alias("_a"),
-                                                F.max((F.col("side") == 1).cast("int")).alias("_b"))
-    counts = per_value.groupBy("pair").agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"),
-                                           F.sum(F.col("_a") * F.col("_b")).alias("n_both"))
-    out = p.join(counts, "pair", "left").select(
-        "table_a", "column_a", "table_b", "column_b",
-        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_a", "n_b", "n_both")])
-    union = F.col("n_a") + F.col("n_b") - F.col("n_both")
-    return out.withColumns({
-        "jaccard": F.when(union > 0, F.col("n_both") / union).otherwise(F.lit(0.0)),
-        "containment": F.when(F.least("n_a", "n_b") > 0, F.col("n_both") / F.least("n_a", "n_b")).otherwise(0.0)})
+    if not pairs:
+        raise ValueError("no column pairs")
+    columns = sorted({(t, c) for ta, ca, tb, cb in pairs for t, c in ((ta, ca), (tb, cb))})
+    at = {key: i for i, key in enumerate(columns)}
+    return overlaps({t: tables[t] for t, _ in columns}, columns, [(at[ta, ca], at[tb, cb]) for ta, ca, tb, cb in pairs])
 
 
 def value_edges(overlap: DataFrame, name_conf: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import overlap as O  # noqa: E741
 from ..operators import relate as H
 from ..operators.quality import orphan_counts
 from ..sources.catalog import catalog_columns
@@ -212,6 +213,52 @@ def value_overlap(spark, sf):
     return _overlap(spark, sf)
 
 
+# Columns of the test tables by the common form of their values.
+NUMBERS = """region.r_regionkey nation.n_nationkey nation.n_regionkey customer.c_custkey customer.c_nationkey customer.c_acctbal
+supplier.s_suppkey supplier.s_nationkey supplier.s_acctbal part.p_partkey part.p_size part.p_retailprice orders.o_orderkey
+orders.o_custkey orders.o_totalprice lineitem.l_orderkey lineitem.l_partkey lineitem.l_suppkey lineitem.l_linenumber
+lineitem.l_quantity lineitem.l_extendedprice lineitem.l_discount lineitem.l_tax events.event_id events.user_id events.value
+documents.doc_id documents.n_chars embeddings.vec_id embeddings.label pages.page_id benchmark.item_id labels.doc_id
+labels.quality labels.toxic conversations.conv_id conversations.turn""".split()
+TEXTS = """region.r_name nation.n_name customer.c_name customer.c_mktsegment supplier.s_name part.p_name part.p_brand part.p_type
+orders.o_orderstatus orders.o_orderpriority lineitem.l_returnflag lineitem.l_linestatus events.event_type events.props documents.text
+documents.lang documents.source pages.url pages.html benchmark.text conversations.role conversations.text""".split()
+TIMES, VECTORS = ["orders.o_orderdate", "lineitem.l_shipdate", "events.ts"], ["embeddings.embedding"]
+
+
+def _all_overlaps_sql(where=""):
+    number = "'n' || CASE WHEN CAST({c} AS DOUBLE) = floor(CAST({c} AS DOUBLE)) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST(CAST({c} AS DOUBLE) AS VARCHAR) END"
+    forms = [(NUMBERS, number), (TEXTS, "'s' || {c}"), (TIMES, "'t' || CAST({c} AS VARCHAR)"), (VECTORS, "'v' || CAST({c} AS VARCHAR)")]
+    one = "SELECT DISTINCT '{t}' AS t, '{c}' AS c, {form} AS v FROM {t} WHERE {c} IS NOT NULL"
+    rows = " UNION ALL ".join(one.format(t=t, c=c, form=form.format(c=c)) for names, form in forms for t, c in (x.split(".") for x in names))
+    names = ", ".join("('{}', '{}')".format(*x.split(".")) for x, _ in ((x, f) for names, f in forms for x in names))
+    return f"""
+WITH vals AS ({rows}), cols(t, c) AS (VALUES {names}),
+n AS (SELECT t, c, count(*) AS n FROM vals GROUP BY t, c),
+met AS (SELECT x.t AS ta, x.c AS ca, y.t AS tb, y.c AS cb, count(*) AS n FROM vals x JOIN vals y ON x.v = y.v AND (x.t < y.t OR x.t = y.t AND x.c < y.c) GROUP BY ALL),
+counted AS (
+  SELECT a.t AS table_a, a.c AS column_a, b.t AS table_b, b.c AS column_b, coalesce(na.n, 0) AS n_a, coalesce(nb.n, 0) AS n_b, coalesce(met.n, 0) AS n_both
+  FROM cols a JOIN cols b ON a.t < b.t OR a.t = b.t AND a.c < b.c
+  LEFT JOIN n na ON na.t = a.t AND na.c = a.c LEFT JOIN n nb ON nb.t = b.t AND nb.c = b.c
+  LEFT JOIN met ON ta = a.t AND ca = a.c AND tb = b.t AND cb = b.c),
+shares AS (
+  SELECT *, CASE WHEN n_a + n_b - n_both > 0 THEN n_both / (n_a + n_b - n_both) ELSE 0.0 END AS jaccard,
+    CASE WHEN least(n_a, n_b) > 0 THEN n_both / least(n_a, n_b) ELSE 0.0 END AS containment FROM counted)
+SELECT * FROM shares {where}"""
+
+
+@query("value_overlap_all", _all_overlaps_sql())
+def value_overlap_all(spark, sf):
+    """Overlap of all pairs of columns of all tables, with each pair in the result."""
+    return O.value_overlap_all({t: tbl(spark, sf, t) for t in ALL_TABLES})
+
+
+@query("value_overlap_likely", _all_overlaps_sql("WHERE jaccard >= 0.5"))
+def value_overlap_likely(spark, sf):
+    """The pairs that share at least half of their values: chosen by sketches, counted exactly."""
+    return O.value_overlap_all({t: tbl(spark, sf, t) for t in ALL_TABLES}, least_jaccard=0.5)
+
+
 def _edge_table(spark, sf):
     ex = verified_fk_edges(spark, sf).drop("orphan_rows")
     return ex.unionByName(H.value_edges(_overlap(spark, sf)))
