@@ -75,43 +75,86 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return labels.select("node", F.col("comp").alias("component"))
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst",
-                   directed: bool = False, target: str | None = None) -> DataFrame:
-    """Breadth-first search from the ``seeds`` frame (column ``node``).
-
-    Returns (node, hops, path) for every reachable node; among equally short
-    paths the smallest path in array order wins.  One frontier join per
-    level; each level is checkpointed once and the visited set is the union
-    of the (checkpointed) levels.  With ``target`` the search stops at the
-    level that reaches it (BFS levels are final once produced).
+class _Visited:
+    """Nodes seen so far in a handful of checkpointed parts: a part is merged with the one before it
+    when it has grown as large, so each node is rewritten a logarithmic number of times and plans stay short."""
+
+    def __init__(self):
+        self.parts: list[tuple[DataFrame, int]] = []
+
+    def add(self, nodes: DataFrame, n: int) -> None:
+        self.parts.append((nodes, n))
+        while len(self.parts) > 1 and self.parts[-1][1] >= self.parts[-2][1]:
+            (a, x), (b, y) = self.parts[-2:]
+            self.parts[-2:] = [(_cut(a.unionByName(b)), x + y)]
+
+    def without(self, df: DataFrame) -> DataFrame:
+        for part, _ in self.parts:
+            df = df.join(part.select("node"), "node", "left_anti")
+        return df
+
+    def all(self) -> DataFrame:
+        out = self.parts[0][0]
+        for part, _ in self.parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+
+def search_tree(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst",
+                directed: bool = False, target: str | None = None) -> DataFrame:
+    """Breadth-first search from the ``seeds`` frame (column ``node``): (node, hops, parent), a seed's parent NULL.
+
+    Of the shortest paths to a node the smallest in array order is kept.  Rows
+    carry no paths for that: a level is range-sorted by (the parent's place,
+    node), and a node's place in its level, an increasing number from that sort,
+    is what the next level compares.  One frontier join and one sort per level;
+    an undirected search is held against the last two levels only, a directed
+    one against all nodes seen.  With ``target`` the search ends at the
+    level that reaches it.
     """
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
     e = _cut(_undirected(e, "src", "dst") if not directed else e.distinct())
     hit = F.count(F.when(F.col("node") == F.lit(target), 1)) if target is not None else F.lit(0)
-    frontier, m = _cut_observe(seeds.select(F.col("node"), F.lit(0).alias("hops"),
-                                            F.array(F.col("node")).alias("path")).distinct(),
-                               n=F.count(F.lit(1)), hit=hit)
-    levels = [frontier]
+    kind = e.schema["src"].dataType.simpleString()
+    first = seeds.select("node").distinct().orderBy("node").select("node", F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("parent"), F.monotonically_increasing_id().alias("place"))
+    level, m = _cut_observe(first, n=F.count(F.lit(1)), hit=hit)
+    visited, before = _Visited(), None
     while True:
-        if m["hit"]:
-            break
-        visited = levels[0].select("node")
-        for lv in levels[1:]:
-            visited = visited.unionByName(lv.select("node"))
-        nxt = (frontier.join(e, frontier["node"] == e["src"])
-                       .select(F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops"),
-                               F.concat(F.col("path"), F.array(F.col("dst"))).alias("path")))
-        nxt = nxt.join(visited, "node", "left_anti")
-        nxt, m = _cut_observe(nxt.groupBy("node").agg(F.min("hops").alias("hops"), F.min("path").alias("path")),
-                              n=F.count(F.lit(1)), hit=hit)
-        if m["n"] == 0:
-            break
-        levels.append(nxt)
-        frontier = nxt
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+        visited.add(level.select("node", "hops", "parent"), m["n"])
+        if m["hit"] or not m["n"]:
+            return visited.all()
+        reached = (level.join(e, level["node"] == e["src"]).groupBy(F.col("dst").alias("node"))
+                   .agg((F.min("hops") + 1).alias("hops"), F.min(F.struct("place", F.col("src").alias("parent"))).alias("_from")))
+        if directed:
+            reached = visited.without(reached)
+        else:  # neighbours of a level lie in it, the one before or the one after
+            for seen in (level, before):
+                reached = reached if seen is None else reached.join(seen.select("node"), "node", "left_anti")
+        ordered = reached.orderBy("_from.place", "node")
+        before = level
+        level, m = _cut_observe(ordered.select("node", "hops", F.col("_from.parent").alias("parent"), F.monotonically_increasing_id().alias("place")),
+                                n=F.count(F.lit(1)), hit=hit)
+
+
+def tree_paths(tree: DataFrame) -> DataFrame:
+    """(node, hops, path) from (node, hops, parent): paths double in length each round, by pointer jumping."""
+    paths, left = _cut_count(tree.select("node", "hops", F.array("node").alias("path"), F.col("parent").alias("_up")))
+    while left:
+        above = paths.select(F.col("node").alias("_above"), F.col("path").alias("_head"), F.col("_up").alias("_next"))
+        longer = paths.join(above, paths["_up"] == above["_above"], "left")
+        paths, left = _cut_count(longer.select("node", "hops", F.concat(F.coalesce("_head", F.array().cast(paths.schema["path"].dataType.simpleString())), F.col("path")).alias("path"),
+                                               F.col("_next").alias("_up")), F.col("_up").isNotNull())
+    return paths.select("node", "hops", "path")
+
+
+def shortest_paths(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst",
+                   directed: bool = False, target: str | None = None) -> DataFrame:
+    """(node, hops, path) for every node reachable from the ``seeds`` frame (column ``node``).
+
+    Among equally short paths the smallest in array order wins.  With ``target``
+    only that node's row is sure to be there, and the search ends with it.
+    """
+    return tree_paths(search_tree(edges, seeds, src, dst, directed, target))
 
 
 def join_path(edges: DataFrame, source: str, target: str, src: str = "source_table",

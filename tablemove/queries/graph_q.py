@@ -364,7 +364,14 @@ def connected_components(spark, sf):
     return G.connected_components(buy_edges(spark, sf))
 
 
-@query("graph_bfs")
+@query("graph_bfs", f"""
+WITH RECURSIVE e AS (SELECT src, dst FROM {BUY_EDGES_SQL} UNION SELECT dst, src FROM {BUY_EDGES_SQL}),
+found(node, hops, path) USING KEY (node) AS (
+  SELECT min(src), 0, [min(src)] FROM {BUY_EDGES_SQL}
+  UNION
+  SELECT e.dst, min(f.hops) + 1, min(list_append(f.path, e.dst)) FROM found f JOIN e ON e.src = f.node
+  WHERE e.dst NOT IN (SELECT node FROM recurring.found) GROUP BY e.dst)
+SELECT node, CAST(hops AS INTEGER) AS hops, path FROM found""")
 def graph_bfs(spark, sf):
     """Shortest paths from the smallest customer node over the customer-part graph."""
     e = buy_edges(spark, sf)
