@@ -167,21 +167,89 @@ def join_path(edges: DataFrame, source: str, target: str, src: str = "source_tab
     return paths.filter(F.col("node") == target).select("hops", "path")
 
 
+def _chain_roots(nodes: DataFrame, n: int) -> DataFrame:
+    """(node, root, done) from (node, up, done): pointers double until they end at a root (``done``); those that
+    never do after log2(n) rounds lie on a cycle of chain nodes or hang from one."""
+    p, rounds, left = nodes, 0, True
+    while left and rounds <= n.bit_length():
+        q = p.select(F.col("node").alias("_up"), F.col("up").alias("_next"), F.col("done").alias("_done"))
+        p, left = _cut_count(p.join(q, p["up"] == q["_up"]).select("node", F.col("_next").alias("up"), F.col("_done").alias("done")), ~F.col("done"))
+        rounds += 1
+    return p.withColumnRenamed("up", "root")
+
+
 def cycle_nodes(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Nodes left after repeatedly removing nodes without incoming edges
-    (Kahn).  Non-empty result <=> the directed graph has a cycle; the
-    remainder is every node on a cycle or downstream of one."""
-    e, n = _cut_count(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
-                           .filter(F.col("src").isNotNull() & F.col("dst").isNotNull()))
-    while True:
-        # Keep edges whose source still has an incoming edge.
-        has_in = e.select(F.col("dst").alias("src")).distinct()
-        e2, n2 = _cut_count(e.join(has_in, "src", "left_semi"))
-        e = e2
-        if n2 == n:
+    """Every node on a directed cycle or downstream of one; none if the graph has no cycle.
+
+    A node survives if one of its predecessors does, so a node with a single
+    one shares its fate: whole chains are contracted into their first node
+    by pointer jumping, in rounds that grow with the logarithm of their
+    length.  Nodes without predecessors then go, with all that was contracted
+    into them, and the rest is contracted again.  A self-loop marks a node that is
+    known to survive.  When every node left has a predecessor, all survive.
+    """
+    e, n_edges = _cut_count(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+                            .filter(F.col("src").isNotNull() & F.col("dst").isNotNull()))
+    member, n = _cut_count(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+                           .select("node", F.col("node").alias("rep")))
+    alive = member.select("node").limit(0)
+    while n_edges:
+        into = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("_in"), F.min("src").alias("_only"), F.max((F.col("src") == F.col("dst")).cast("int")).alias("_loop"))
+        here = member.select(F.col("rep").alias("node")).distinct().join(into, "node", "left").withColumn("_in", F.coalesce("_in", F.lit(0)))
+        chained = (F.col("_in") == 1) & (F.col("_loop") == 0)
+        here, m = _cut_observe(here.select("node", F.when(chained, F.col("_only")).otherwise(F.col("node")).alias("up"), (~chained).alias("done"), "_in"),
+                               dead=F.count(F.when(F.col("_in") == 0, 1)), n=F.count(F.lit(1)))
+        if not m["dead"]:
+            break
+        roots = _chain_roots(here.select("node", "up", "done"), m["n"])
+        dead = here.where("_in = 0").select(F.col("node").alias("root"), F.lit(True).alias("dead"))
+        fate = _cut(roots.join(dead, "root", "left").select("node", "root", "done", F.coalesce("dead", F.lit(False)).alias("dead")))
+        moved = member.join(fate.withColumnRenamed("node", "rep"), "rep").where(~F.col("dead"))
+        alive = _cut(alive.unionByName(moved.where(~F.col("done")).select("node")))
+        member = _cut(moved.where("done").select("node", F.col("root").alias("rep")))
+        into_roots = e.join(here.where((F.col("_in") > 0) & F.col("done")).select(F.col("node").alias("dst")), "dst", "left_semi")
+        kept = into_roots.join(fate.select(F.col("node").alias("src"), "root", "done", "dead"), "src").where(~F.col("dead"))
+        # A predecessor that hangs from a cycle is as good as a loop; a chain back to the node itself is one.
+        e, n_edges = _cut_count(kept.select(F.when(F.col("done"), F.col("root")).otherwise(F.col("dst")).alias("src"), "dst").distinct())
+    left = member.join(e.select(F.col("dst").alias("rep")).distinct(), "rep", "left_semi").select("node")
+    return alive.unionByName(left).distinct()
+
+
+def nodes_on_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """The nodes that lie on a directed cycle themselves.
+
+    Nodes that no cycle reaches or that reach none are trimmed first.  In what is
+    left every node takes the largest node that reaches it as its colour; the nodes of
+    a colour that reach back to that node, inside the colour, are its strongly connected
+    part.  Parts found leave the graph, the rest is coloured again.
+    """
+    e = _cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct().filter(F.col("src").isNotNull() & F.col("dst").isNotNull()))
+    found = _cut(e.where("src = dst").select(F.col("src").alias("node")))
+    e, n_edges = _cut_count(e.where("src <> dst"))
+    while n_edges:
+        for a, b in (("src", "dst"), ("dst", "src")):
+            keep = cycle_nodes(e, a, b)
+            e, n_edges = _cut_count(e.join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+        if not n_edges:
             break
-        n = n2
-    return e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+        colour = _cut(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        changed = 1
+        while changed:
+            sent = e.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("_new"))
+            colour, changed = _cut_count(colour.join(sent, "node", "left").select("node", F.greatest("colour", "_new").alias("colour"), (F.col("_new") > F.col("colour")).alias("_up")), F.col("_up"))
+            colour = colour.drop("_up")
+        of = lambda c: colour.select(F.col("node").alias(c), F.col("colour").alias(f"_{c}"))
+        inside = _cut(e.join(of("src"), "src").join(of("dst"), "dst").where("_src = _dst").select("src", "dst"))
+        back, n = _cut_count(colour.where("node = colour").select("node"))
+        part = back
+        while n:  # against the edges, from the colour's own node
+            before = inside.join(back.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node")).distinct()
+            back, n = _cut_count(before.join(part, "node", "left_anti"))
+            part = _cut(part.unionByName(back)) if n else part
+        many = inside.join(part.withColumnRenamed("node", "src"), "src", "left_semi").join(part.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        found = _cut(found.unionByName(many.select(F.explode(F.array("src", "dst")).alias("node"))).distinct())
+        e, n_edges = _cut_count(e.join(part.withColumnRenamed("node", "src"), "src", "left_anti").join(part.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    return found.distinct()
 
 
 def has_cycle(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

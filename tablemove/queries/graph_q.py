@@ -413,6 +413,29 @@ def has_cycle_q(spark, sf):
     return G.cycle_nodes(trade_edges(spark, sf))
 
 
+# A customer leads to its nation, a nation to its suppliers, a supplier to the nations and parts it sells.
+FLOW_EDGES_SQL = """(SELECT DISTINCT 'c' || CAST(c_custkey AS VARCHAR) AS src, 'n' || CAST(c_nationkey AS VARCHAR) AS dst FROM customer
+  UNION SELECT DISTINCT 'n' || CAST(s_nationkey AS VARCHAR), 's' || CAST(s_suppkey AS VARCHAR) FROM supplier
+  UNION SELECT DISTINCT 's' || CAST(l.l_suppkey AS VARCHAR), 'n' || CAST(c.c_nationkey AS VARCHAR)
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey WHERE l.l_linenumber = 1
+  UNION SELECT DISTINCT 's' || CAST(l_suppkey AS VARCHAR), 'p' || CAST(l_partkey AS VARCHAR) FROM lineitem)"""
+
+
+@query("nodes_on_cycles", f"""
+WITH RECURSIVE e AS {FLOW_EDGES_SQL},
+core AS (SELECT * FROM e WHERE src[1] <> 'c' AND dst[1] <> 'p'),
+reach(s, d) AS (SELECT src, dst FROM core UNION SELECT reach.s, core.dst FROM reach JOIN core ON reach.d = core.src)
+SELECT s AS node FROM reach WHERE s = d""")
+def nodes_on_cycles(spark, sf):
+    """Nations and suppliers that trade in a circle; customers lead into circles, parts hang from them."""
+    c, s, o, li = (tbl(spark, sf, t) for t in ("customer", "supplier", "orders", "lineitem"))
+    name = lambda letter, col: F.concat(F.lit(letter), F.col(col).cast("string"))
+    sold = li.where("l_linenumber = 1").join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"])
+    edges = [c.select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst")), s.select(name("n", "s_nationkey"), name("s", "s_suppkey")),
+             sold.select(name("s", "l_suppkey"), name("n", "c_nationkey")), li.select(name("s", "l_suppkey"), name("p", "l_partkey"))]
+    return G.nodes_on_cycles(edges[0].union(edges[1]).union(edges[2]).union(edges[3]))
+
+
 @query("inferred_edges")
 def inferred_edges(spark, sf):
     """Name-similarity edges over all given tables, upgraded by the value

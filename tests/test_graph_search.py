@@ -52,3 +52,63 @@ def test_target_ends_the_search(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e")], "source_table string, target_table string")
     assert [(r.hops, list(r.path)) for r in G.join_path(e, "a", "d").collect()] == [(2, ["a", "c", "d"])]
     assert G.join_path(e, "a", "nowhere").count() == 0
+
+
+def _kahn(edges):
+    edges = set(edges)
+    while True:
+        heads = {b for _, b in edges}
+        left = {(a, b) for a, b in edges if a in heads}
+        if left == edges:
+            return {x for e in edges for x in e}
+        edges = left
+
+
+def _on_cycles(edges):
+    adj = defaultdict(set)
+    for a, b in edges:
+        adj[a].add(b)
+    out = set()
+    for start in list(adj):
+        seen, todo = set(), list(adj[start])
+        while todo:
+            u = todo.pop()
+            if u not in seen:
+                seen.add(u)
+                todo += adj[u]
+        if start in seen:
+            out.add(start)
+    return out
+
+
+def _nodes(df):
+    rows = [r.node for r in df.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_cycles_of_random_graphs(spark):
+    rng = random.Random(3)
+    edges = []
+    for g in range(60):  # one frame of many small graphs: chains, trees, rings, loops, two rings joined by a path
+        n = rng.randrange(2, 9)
+        edges += [(100 * g + rng.randrange(n), 100 * g + rng.randrange(n)) for _ in range(rng.randrange(1, 12))]
+    edges += [(9000, 9001), (9001, 9002), (9002, 9000), (9002, 9003), (9003, 9004), (9004, 9005), (9005, 9004), (9005, 9006), (None, 1), (2, None)]
+    e = spark.createDataFrame(edges, "src int, dst int")
+    known = [x for x in edges if None not in x]
+    assert _nodes(G.cycle_nodes(e)) == _kahn(known)
+    assert _nodes(G.nodes_on_cycles(e)) == _on_cycles(known)
+
+
+def test_cycle_test_of_a_long_chain(spark, monkeypatch):
+    """Ten thousand edges in a row: as many rounds as the length has binary digits, not as many as edges."""
+    cuts = []
+    cut = G._cut
+    monkeypatch.setattr(G, "_cut", lambda df: cuts.append(1) or cut(df))
+    chain = [(i, i + 1) for i in range(10_000)]
+    e = spark.createDataFrame(chain, "src int, dst int")
+    assert G.has_cycle(e).first()["has_cycle"] is False
+    assert len(cuts) < 40
+    ring = spark.createDataFrame([*chain, (10_000, 5_000)], "src int, dst int")
+    assert _nodes(G.cycle_nodes(ring)) == set(range(5_000, 10_001))
+    assert len(cuts) < 90
