@@ -8,11 +8,19 @@
 3. Each unit builds a graph by robust pruning: a row keeps its nearest others
    that no kept one already covers (within ``alpha``).
 4. The adjacency lists of all units are united per row.
-5. In each unit a greedy beam search from the unit's medoid runs for every
-   row and then expands through everything in range; pairs in range are verified
-   in double precision.  A pair is counted in the first cluster that holds both
-   rows.  Units return counts and a spanning forest of their links, never pairs.
-6. Recall is audited against brute force for a few rows; below ``recall`` the
+5. In each unit a greedy beam search from the unit's medoid and the row itself
+   runs for every row over its united list and then expands through everything
+   in range; pairs in range are verified in double precision.
+6. The links of all units are united.  Units return a spanning forest of their
+   links and, per row and set of clusters shared with the linked rows, a count
+   and a digest.  Where all those clusters report the same digest the count
+   holds; only for rows on which clusters disagree are links listed, made
+   distinct and counted again, so no link that any unit verified is lost.
+7. Recall is audited against brute force for ``AUDIT_ROWS`` rows and for
+   ``PROBES`` planted ones: copies of sampled rows turned to a cosine between the
+   threshold and 1, which take part like rows but count for nothing.  So the audit
+   rests on at least ``PROBES`` linked rows however sparse the links are.  Recall is
+   the mean over linked rows of the share of links found; below ``recall`` the
    overlap and the beam double and the search runs again.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components
@@ -30,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, prepare
+from .common import drop_scratch, materialize, mix, prepare
 from .components import connected_components
 from .vectors import matrix, packed
 
 CLUSTER_ROWS, UNIT_ROWS = 512, 768
 MAX_CENTROIDS, SAMPLE, LLOYD = 4096, 16_384, 5  # centroids are fitted on at most SAMPLE rows
 OVERLAP, DEGREE, ALPHA, BEAM, SLACK = 2, 16, 1.2, 24, 0.02
-AUDIT_ROWS, RECALL = 64, 0.9
+AUDIT_ROWS, PROBES, RECALL = 64, 192, 0.97
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -76,15 +84,16 @@ def robust_prune(x: np.ndarray, degree: int, alpha: float) -> np.ndarray:
 
 
 def range_search(x: np.ndarray, neighbours: np.ndarray, threshold: float, beam: int) -> np.ndarray:
-    """Boolean n x n: pairs with cosine >= threshold that a search for each row from the medoid found."""
+    """Boolean n x n: pairs with cosine >= threshold that a search for each row, from the medoid and the row itself, found."""
     n = len(x)
     rows = np.arange(n)
     medoid = int(np.argmax(x @ x.mean(axis=0)))
     seen, in_range, expanded = (np.zeros((n, n), dtype=bool) for _ in range(3))
-    seen[:, medoid] = True
-    ids = np.full((n, 1), medoid)
-    sims = x @ x[medoid][:, None]
-    done = np.zeros((n, 1), dtype=bool)
+    seen[:, medoid] = seen[rows, rows] = True
+    ids = np.column_stack([np.full(n, medoid), rows])
+    sims = np.column_stack([x @ x[medoid], np.ones(n)])
+    done = np.zeros((n, 2), dtype=bool)
+    done[medoid, 0] = True  # the medoid is its own row
     degree = neighbours.shape[1]
     while True:  # greedy: expand each row's best unexpanded candidate of its beam
         pick = np.argmax(np.where(done, -np.inf, sims), axis=1)
@@ -150,42 +159,76 @@ def _build(degree: int, alpha: float) -> Callable:
     return run
 
 
+def _unit_links(table: pa.Table, threshold: float, beam: int) -> tuple[pa.Table, np.ndarray]:
+    """(the unit's rows by id, boolean matrix of its links); alike whatever order the rows come in."""
+    table = table.sort_by("id")
+    ids, x = table.column("id").to_numpy(), units(matrix(table.column("vec")))
+    local = []
+    for own in table.column("near").to_pylist():
+        own = np.asarray(own, dtype=np.int64)
+        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        local.append(at[ids[at] == own])
+    near = np.full((len(ids), max(1, max(map(len, local)))), -1, dtype=np.int64)
+    for i, own in enumerate(local):
+        near[i, :len(own)] = own
+    links = range_search(x, near, threshold, beam)
+    part, i, j = (table.column(c).to_numpy() for c in ("part", "i", "j"))
+    if i[0] != j[0]:  # pairs inside one part belong to that part's own unit
+        links &= part[:, None] != part[None, :]
+    return table, links
+
+
+def shared_clusters(shards: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per pair (a, b) of rows: bit p says that b lies in a's p-th cluster."""
+    out = np.zeros(len(a), dtype=np.int64)
+    for at in range(0, len(a), 65_536):
+        mine, other = shards[a[at:at + 65_536]], shards[b[at:at + 65_536]]
+        for p in range(shards.shape[1]):
+            out[at:at + 65_536] |= (mine[:, p, None] == other).any(axis=1).astype(np.int64) << p
+    return out
+
+
 def _search(threshold: float, beam: int) -> Callable:
-    schema = pa.schema([("id", pa.int64()), ("to", pa.int64()), ("n", pa.int64())])
+    """Per unit: digests (id, shared, shard, n, digest) of each row's links and forest edges (id, to)."""
+    schema = pa.schema([("id", pa.int64()), ("to", pa.int64()), ("shared", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), ("digest", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        ids, times = table.column("id").to_numpy(), table.column("times").to_numpy()
-        x = units(matrix(table.column("vec")))
-        order = np.argsort(ids)
-        lists = [np.asarray(v, dtype=np.int64) for v in table.column("near").to_pylist()]
-        local = []
-        for own in lists:
-            at = np.minimum(np.searchsorted(ids[order], own), len(ids) - 1)
-            local.append(order[at[ids[order[at]] == own]])
-        near = np.full((len(ids), max(1, max(map(len, local)))), -1, dtype=np.int64)
-        for i, own in enumerate(local):
-            near[i, :len(own)] = own
-        links = range_search(x, near, threshold, beam)
-        # A pair counts in the first cluster that holds both rows, and there in the unit of its two parts.
-        shard, part, i, j = (table.column(c).to_numpy() for c in ("shard", "part", "i", "j"))
-        if i[0] != j[0]:
-            links &= part[:, None] != part[None, :]
-        shards = np.array(table.column("shards").to_pylist(), dtype=np.int64)
-        earlier = [np.where(s < shard[0], s, -1 - np.arange(len(ids))) for s in shards.T]  # clusters before this one
-        for a in earlier:
-            for b in earlier:
-                links &= a[:, None] != b[None, :]
-        n = links @ times
-        edges, group = [], np.arange(len(ids))
-        for a in range(len(ids)):  # spanning forest of the unit's links
-            others = np.flatnonzero(links[a, a + 1:]) + a + 1
+        table, links = _unit_links(table, threshold, beam)
+        ids, times, shard = (table.column(c).to_numpy() for c in ("id", "times", "shard"))
+        a, b = np.nonzero(links)
+        shared = shared_clusters(np.array(table.column("shards").to_pylist(), dtype=np.int64), a, b)
+        order = np.lexsort((shared, a))
+        a, b, shared = a[order], b[order], shared[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (shared[1:] != shared[:-1]))) if len(a) else np.zeros(0, dtype=np.int64)
+        n = np.add.reduceat(times[b], first) if len(a) else first
+        digest = np.bitwise_xor.reduceat(mix(ids[b].astype(np.uint64)), first) if len(a) else first
+        edges, group, real = [], np.arange(len(ids)), times > 0
+        for r in np.flatnonzero(real):  # spanning forest of the unit's links
+            others = np.flatnonzero(links[r, r + 1:] & real[r + 1:]) + r + 1
             for g in np.unique(group[others]).tolist() if len(others) else ():
-                if g != group[a]:
-                    edges.append((ids[a], ids[others[group[others] == g][0]]))
-                    group[group == g] = group[a]
-        return pa.Table.from_arrays([pa.array(np.append(ids, [e[0] for e in edges]).astype(np.int64)),
-                                     pa.array([None] * len(ids) + [int(e[1]) for e in edges], pa.int64()),
-                                     pa.array(n.tolist() + [None] * len(edges), pa.int64())], schema=schema)
+                if g != group[r]:
+                    edges.append((ids[r], ids[others[group[others] == g][0]]))
+                    group[group == g] = group[r]
+        none = [None] * len(edges)
+        return pa.Table.from_arrays([pa.array(ids[a[first]].tolist() + [int(e[0]) for e in edges], pa.int64()),
+                                     pa.array([None] * len(first) + [int(e[1]) for e in edges], pa.int64()),
+                                     *(pa.array(v.tolist() + none, pa.int64()) for v in (shared[first], shard[a[first]], n, digest.view(np.int64)))], schema=schema)
+
+    return run
+
+
+def _list(threshold: float, beam: int) -> Callable:
+    """Per unit: the links (id, to, n) of the rows in doubt, over the sets of clusters in doubt alone."""
+    def run(table: pa.Table) -> pa.Table:
+        table, links = _unit_links(table, threshold, beam)
+        ids, times = table.column("id").to_numpy(), table.column("times").to_numpy()
+        doubt = table.column("doubt").to_pylist()
+        links[[d is None for d in doubt]] = False
+        a, b = np.nonzero(links)
+        shared = shared_clusters(np.array(table.column("shards").to_pylist(), dtype=np.int64), a, b)
+        keep = np.array([s in doubt[r] for r, s in zip(a.tolist(), shared.tolist())], dtype=bool)
+        a, b = a[keep], b[keep]
+        return pa.Table.from_arrays([pa.array(v, pa.int64()) for v in (ids[a], ids[b], times[b])], names=["id", "to", "n"])
 
     return run
 
@@ -203,9 +246,29 @@ def _true_counts(sample_ids: np.ndarray, sample: np.ndarray, threshold: float) -
     return run
 
 
+def _probes(reps: DataFrame, ids: np.ndarray, x: np.ndarray, threshold: float) -> pa.Table:
+    """PROBES rows (id, vec, times = 0), each a sampled unit vector turned at random to a cosine in [threshold, 1)."""
+    rng = np.random.default_rng(len(ids))
+    taken = rng.integers(-2**63, 2**63, size=4 * PROBES, dtype=np.int64)
+    used = {r[0] for r in reps.where(F.col("id").isin(taken.tolist())).select("id").collect()}
+    free = [i for i in dict.fromkeys(taken.tolist()) if i not in used][:PROBES]
+    at = x[rng.integers(len(x), size=len(free))]
+    side = rng.normal(size=at.shape)
+    side -= np.einsum("nd,nd->n", side, at)[:, None] * at
+    norm = np.linalg.norm(side, axis=1, keepdims=True)
+    side = np.where(norm > 1e-9, side / np.maximum(norm, 1e-9), 0)  # one dimension: an equal vector
+    cos = rng.uniform(threshold, 1, size=(len(free), 1))
+    vec = cos * at + np.sqrt(1 - cos * cos) * side
+    return pa.table({"vec": pa.array([v.tobytes() for v in vec.astype("<f8")], pa.binary()), "id": pa.array(free, pa.int64()), "times": pa.array([0] * len(free), pa.int64())})
+
+
 def near_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding",
-               overlap: int = OVERLAP, beam: int = BEAM, recall: float = RECALL) -> DataFrame:
-    """(id, n_links, component_id, kept) per row of ``vectors``."""
+               overlap: int = OVERLAP, beam: int = BEAM, recall: float = RECALL, on_audit: Callable[[dict], None] | None = None) -> DataFrame:
+    """(id, n_links, component_id, kept) per row of ``vectors``.
+
+    ``on_audit`` is called after each search with its measured ``recall``, the
+    ``linked`` rows it rests on, ``overlap``, ``beam`` and the rows in ``doubt``.
+    """
     spark = prepare(vectors.sparkSession, 2048)
     rows, _ = materialize(packed(vectors, id_col, vec_col), "graph-rows")
     valid = rows.where("id IS NOT NULL AND vec IS NOT NULL AND NOT zero")
@@ -218,13 +281,19 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     width = max(len(v) for v in sample.column("vec").to_pylist()) // 8
     x = units(matrix(sample.column("vec")))
     centroids = fit_centroids(x, k)
-    audit_ids, audit_x = sample.column("id").to_numpy()[:AUDIT_ROWS], x[:AUDIT_ROWS]
+    planted = _probes(reps, sample.column("id").to_numpy(), x, threshold)
+    audit_ids = np.append(sample.column("id").to_numpy()[:AUDIT_ROWS], planted.column("id").to_numpy())
+    audit_x = np.concatenate([x[:AUDIT_ROWS], units(matrix(planted.column("vec")))])
     true = {r[0]: r[1] for r in reps.mapInArrow(_true_counts(audit_ids, audit_x, threshold), "id long, n long").groupBy("id").agg(F.sum("n")).collect()}
+    searched = reps.select("vec", "id", "times").union(spark.createDataFrame(planted))
     while True:
-        found, edges, paths = _links(reps, centroids, width, min(overlap, k), beam, threshold)
+        found, edges, doubt, paths = _links(searched, centroids, width, min(overlap, k), beam, threshold)
         got = {r[0]: r[1] for r in found.where(F.col("id").isin(audit_ids.tolist())).collect()}
-        want = sum(true.values())
-        if want == 0 or sum(got.get(i, 0) for i in true) >= recall * want or (overlap >= k and beam >= n):
+        shares = [min(1.0, got.get(i, 0) / want) for i, want in true.items() if want]
+        measured = sum(shares) / len(shares) if shares else 1.0
+        if on_audit:
+            on_audit({"recall": measured, "linked": len(shares), "overlap": min(overlap, k), "beam": beam, "doubt": doubt})
+        if measured >= recall or (overlap >= k and beam >= n):
             break
         drop_scratch(spark, *paths)
         overlap, beam = 2 * overlap, 2 * beam
@@ -238,8 +307,8 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
                       component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
-def _links(reps: DataFrame, centroids: np.ndarray, width: int, overlap: int, beam: int, threshold: float) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(counts (id, n), forest edges (id, to), scratch paths) of one build and search."""
+def _links(reps: DataFrame, centroids: np.ndarray, width: int, overlap: int, beam: int, threshold: float) -> tuple[DataFrame, DataFrame, int, list[str]]:
+    """(counts (id, n), forest edges (id, to), rows in doubt, scratch paths) of one build and search."""
     def assign(batches):
         for b in batches:
             x = matrix(b.column("vec"))
@@ -258,7 +327,18 @@ def _links(reps: DataFrame, centroids: np.ndarray, width: int, overlap: int, bea
     near = (member.select(*unit, "id", "vec").groupBy(*unit).applyInArrow(_build(DEGREE, ALPHA), "id long, near array<long>")
             .groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
     graph, graph_path = materialize(near, "graph")
-    found, found_path = materialize(member.join(graph, "id").select(*unit, "id", "vec", "times", "shards", "part", "near")
-                                    .groupBy(*unit).applyInArrow(_search(threshold, beam), "id long, to long, n long"), "graph-found")
+    walk = member.join(graph, "id").select(*unit, "id", "vec", "times", "shards", "part", "near")
+    found, found_path = materialize(walk.groupBy(*unit).applyInArrow(_search(threshold, beam), "id long, to long, shared long, shard long, n long, digest long"), "graph-found")
+    # The clusters of a shared set agree, or their links are listed and united.
+    per_set, per_set_path = materialize(
+        found.where("to IS NULL").groupBy("id", "shared", "shard").agg(F.sum("n").alias("n"), F.bit_xor("digest").alias("digest"))
+        .groupBy("id", "shared").agg(F.max("n").alias("n"), ((F.count("*") == F.bit_count("shared")) & (F.min("n") == F.max("n")) & (F.min("digest") == F.max("digest"))).alias("agreed")), "graph-sets")
+    open_sets = per_set.where("NOT agreed").groupBy("id").agg(F.collect_list("shared").alias("doubt"))
+    doubt, paths, counts = open_sets.count(), [found_path, per_set_path], per_set.where("agreed").select("id", "n")
+    if doubt:
+        marked = walk.join(open_sets, "id", "left")
+        here = marked.where("doubt IS NOT NULL").select(*unit).distinct()
+        listed, listed_path = materialize(marked.join(here, unit, "left_semi").groupBy(*unit).applyInArrow(_list(threshold, beam), "id long, to long, n long").distinct(), "graph-listed")
+        counts, paths = counts.union(listed.groupBy("id").agg(F.sum("n").alias("n"))), [*paths, listed_path]
     drop_scratch(reps.sparkSession, graph_path, placed_path)
-    return (found.where("to IS NULL").groupBy("id").agg(F.sum("n").alias("n")), found.where("to IS NOT NULL").select("id", "to"), [found_path])
+    return counts.groupBy("id").agg(F.sum("n").alias("n")), found.where("to IS NOT NULL").select("id", "to"), doubt, paths
