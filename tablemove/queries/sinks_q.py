@@ -143,6 +143,64 @@ def migration_auto_join(spark, sf):
     return M.run_migration(spark, spec, tables, scratch_path(spark, "migrations"), edges=edges)["frame"]
 
 
+@query("migration_csv_source", "SELECT * FROM customer WHERE c_acctbal > 0")
+def migration_csv_source(spark, sf):
+    """The whole customer table as pipe-separated text, read by a spec that names format, options and schema."""
+    src, path = tbl(spark, sf, "customer"), scratch_path(spark, "migrations", "csv")
+    write_files(src, path, "csv", "error", options={"header": "true", "sep": "|"})
+    spec = {"operation": "copy", "source_tables": ["customer"], "target_table": "customer_copy",
+            "sources": {"customer": {"format": "csv", "path": path, "schema": src.schema, "options": {"sep": "|"}}},
+            "filters": [{"column": "c_acctbal", "op": "gt", "value": 0}]}
+    return M.run_migration(spark, spec, {}, scratch_path(spark, "migrations"))["frame"]
+
+
+@query("migration_to_table", "SELECT * FROM orders WHERE o_orderstatus <> 'P'")
+def migration_to_table(spark, sf):
+    """A catalog table as the destination, with its files below the shared root."""
+    root = scratch_path(spark, "migrations")
+    name = "tm_orders_" + root.rsplit("/", 1)[-1]
+    spec = {"operation": "copy", "source_tables": ["orders"], "target_table": "orders",
+            "filters": [{"column": "o_orderstatus", "op": "neq", "value": "P"}],
+            "destination": {"type": "table", "name": name, "path": f"{root}/{name}"}}
+    return M.run_migration(spark, spec, _paths(sf, "orders"), root)["frame"]
+
+
+@query("migration_partitioned", "SELECT * FROM lineitem")
+def migration_partitioned(spark, sf):
+    """Files laid out by return flag as the destination."""
+    root = scratch_path(spark, "migrations")
+    spec = {"operation": "copy", "source_tables": ["lineitem"], "target_table": "lines",
+            "destination": {"type": "files", "format": "orc", "path": f"{root}/lines", "partition_by": ["l_returnflag"]}}
+    return M.run_migration(spark, spec, _paths(sf, "lineitem"), root)["frame"]
+
+
+@query("migration_aggregate", """
+SELECT c.c_mktsegment, o.o_orderpriority, count(*) AS n_orders, max(o.o_orderdate) AS last_order
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus <> 'P'
+GROUP BY c.c_mktsegment, o.o_orderpriority HAVING count(*) > 1""")
+def migration_aggregate(spark, sf):
+    """An aggregate step; the published table is laid out by market segment."""
+    spec = {"operation": "transform", "source_tables": ["orders", "customer"], "target_table": "orders_by_segment",
+            "joins": FLAGSHIP_SPEC["joins"], "filters": FLAGSHIP_SPEC["filters"], "partition_by": ["c_mktsegment"],
+            "aggregate": {"group_by": ["c_mktsegment", "o_orderpriority"], "having": "n_orders > 1",
+                          "aggs": [{"col": "*", "func": "count", "alias": "n_orders"},
+                                   {"col": "o_orderdate", "func": "max", "alias": "last_order"}]},
+            "output_columns": ["c_mktsegment", "o_orderpriority", "n_orders", "last_order"]}
+    return M.run_migration(spark, spec, _paths(sf, "orders", "customer"), scratch_path(spark, "migrations"))["frame"]
+
+
+@query("migration_union", """
+SELECT DISTINCT id, nation FROM (SELECT c_custkey AS id, c_nationkey AS nation FROM customer
+UNION ALL SELECT s_suppkey, s_nationkey FROM supplier)""")
+def migration_union(spark, sf):
+    """Two sources added up by column name, repeated rows once."""
+    parties = {"customer": tbl(spark, sf, "customer").selectExpr("c_custkey AS id", "c_nationkey AS nation"),
+               "supplier": tbl(spark, sf, "supplier").selectExpr("s_nationkey AS nation", "s_suppkey AS id")}
+    spec = {"operation": "copy", "source_tables": ["customer", "supplier"], "target_table": "parties",
+            "union": {"tables": ["supplier"], "distinct": True}}
+    return M.run_migration(spark, spec, parties, scratch_path(spark, "migrations"))["frame"]
+
+
 @query("estimate_cost", """
 SELECT 'orders' AS source, count(*) AS rows FROM orders WHERE o_orderdate > TIMESTAMP '1998-01-01 00:00:00'
 UNION ALL SELECT 'customer', count(*) FROM customer""")
