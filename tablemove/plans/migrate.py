@@ -222,10 +222,10 @@ def run_migration(spark: SparkSession, spec: dict, tables: dict, root: str,
     # runs once; the checks read Parquet (row counts come from footers).
     staged = snapshots.stage(df, f"{root.rstrip('/')}/_staging", run_id, None if dest else spec.get("partition_by"))
     checks = spec.get("checks") or DEFAULT_CHECKS
-    results = gate(snapshots.read_staged(spark, staged["staging_path"]), checks, fail=fail_on_error)
+    results = gate(snapshots.read_staged(spark, staged["staging_path"], schema=staged["schema"]), checks, fail=fail_on_error)
     out = {"staged": staged, "checks": results, "table": table, "next_watermarks": watermarks}
     if publish and dest:
-        out["commit"], out["frame"] = deliver(spark, snapshots.read_staged(spark, staged["staging_path"]), dest, spec)
+        out["commit"], out["frame"] = deliver(spark, snapshots.read_staged(spark, staged["staging_path"], schema=staged["schema"]), dest, spec)
         out["table"] = out["commit"]["destination"]
     elif publish:
         mode = write_mode(spec.get("operation", "copy"))
@@ -234,5 +234,5 @@ def run_migration(spark: SparkSession, spec: dict, tables: dict, root: str,
             overwrite_schema=bool(spec.get("overwrite_schema")), spec=spec)
         out["frame"] = snapshots.read_table(spark, out["table"])
     else:
-        out["frame"] = snapshots.read_staged(spark, staged["staging_path"])
+        out["frame"] = snapshots.read_staged(spark, staged["staging_path"], schema=staged["schema"])
     return out

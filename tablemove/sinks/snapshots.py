@@ -64,11 +64,13 @@ def stage(df: DataFrame, base: str, run_id: str, partition_by: Sequence[str] | N
         w = w.partitionBy(*partition_by)
     w.save(path)
     return {"run_id": run_id, "staging_path": path, "rows": int(obs.get["rows"]),
-            "partition_by": list(partition_by or [])}
+            "partition_by": list(partition_by or []), "schema": df.schema}
 
 
-def read_staged(spark: SparkSession, staging_path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(staging_path)
+def read_staged(spark: SparkSession, staging_path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+    """The staged rows; ``schema`` (``stage`` returns it) keeps the types of partition columns, which Spark would guess from paths."""
+    r = spark.read.format(fmt)
+    return (r.schema(schema) if schema is not None else r).load(staging_path)
 
 
 def read_preview(spark: SparkSession, staging_path: str, n: int = 100, order_by=None) -> DataFrame:
@@ -296,13 +298,13 @@ def publish_run(spark: SparkSession, staged: dict, table: str, mode: str = "over
     with the current version and writes a new part.
     """
     if mode == "merge":
-        return publish(spark, read_staged(spark, staged["staging_path"]), table, mode=mode,
+        return publish(spark, read_staged(spark, staged["staging_path"], schema=staged.get("schema")), table, mode=mode,
                        merge_keys=merge_keys, overwrite_schema=overwrite_schema,
                        run_id=staged["run_id"], spec=spec)
     if mode not in PUBLISH_MODES:
         raise ValueError(f"unknown publish mode {mode!r}; expected one of {PUBLISH_MODES}")
     table = table.rstrip("/")
-    staged_df = read_staged(spark, staged["staging_path"])
+    staged_df = read_staged(spark, staged["staging_path"], schema=staged.get("schema"))
     prev = _latest(spark, table)
     if prev is not None:
         old = [(f.name, f.dataType.simpleString())

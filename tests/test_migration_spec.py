@@ -83,3 +83,13 @@ def test_global_aggregate_of_no_rows(spark, tmp_table):
     spec = {"operation": "copy", "source_tables": ["t"], "target_table": "n", "filters": ["id < 0"],
             "aggregate": {"aggs": [{"col": "*", "func": "count", "alias": "n"}, {"col": "id", "func": "max", "alias": "top"}]}}
     assert rows(run_migration(spark, spec, {"t": spark.range(4)}, tmp_table)["frame"]) == [(0, None)]
+
+
+@pytest.mark.parametrize("extra", [{"partition_by": ["k"]}, {"destination": {"type": "files", "path": "{out}", "partition_by": ["k"]}}])
+def test_layout_keeps_the_types_of_its_columns(spark, tmp_table, extra):
+    from tablemove.plans.migrate import run_migration
+    src = spark.createDataFrame([("007", 1), ("1e3", 2), (None, 3)], "k string, v int")
+    if "destination" in extra:
+        extra = {"destination": {**extra["destination"], "path": tmp_table + "/out"}}
+    got = run_migration(spark, {"operation": "copy", "source_tables": ["t"], "target_table": "t", **extra}, {"t": src}, tmp_table)["frame"]
+    assert rows(got.select("k", "v")) == rows(src)
