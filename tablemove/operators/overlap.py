@@ -1,10 +1,10 @@
 """Value overlap of columns (H7): every pair of columns at once, without copying values per pair.
 
-A value of any column becomes a digest of its comparable form, so that equal
-numbers meet whatever their type.  The distinct (column, value) rows are grouped
-by value into the set of columns that hold it; sets that occur are counted, and
-only these counts, not the values, are expanded to pairs.  Each value is shuffled
-twice however many pairs there are.
+A value of any column becomes its comparable form (a digest of it if long), so
+that equal numbers meet whatever their type.  One hash aggregate by value, combined
+map-side, finds the set of columns that hold it as a bit mask; sets that occur are
+counted, and only these counts, not the values, are expanded to pairs.  Each value
+is shuffled once however many pairs there are (twice, in a catalogue too wide for masks).
 
 For wide catalogues mergeable theta sketches, one per column from the same pass, rule
 out pairs whose Jaccard index cannot reach a bound; exact counts then run over
@@ -21,6 +21,10 @@ from pyspark.sql import types as T
 
 #: Theta sketches of 2**12 entries: a standard error of 1/64 of the union, and as many of them as slack.
 SKETCH_LOG_SIZE, SLACK = 12, 5 / 64
+#: Up to this many columns, the columns that hold a value are bits of 64-bit words.
+MASKED_COLUMNS = 256
+#: Forms from this length on become digests of this length.
+DIGEST_BYTES = 32
 
 
 def value_family(dtype: T.DataType) -> str:
@@ -35,7 +39,7 @@ def value_family(dtype: T.DataType) -> str:
 
 
 def comparable(value: Column, dtype: T.DataType) -> Column:
-    """The SHA-256 digest of a value's family and common form; NULL for NULL.
+    """A value's family and common form in bytes, as they are while shorter than a digest, else their SHA-256; NULL for NULL.
 
     Whole numbers compare by their digits, other numbers as doubles; dates as
     the timestamp of their midnight.
@@ -49,11 +53,12 @@ def comparable(value: Column, dtype: T.DataType) -> Column:
         text = F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(value.cast("double").cast("string"))
     elif family == "time":
         text = value.cast("timestamp_ntz").cast("string")
-    return F.unhex(F.sha2(F.concat(F.lit(family + ":"), text), 256))
+    form = F.concat(F.lit(family + ":"), text).cast("binary")
+    return F.when(F.octet_length(form) < DIGEST_BYTES, form).otherwise(F.unhex(F.sha2(form, 256)))
 
 
 def column_values(tables: dict[str, DataFrame], columns: Sequence[tuple[str, str]]) -> DataFrame:
-    """Non-NULL rows (c, v): the number of a column in ``columns`` (table, column), and a value's digest; one scan per table."""
+    """Non-NULL rows (c, v): the number of a column in ``columns`` (table, column), and a value's comparable form; one scan per table."""
     number = {key: i for i, key in enumerate(columns)}
     out = None
     for t in dict.fromkeys(t for t, _ in columns):
@@ -64,10 +69,17 @@ def column_values(tables: dict[str, DataFrame], columns: Sequence[tuple[str, str
     return out
 
 
-def pair_counts(values: DataFrame) -> DataFrame:
-    """(a, b, n): how many distinct values columns a <= b share; with a = b a column's own."""
-    held = values.distinct().groupBy("v").agg(F.sort_array(F.collect_set("c")).alias("columns"))
-    sets = held.groupBy("columns").agg(F.count("*").alias("n"))
+def pair_counts(values: DataFrame, n_columns: int) -> DataFrame:
+    """(a, b, n): how many distinct values columns a <= b < ``n_columns`` share; with a = b a column's own."""
+    if n_columns <= MASKED_COLUMNS:
+        words = [f"w{k}" for k in range(-(-n_columns // 64))]
+        bit = F.expr("shiftleft(1L, c % 64)")
+        held = values.groupBy("v").agg(*[F.bit_or(F.when(F.floor(F.col("c") / 64) == k, bit).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(words)])
+        bits = [F.when(F.col(words[c // 64]).bitwiseAND(F.expr(f"shiftleft(1L, {c % 64})")) != 0, F.lit(c)) for c in range(n_columns)]
+        sets = held.groupBy(*words).agg(F.count("*").alias("n")).select(F.array_compact(F.array(*bits)).alias("columns"), "n")
+    else:
+        held = values.distinct().groupBy("v").agg(F.sort_array(F.collect_set("c")).alias("columns"))
+        sets = held.groupBy("columns").agg(F.count("*").alias("n"))
     first = sets.select("columns", "n", F.posexplode("columns").alias("i", "a"))
     pairs = first.select("a", F.explode(F.expr("slice(columns, i + 1, size(columns))")).alias("b"), "n")
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -97,7 +109,7 @@ def overlaps(tables: dict[str, DataFrame], columns: Sequence[tuple[str, str]], p
     A row for every pair: values of different families are never equal, a column without values shares none.
     """
     spark = next(iter(tables.values())).sparkSession
-    counts = pair_counts(column_values(tables, columns))
+    counts = pair_counts(column_values(tables, columns), len(columns))
     wanted = spark.createDataFrame([(i, min(p), max(p), *columns[p[0]], *columns[p[1]], p[0] > p[1]) for i, p in enumerate(pairs)],
                                    "pair long, a int, b int, table_a string, column_a string, table_b string, column_b string, turned boolean")
     sides = F.explode(F.array(F.struct(F.col("a"), F.col("a").alias("b"), F.lit(0).alias("what")), F.struct(F.col("b").alias("a"), "b", F.lit(1).alias("what")),
