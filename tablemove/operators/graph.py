@@ -108,6 +108,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return _cut(joined.unionByName(rest.join(first, "node", "left_anti").select("node", F.col("comp").alias("component"))))
 
 
+# Levels of a search up to this size leave the edges as they are.
+SMALL_LEVEL = 50_000
+
+
 class _Visited:
     """Nodes seen so far in a handful of parts on disk: a part is merged with the one before it
     when it has grown as large, so each node is rewritten a logarithmic number of times and plans stay short."""
@@ -140,13 +144,16 @@ def search_tree(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str =
     Of the shortest paths to a node the smallest in array order is kept.  Rows
     carry no paths for that: a level is range-sorted by (the parent's place,
     node), and a node's place in its level, an increasing number from that sort,
-    is what the next level compares.  One frontier join and one sort per level;
-    an undirected search is held against the last two levels only, a directed
-    one against all nodes seen.  With ``target`` the search ends at the
-    level that reaches it.
+    is what the next level compares; the parent is fetched by it afterwards, so
+    the minima are plain numbers.  One frontier join and one sort per level; a
+    level above ``SMALL_LEVEL`` nodes takes its edges out of those that later
+    levels read (a node is expanded once).  An undirected search is held against the last two
+    levels only, a directed one against all nodes seen.  With ``target`` the
+    search ends at the level that reaches it.
     """
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
     e = _cut(_undirected(e, "src", "dst") if not directed else e.distinct())
+    depth = 0
     hit = F.count(F.when(F.col("node") == F.lit(target), 1)) if target is not None else F.lit(0)
     kind = e.schema["src"].dataType.simpleString()
     first = seeds.select("node").distinct().orderBy("node").select("node", F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("parent"), F.monotonically_increasing_id().alias("place"))
@@ -156,16 +163,23 @@ def search_tree(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str =
         visited.add(level.select("node", "hops", "parent"), m["n"])
         if m["hit"] or not m["n"]:
             return visited.all()
-        reached = (level.join(e, level["node"] == e["src"]).groupBy(F.col("dst").alias("node"))
-                   .agg((F.min("hops") + 1).alias("hops"), F.min(F.struct("place", F.col("src").alias("parent"))).alias("_from")))
+        depth += 1
+        near = level.select(F.col("node").alias("src"), "place")
+        if m["n"] <= SMALL_LEVEL:
+            met = e.join(near, "src")
+        else:
+            met = _cut(e.join(near, "src", "left"))
+            e, met = met.filter(F.col("place").isNull()).select("src", "dst"), met.filter(F.col("place").isNotNull())
+        reached = met.groupBy(F.col("dst").alias("node")).agg(F.min("place").alias("_from"))
         if directed:
             reached = visited.without(reached)
         else:  # neighbours of a level lie in it, the one before or the one after
             for seen in (level, before):
                 reached = reached if seen is None else reached.join(seen.select("node"), "node", "left_anti")
-        ordered = reached.orderBy("_from.place", "node")
+        reached = reached.join(level.select(F.col("place").alias("_from"), F.col("node").alias("parent")), "_from")
+        ordered = reached.orderBy("_from", "node")
         before = level
-        level, m = _cut_observe(ordered.select("node", "hops", F.col("_from.parent").alias("parent"), F.monotonically_increasing_id().alias("place")),
+        level, m = _cut_observe(ordered.select("node", F.lit(depth).alias("hops"), "parent", F.monotonically_increasing_id().alias("place")),
                                 n=F.count(F.lit(1)), hit=hit)
 
 
